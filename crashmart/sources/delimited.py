@@ -8,14 +8,14 @@ task per file.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from ..contracts import FileSpec
 from ..errors import ContractError
 from ..functions.hashing import record_id
 
-CORRUPT = "_malformed"
-BOM = "﻿"
+CORRUPT, VALID = "_malformed", "_valid_utf8"
+BOM = "\ufeff"
 # A split is described by four small values; the offsets frame is broadcast below this many splits.
 MAX_BROADCAST_SPLITS = 200_000
 
@@ -72,14 +72,9 @@ def _csv_options() -> dict[str, str]:
 def _positions(rows: DataFrame) -> DataFrame:
     """Add `position` (1-based, per file) to rows carrying file, start and row."""
     splits = rows.groupBy("file", "start").agg(F.min("row").alias("first_row"), F.count(F.lit(1)).alias("n"))
-    earlier = F.aggregate(
-        F.filter("splits", lambda s: s["start"] < F.col("split")["start"]), F.lit(0).cast("bigint"),
-        lambda total, s: total + s["n"])
-    offsets = (splits.groupBy("file")
-               .agg(F.collect_list(F.struct("start", "first_row", "n")).alias("splits"))   # one entry per split of a file
-               .withColumn("split", F.explode("splits"))
-               .select("file", F.col("split.start").alias("start"), F.col("split.first_row").alias("first_row"),
-                       earlier.alias("offset")))
+    before = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)   # rows are splits
+    offsets = splits.select("file", "start", "first_row",
+                            F.coalesce(F.sum("n").over(before), F.lit(0).cast("bigint")).alias("offset"))
     if rows.rdd.getNumPartitions() <= MAX_BROADCAST_SPLITS:
         offsets = F.broadcast(offsets)
     return (rows.join(offsets, ["file", "start"])
@@ -88,12 +83,14 @@ def _positions(rows: DataFrame) -> DataFrame:
 
 
 def scan(spark: SparkSession, path: str, spec: FileSpec) -> DataFrame:
-    """Rows as (file, position, cells..., _malformed). Blank records are dropped but keep their number."""
+    """Rows as (file, position, cells..., _malformed, _valid_utf8). Blank records are dropped but keep their number."""
     if spec.multi_line:
         options = {**_csv_options(), "header": "true", "multiLine": "true", "enforceSchema": "false"}
         rows = spark.read.schema(_schema(spec)).options(**options).csv(path).select(
             F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
-            _row_in_task().alias("row"), *[F.col(f"`{n}`") for n in spec.header], CORRUPT)
+            _row_in_task().alias("row"), *[F.col(f"`{n}`") for n in spec.header], CORRUPT,
+            # This reader decodes before we see bytes; it leaves the replacement character for bad ones.
+            (F.instr(F.concat_ws("", *[F.col(f"`{n}`") for n in spec.header]), "\ufffd") == 0).alias(VALID))
         placed = _positions(rows)
     else:
         lines = spark.read.option("lineSep", "\n").text(path).select(
@@ -103,10 +100,12 @@ def scan(spark: SparkSession, path: str, spec: FileSpec) -> DataFrame:
         placed = (_positions(lines)
                   .withColumn("position", F.col("position") - 1)        # line 1 is the header
                   .filter((F.col("position") > 0) & (F.col("line") != ""))
+                  .withColumn(VALID, F.is_valid_utf8("line"))
                   .withColumn("cells", parsed)
-                  .select("file", "position", "cells.*"))
+                  .select("file", "position", "cells.*", VALID))
     # A native value is never NULL: an empty field is empty text.
-    return placed.select("file", "position", *[F.coalesce(f"`{n}`", F.lit("")).alias(n) for n in spec.header], CORRUPT)
+    return placed.select("file", "position", *[F.coalesce(f"`{n}`", F.lit("")).alias(n) for n in spec.header],
+                         CORRUPT, VALID)
 
 
 def gate_counts(rows: DataFrame, spec: FileSpec) -> DataFrame:
@@ -117,7 +116,7 @@ def gate_counts(rows: DataFrame, spec: FileSpec) -> DataFrame:
         F.count(F.lit(1)).alias("raw_count"),
         F.count_if(F.col(CORRUPT).isNotNull()).alias("row_width_mismatch"),
         F.count_if(anywhere(lambda c: F.instr(c, "\u0000") > 0)).alias("nul_character"),
-        F.count_if(anywhere(lambda c: ~F.is_valid_utf8(c) | (F.instr(c, "�") > 0))).alias("invalid_utf8"),
+        F.count_if(~F.col(VALID)).alias("invalid_utf8"),
         F.max("position").alias("last_position"))
 
 
