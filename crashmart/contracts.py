@@ -105,6 +105,7 @@ class UnitRule:
     statistical_scope: str
     restricted: bool = False
     declared_field: str | None = None
+    note_field: str = "unit_type_code"
 
 
 @dataclass(frozen=True)

@@ -15,8 +15,8 @@ from ..contracts import CRS, MISSING_CODE, FileSpec, Manifest, Source
 from ..errors import ContractError
 from ..functions.dates import date_precision, iso_date, month_number, year_token
 from ..functions.notes import fields_note, location_note, quality_notes, severity_rule_note
-from ..functions.numbers import DIGITS, INT_MAX, SCALE7, count_token, decimal_token, guarded_cast, in_degrees, known_sum
-from ..functions.text import encode_key, is_blank, missing_token, try_encode_key
+from ..functions.numbers import INT_MAX, SCALE7, count_token, decimal_token, guarded_cast, in_degrees, known_sum
+from ..functions.text import encode_key, is_blank, missing_token
 from ..model import CRASH_SCHEMA, UNIT_SCHEMA, contract_frame
 from ..operators import observations as obs
 from ..operators.filters import within_years
@@ -35,7 +35,7 @@ class Projection:
 
 
 def native(raw: DataFrame, spec: FileSpec, fields: list[str]) -> DataFrame:
-    """Selected records with the named payload fields as columns n_<position>; see `names`."""
+    """Selected records with the named payload fields as columns."""
     rows = select_file(raw, spec)
     return rows.select("raw_record_id", "source_id", "file_sha256", "parser_version", "row_locator",
                        *[F.try_element_at("payload", F.lit(f)).alias(f) for f in dict.fromkeys(fields)])
@@ -236,8 +236,7 @@ def project_crash(raw: DataFrame, source: Source, batch_id: str, year_from: int,
         F.lit(source.severity.version).alias("severity_definition_version"),
         F.col("category_fatal").alias("is_fatal_crash"), F.col("killed").alias("fatality_count"),
         F.col("total").alias("casualty_count"),
-        # A category whose fatal meaning is unknown contributes to no fatal count.
-        (category.isNotNull() & F.col("category_fatal").isNotNull()).alias("fatal_crash_eligible"),
+        category.isNotNull().alias("fatal_crash_eligible"),
         F.col("killed").isNotNull().alias("fatality_eligible"), F.col("total").isNotNull().alias("casualty_eligible"),
         "latitude", "longitude", F.when(F.col("map_eligible"), F.lit(CRS)).alias("location_crs"), "map_eligible",
         "location_record_id", quality_notes(reasons, where, rule).alias("quality_notes"))
@@ -277,7 +276,7 @@ def project_unit(raw: DataFrame, source: Source, batch_id: str, year_from: int,
     types = contract_frame(spark, list(rule.types), "native_type string, type_code string")
     units = units.withColumn("__kind", kind).join(types, F.col("__kind") == F.col("native_type"), "left")
     eligible = F.col("type_code").isNotNull() & F.lit(not rule.restricted)
-    note = fields_note([("count_eligible" if rule.restricted else "unit_type_code", ~eligible, c(rule.type_field),
+    note = fields_note([("count_eligible" if rule.restricted else rule.note_field, ~eligible, c(rule.type_field),
                          "definition_unconfirmed" if rule.restricted else "missing")], source.contract_version)
     return units.select(
         F.lit(batch_id).alias("batch_id"), "source_id", F.lit(source.release_scope).alias("release_scope"),

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..contracts import Manifest
 from ..functions.dates import month_id
-from ..functions.numbers import INT_MAX  # noqa: F401
 from ..model import CRASH_ID, FACT_SCHEMA, contract_frame
 from ..operators.compare import field_differences, field_mismatch, pair_rows
 
