@@ -6,45 +6,55 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from .contracts import Manifest
 from .errors import ContractError
-from .functions.notes import NOTES_TYPE
 
 # A contract frame is broadcast only below this many rows; above it Spark plans an ordinary shuffle join.
 MAX_BROADCAST_ROWS = 50_000
 
-RAW_SCHEMA = T.StructType.fromDDL(
-    "raw_record_id string, source_id string, resource_id string, file_sha256 string, parser_version string, "
-    "row_locator string, payload map<string,string>")
-
-CRASH_SCHEMA = T.StructType.fromDDL(
-    "batch_id string, source_id string, release_scope string, crash_key string, raw_record_id string, "
-    "occurrence_year int, occurrence_month int, occurrence_date date, date_precision string, severity_raw string, "
-    "severity_code string, severity_definition_version string, is_fatal_crash boolean, fatality_count int, "
-    "casualty_count int, fatal_crash_eligible boolean, fatality_eligible boolean, casualty_eligible boolean, "
-    "latitude decimal(10,7), longitude decimal(10,7), location_crs string, map_eligible boolean, "
-    f"location_record_id string, quality_notes {NOTES_TYPE}")
-
-UNIT_SCHEMA = T.StructType.fromDDL(
-    "batch_id string, source_id string, release_scope string, unit_key string, crash_key string, "
-    "raw_record_id string, unit_type_raw string, unit_type_code string, statistical_scope string, "
-    f"count_eligible boolean, quality_notes {NOTES_TYPE}")
-
-FACT_SCHEMA = T.StructType.fromDDL(
-    "batch_id string, source_id string, release_scope string, crash_key string, occurrence_year int, month_id int, "
-    "severity_code string, is_fatal_crash boolean, fatality_count int, casualty_count int, "
-    "fatal_crash_eligible boolean, fatality_eligible boolean, casualty_eligible boolean, "
-    "latitude decimal(10,7), longitude decimal(10,7), map_eligible boolean")
-
-SIDE = "struct<evaluated_count:bigint,violation_count:bigint,metrics:map<string,bigint>>"
-REFERENCE = "struct<source_id:string,resource_id:string,file_sha256:string,parser_version:string,detail:string>"
-QA_SCHEMA = T.StructType.fromDDL(
-    "batch_id string, rule_id string, object_key string, result string, affected_count bigint, "
-    f"actual {SIDE}, expected {SIDE}, "
-    f"evidence struct<reason_codes:array<string>,resolution:string,references:array<{REFERENCE}>,producer_version:string>, "
-    "raw_record_id string, checked_at timestamp")
-
-BATCH_SCHEMA = T.StructType.fromDDL(
-    "batch_id string, dataset_kind string, status string, input_fingerprint string, manifest string, "
-    "started_at timestamp, finished_at timestamp, error string")
+
+def _struct(**fields: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(name, kind) for name, kind in fields.items()])
+
+
+_text, _int, _long, _flag, _time = T.StringType(), T.IntegerType(), T.LongType(), T.BooleanType(), T.TimestampType()
+_texts, _place = T.ArrayType(T.StringType()), T.DecimalType(10, 7)
+
+NOTES = _struct(
+    fields=T.ArrayType(_struct(field=_text, reason_code=_text, raw_token=_text, contract_version=_text)),
+    location=_struct(reason_code=_text, candidate_raw_record_ids=_texts, resolution=_text, evidence_ref=_text),
+    severity_rule=_struct(code=_text, reason=_text, mapping_version=_text))
+
+RAW_SCHEMA = _struct(
+    raw_record_id=_text, source_id=_text, resource_id=_text, file_sha256=_text, parser_version=_text, row_locator=_text,
+    payload=T.MapType(_text, _text))
+
+CRASH_SCHEMA = _struct(
+    batch_id=_text, source_id=_text, release_scope=_text, crash_key=_text, raw_record_id=_text,
+    occurrence_year=_int, occurrence_month=_int, occurrence_date=T.DateType(), date_precision=_text,
+    severity_raw=_text, severity_code=_text, severity_definition_version=_text, is_fatal_crash=_flag,
+    fatality_count=_int, casualty_count=_int, fatal_crash_eligible=_flag, fatality_eligible=_flag, casualty_eligible=_flag,
+    latitude=_place, longitude=_place, location_crs=_text, map_eligible=_flag, location_record_id=_text,
+    quality_notes=NOTES)
+
+UNIT_SCHEMA = _struct(
+    batch_id=_text, source_id=_text, release_scope=_text, unit_key=_text, crash_key=_text, raw_record_id=_text,
+    unit_type_raw=_text, unit_type_code=_text, statistical_scope=_text, count_eligible=_flag, quality_notes=NOTES)
+
+FACT_SCHEMA = _struct(
+    batch_id=_text, source_id=_text, release_scope=_text, crash_key=_text, occurrence_year=_int, month_id=_int,
+    severity_code=_text, is_fatal_crash=_flag, fatality_count=_int, casualty_count=_int,
+    fatal_crash_eligible=_flag, fatality_eligible=_flag, casualty_eligible=_flag, latitude=_place, longitude=_place,
+    map_eligible=_flag)
+
+_SIDE = _struct(evaluated_count=_long, violation_count=_long, metrics=T.MapType(_text, _long))
+REFERENCES = T.ArrayType(_struct(source_id=_text, resource_id=_text, file_sha256=_text, parser_version=_text, detail=_text))
+QA_SCHEMA = _struct(
+    batch_id=_text, rule_id=_text, object_key=_text, result=_text, affected_count=_long, actual=_SIDE, expected=_SIDE,
+    evidence=_struct(reason_codes=_texts, resolution=_text, references=REFERENCES, producer_version=_text),
+    raw_record_id=_text, checked_at=_time)
+
+BATCH_SCHEMA = _struct(
+    batch_id=_text, dataset_kind=_text, status=_text, input_fingerprint=_text, manifest=_text,
+    started_at=_time, finished_at=_time, error=_text)
 
 CRASH_ID = ["batch_id", "source_id", "release_scope", "crash_key"]
 UNIT_ID = ["batch_id", "source_id", "release_scope", "unit_key"]

@@ -38,11 +38,25 @@ def native(raw: DataFrame, spec: FileSpec, fields: list[str]) -> DataFrame:
     """Selected records with the named payload fields as columns."""
     rows = select_file(raw, spec)
     return rows.select("raw_record_id", "source_id", "file_sha256", "parser_version", "row_locator",
-                       *[F.try_element_at("payload", F.lit(f)).alias(f) for f in dict.fromkeys(fields)])
+                       *[F.try_element_at("payload", F.lit(f)).alias(col_name(f)) for f in dict.fromkeys(fields)])
+
+
+def col_name(field: str) -> str:
+    """Column holding a native field. The prefix keeps it apart from typed columns, whose names ignore case."""
+    return "f:" + field.replace(".", "_")
+
+
+def col_names(fields: tuple[str, ...]) -> list[str]:
+    return [col_name(f) for f in fields]
 
 
 def c(name: str) -> Column:
-    return F.col(f"`{name}`")
+    return F.col(col_name(name))
+
+
+def parent_rows(rows: DataFrame, spec: FileSpec) -> DataFrame:
+    """Crash rows renamed to the key columns of a child file."""
+    return rows.select(*[c(k).alias(col_name(p)) for k, p in zip(spec.parent_crash_fields, spec.parent_fields)])
 
 
 def token(source: Source, name: str) -> Column:
@@ -105,20 +119,20 @@ def relationship_counts(raw: DataFrame, source: Source) -> DataFrame:
     blank = reduce(lambda a, b: a | b, [is_blank(c(k)) for k in spec.key_fields])
     usable = crash.filter(~blank)
     out = crash.agg(F.count_if(blank).alias("crash_blank_key_count"))
-    out = out.crossJoin(duplicate_groups(usable, list(spec.key_fields)).agg(F.count(F.lit(1)).alias("crash_duplicate_key_count")))
+    out = out.crossJoin(duplicate_groups(usable, col_names(spec.key_fields)).agg(F.count(F.lit(1)).alias("crash_duplicate_key_count")))
     if not source.has("unit"):
         return out
     us = source.file("unit")
     unit = unit_rows(raw, source)
     unit_blank = reduce(lambda a, b: a | b, [is_blank(c(k)) for k in us.key_fields])
     parented = unit.filter(~reduce(lambda a, b: a | b, [is_blank(c(k)) for k in us.parent_fields]))
-    parents = crash.select(*[c(k).alias(p) for k, p in zip(us.parent_crash_fields, us.parent_fields)])
+    parents = parent_rows(crash, us)
     # One-row frames side by side.
     return (out
             .crossJoin(unit.agg(F.count_if(unit_blank).alias("unit_blank_key_count")))
-            .crossJoin(duplicate_groups(unit.filter(~unit_blank), list(us.key_fields))
+            .crossJoin(duplicate_groups(unit.filter(~unit_blank), col_names(us.key_fields))
                        .agg(F.count(F.lit(1)).alias("unit_duplicate_key_count")))
-            .crossJoin(orphans(parented, parents, list(us.parent_fields))
+            .crossJoin(orphans(parented, parents, col_names(us.parent_fields))
                        .agg(F.coalesce(F.sum("n"), F.lit(0).cast("bigint")).alias("orphan_unit_count"))))
 
 
@@ -207,7 +221,7 @@ def project_crash(raw: DataFrame, source: Source, batch_id: str, year_from: int,
         keys = ["__parent", "__place"]
         observed = native(raw, source.file("node_raw"), [*loc.observation_key, loc.latitude_field, loc.longitude_field])
         observed = observed.withColumn("__parent", c(loc.observation_key[0])).withColumn("__place", c(loc.observation_key[1]))
-        resolved = obs.resolve(observed, keys, loc.latitude_field, loc.longitude_field, enabled)
+        resolved = obs.resolve(observed, keys, col_name(loc.latitude_field), col_name(loc.longitude_field), enabled)
         typed = typed.withColumn("__parent", c(loc.crash_key[0])).withColumn("__place", c(loc.crash_key[1]))
         typed = obs.locate(typed, resolved, keys)
         found = obs.candidates(typed, observed, keys)
@@ -269,9 +283,9 @@ def project_unit(raw: DataFrame, source: Source, batch_id: str, year_from: int,
     spec, rule = source.file("unit"), source.units
     parents = within_years(native(raw, source.file("crash"), [*spec.parent_crash_fields, source.dates.year_field])
                            .withColumn("year", year_of(source)), "year", year_from, year_to)
-    parents = parents.select(*[c(k).alias(p) for k, p in zip(spec.parent_crash_fields, spec.parent_fields)])
+    parents = parent_rows(parents, spec)
     # Only the parent's existence matters, so the join keeps each unit once even if a parent key repeats.
-    units = unit_rows(raw, source).join(parents, list(spec.parent_fields), "left_semi")
+    units = unit_rows(raw, source).join(parents, col_names(spec.parent_fields), "left_semi")
     kind = token(source, rule.type_field)
     types = contract_frame(spark, list(rule.types), "native_type string, type_code string")
     units = units.withColumn("__kind", kind).join(types, F.col("__kind") == F.col("native_type"), "left")
