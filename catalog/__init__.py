@@ -6,7 +6,7 @@ from importlib import import_module
 
 from .registry import ORACLES, QUERIES
 
-MODULES = ("reports",)
+MODULES = ("reports", "projection", "scalars")
 
 
 def load() -> tuple[dict, dict]:
