@@ -6,7 +6,7 @@ from importlib import import_module
 
 from .registry import ORACLES, QUERIES
 
-MODULES = ("reports", "projection", "scalars")
+MODULES = ("reports", "projection", "scalars", "relations", "checks")
 
 
 def load() -> tuple[dict, dict]:

@@ -93,7 +93,7 @@ def row_locators(spark, sf):
     loc = (F.when(e == "view", F.concat(F.lit("csv:"), i)).when(e == "error", F.concat(F.lit('["Sheet 1", '), i, F.lit("]")))
            .when(e == "signup", F.concat(F.lit("csv:0"), i)).otherwise(F.concat(F.lit("row "), i)))
     df = t.table(spark, sf, "events").select("event_id", loc.alias("loc"))
-    return df.select("event_id", "loc", fn.locator_position("loc").alias("position"), fn.locator_order("loc").cast("bigint").alias("sort_key"))
+    return df.select("event_id", "loc", fn.locator_position("loc").cast("bigint").alias("position"), fn.locator_order("loc").cast("bigint").alias("sort_key"))
 
 
 @query("content_fingerprints", """SELECT c_custkey, sha256('{"account":"' || c_custkey || '","segment":"' || c_mktsegment || '"}') AS fp FROM customer""")

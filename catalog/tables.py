@@ -178,7 +178,9 @@ def build_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = (table(spark, sf_dir, "lineitem")
              .join(orders.select(key.alias("l_orderkey"), "source_id"), "l_orderkey"))
     ln = [F.col(c) for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]
-    position = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    # Line numbers repeat within an order, so the native position spells out the whole row identity.
+    position = F.expr("cast(cast(l_orderkey as decimal(14,0)) * 10 + l_linenumber as decimal(15,0))")
+    position = F.concat(position.cast("string"), F.lpad(F.col("l_partkey").cast("string"), 12, "0"), F.lpad(F.col("l_suppkey").cast("string"), 10, "0"))
     kind = F.when(F.col("l_linenumber") != 7, F.col("l_returnflag"))
 
     def units(s: str, names: tuple[str, str, str]) -> DataFrame:

@@ -12,11 +12,11 @@ SHEET_LOCATOR = r'\A\["(?:[^"\\]|\\.)+", ?([1-9][0-9]*)\]\z'
 
 
 def locator_position(locator: str | Column) -> Column:
-    """Native position, NULL for any other form."""
+    """Native position of any length up to 38 digits, NULL for any other form."""
     c = col(locator)
     return F.coalesce(
-        F.regexp_extract(c, CSV_LOCATOR, 1).try_cast("bigint"),
-        F.regexp_extract(c, SHEET_LOCATOR, 1).try_cast("bigint"),
+        F.regexp_extract(c, CSV_LOCATOR, 1).try_cast("decimal(38,0)"),
+        F.regexp_extract(c, SHEET_LOCATOR, 1).try_cast("decimal(38,0)"),
     )
 
 
