@@ -6,7 +6,7 @@ from importlib import import_module
 
 from .registry import ORACLES, QUERIES
 
-MODULES = ("reports", "projection", "scalars", "relations", "checks")
+MODULES = ("reports", "projection", "scalars", "relations", "checks", "links", "profiles", "storage")
 
 
 def load() -> tuple[dict, dict]:
