@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from crashmart.model import CRASH_ID, contract_frame
+from crashmart.plans.build import quality_results
 from crashmart.plans import expectation as E, quality as Q, registry as G, release as L, vault as V, warehouse as W
 from crashmart.sources import sinks
 
@@ -31,22 +32,6 @@ def _own(df: DataFrame, source_id: str) -> DataFrame:
     return df.filter(F.col("source_id") == source_id)
 
 
-def _expected(spark, sf, source):
-    raw = t.raw(spark, sf)
-    crash = E.expected_crash(raw, source, t.YEAR_FROM, t.YEAR_TO)
-    return crash, E.expected_unit(raw, source, crash) if source.units else None
-
-
-def projected_results(spark, sf, crash: DataFrame, unit: DataFrame) -> DataFrame:
-    m, raw, parts = t.frozen(spark, sf), t.raw(spark, sf), []
-    for s in m.sources:
-        ec, eu = _expected(spark, sf, s)
-        parts.append(Q.projection_result(raw, s, "crash", _own(crash, s.source_id), ec, t.BATCH))
-        if eu is not None:
-            parts.append(Q.projection_result(raw, s, "unit", _own(unit, s.source_id), eu, t.BATCH))
-    return _stack(parts)
-
-
 UNIT_DUP = "(SELECT source_id, count(*) AS n FROM (SELECT source_id, unit_key FROM unit GROUP BY ALL HAVING count(*) > 1) GROUP BY ALL)"
 
 
@@ -58,7 +43,7 @@ UNIT_DUP = "(SELECT source_id, count(*) AS n FROM (SELECT source_id, unit_key FR
  ('projected_count', n, n), ('duplicate_key_count', dup, 0), ('orphan_count', 0, 0), ('invalid_value_count', 0, 0)) v(metric, a, e)""")
 def projection_check(spark, sf):
     """Projected rows against an independent second derivation; repeated line numbers block their unit files."""
-    return _flat(projected_results(spark, sf, t.crash(spark, sf), t.unit(spark, sf)))
+    return _flat(Q.projection_results(t.raw(spark, sf), t.frozen(spark, sf), t.crash(spark, sf), t.unit(spark, sf), t.BATCH))
 
 
 @query("projection_field_differences", t.SQL_BASE + """SELECT crash_key, CASE WHEN deaths = 1 THEN 'fatality_count' ELSE 'severity_code,fatality_count' END AS fields FROM crash
@@ -70,15 +55,11 @@ def projection_field_differences(spark, sf):
     rows = _own(t.crash(spark, sf), "europe")
     bad = rows.withColumn("fatality_count", F.when(F.col("fatality_count") == 1, 9).otherwise(F.col("fatality_count"))).withColumn(
         "severity_code", F.when(F.col("severity_code") == "2-HIGH", "5-LOW").otherwise(F.col("severity_code")))
-    d = Q.projection_differences(_expected(spark, sf, s)[0], bad, E.CRASH_FIELDS)
+    wanted = E.expected_crash(t.raw(spark, sf), s, t.YEAR_FROM, t.YEAR_TO).withColumn("source_id", F.lit("europe"))
+    d = Q.projection_differences(wanted, bad, E.CRASH_FIELDS)
     return d.join(rows.select("raw_record_id", "crash_key"), "raw_record_id").select("crash_key", F.array_join("mismatched_fields", ",").alias("fields"))
 
 
-def auxiliary_results(spark, sf) -> DataFrame:
-    m, raw = t.frozen(spark, sf), t.raw(spark, sf)
-    return _stack([Q.auxiliary_result(raw, s, f.role, t.BATCH) for s in m.sources for f in s.files if f.role != "crash"])
-
-
 @query("auxiliary_check", t.SQL_BASE + f""", dv AS (SELECT source_id, abs(count(l_orderkey) - o_orderkey % 8) AS delta FROM base LEFT JOIN lineitem ON l_orderkey = o_orderkey
    WHERE source_id IN ('africa', 'america', 'middle_east') GROUP BY source_id, o_orderkey),
  dd AS (SELECT source_id, CAST(sum(delta) AS BIGINT) AS delta, count(*) FILTER (WHERE delta <> 0) AS off FROM dv GROUP BY ALL),
@@ -92,7 +73,7 @@ def auxiliary_results(spark, sf) -> DataFrame:
  ('coordinate_conflict_group_count', conflict, NULL)) v(metric, a, e)""")
 def auxiliary_check(spark, sf):
     """Child files: orphans, duplicate groups, declared counts and coordinate conflicts."""
-    return _flat(auxiliary_results(spark, sf))
+    return _flat(Q.auxiliary_results(t.raw(spark, sf), t.frozen(spark, sf), t.BATCH))
 
 
 @query("coordinate_conflicts", t.SQL_BASE + """SELECT CAST(k AS VARCHAR) AS acc, p AS coordinate_pair_count FROM (SELECT k,
@@ -102,17 +83,6 @@ def coordinate_conflicts(spark, sf):
     return Q.coordinate_conflicts(_observations(spark, sf), ["acc"], "lat_text", "lon_text")
 
 
-def semantics_results(spark, sf, crash: DataFrame, unit: DataFrame) -> DataFrame:
-    m, raw, parts = t.frozen(spark, sf), t.raw(spark, sf), []
-    for s in m.sources:
-        ec, eu = _expected(spark, sf, s)
-        compared = [(ec, _own(crash, s.source_id), E.CRASH_FIELDS)]
-        if eu is not None:
-            compared.append((eu, _own(unit, s.source_id), E.UNIT_FIELDS))
-        parts.append(Q.semantics_result(s, E.semantic_errors(raw, s), compared, raw, t.BATCH))
-    return _stack(parts)
-
-
 @query("semantics_check", t.SQL_BASE + """, o AS (SELECT source_id, count(*) AS n, count(*) FILTER (WHERE source_id = 'asia' AND sev = '5-LOW') AS wrong FROM crash GROUP BY ALL),
  total AS (SELECT source_id, n + coalesce((SELECT count(*) FROM unit u WHERE u.source_id = o.source_id), 0) + CASE WHEN source_id = 'america' THEN (SELECT count(*) FROM seen) ELSE 0 END AS n, wrong FROM o)
  SELECT 'QA05_SEMANTICS' AS rule_id, 'source:' || source_id AS object_key, CASE WHEN wrong > 0 THEN 'block' ELSE 'pass' END AS result, wrong AS affected_count, n AS evaluated_count,
@@ -122,7 +92,7 @@ def semantics_check(spark, sf):
     crash = t.crash(spark, sf)
     hit = (F.col("source_id") == "asia") & (F.col("severity_code") == "5-LOW")
     crash = crash.withColumn("fatal_crash_eligible", F.when(hit, False).otherwise(F.col("fatal_crash_eligible")))
-    return _flat(semantics_results(spark, sf, crash, t.unit(spark, sf)))
+    return _flat(Q.semantics_results(t.raw(spark, sf), t.frozen(spark, sf), crash, t.unit(spark, sf), t.BATCH))
 
 
 @query("undefined_categories", t.SQL_BASE + """SELECT 'X' AS token, count(*) AS row_count FROM crash WHERE source_id = 'asia' AND o_orderpriority = '2-HIGH'""")
@@ -306,45 +276,29 @@ def raw_replay(spark, sf):
 def raw_result(spark, sf):
     """Raw objects of an undamaged load, one per file."""
     raw = t.raw(spark, sf)
-    res = raw_results(spark, sf, raw)
+    res = Q.raw_results(G.replay_summary(G.replay_differences(raw, raw)), t.frozen(spark, sf), t.BATCH)
     return res.groupBy("rule_id", "result", F.col("actual.evaluated_count").alias("evaluated_count")).agg(F.count(F.lit(1)).alias("object_count"))
 
 
-def raw_results(spark, sf, raw) -> DataFrame:
-    return Q.raw_results(G.replay_summary(G.replay_differences(raw, raw)), t.frozen(spark, sf), t.BATCH)
-
-
-def input_results(spark, sf, broken: bool) -> DataFrame:
-    """Observed file sets; where broken, one header is re-ordered and one file lost a declared row."""
-    m = t.frozen(spark, sf)
-    counts = t.raw(spark, sf).groupBy("resource_id").agg(F.count(F.lit(1)).alias("actual_count"))
-    heads = contract_frame(spark, [(f.resource_id, f.file_sha256, list(reversed(f.header)) if broken and f.resource_id == "asia_crash" else list(f.header))
-                                   for f in m.files()], "resource_id string, actual_sha256 string, actual_header array<string>")
-    lost = (F.col("resource_id") == "africa_unit") & F.lit(broken)
-    observed = heads.join(counts, "resource_id").withColumn("actual_count", F.when(lost, F.col("actual_count") - 1).otherwise(F.col("actual_count")))
-    return Q.input_results(observed, m, t.BATCH)
-
-
 @query("input_check", t.SQL_BASE + """, f(r) AS (SELECT DISTINCT source_id || '_crash' FROM crash UNION ALL SELECT DISTINCT source_id || '_unit' FROM unit UNION ALL SELECT 'america_node_raw')
  SELECT r AS resource_id, CASE WHEN r IN ('asia_crash', 'africa_unit') THEN 'block' ELSE 'pass' END AS result, CAST(CASE WHEN r IN ('asia_crash', 'africa_unit') THEN 1 ELSE 0 END AS BIGINT) AS affected_count,
  CASE r WHEN 'asia_crash' THEN 'header_match' WHEN 'africa_unit' THEN 'NATIVE_COUNT_MISMATCH' ELSE '' END AS reasons FROM f""")
 def input_check(spark, sf):
-    res = input_results(spark, sf, True)
+    """Observed file sets: one header is re-ordered and one file lost a row."""
+    m = t.frozen(spark, sf)
+    counts = t.raw(spark, sf).groupBy("resource_id").agg(F.count(F.lit(1)).alias("actual_count"))
+    heads = contract_frame(spark, [(f.resource_id, f.file_sha256, list(reversed(f.header)) if f.resource_id == "asia_crash" else list(f.header))
+                                   for f in m.files()], "resource_id string, actual_sha256 string, actual_header array<string>")
+    observed = heads.join(counts, "resource_id").withColumn("actual_count", F.when(
+        F.col("resource_id") == "africa_unit", F.col("actual_count") - 1).otherwise(F.col("actual_count")))
+    res = Q.input_results(observed, m, t.BATCH)
     return res.select(F.split("object_key", ":")[1].alias("resource_id"), "result", "affected_count", F.array_join("evidence.reason_codes", ",").alias("reasons"))
 
 
 def all_results(spark, sf) -> DataFrame:
-    """Every result object of the batch, as a build would store them (written once per application)."""
-    def build():
-        crash, unit, fact, m = t.crash(spark, sf), t.unit(spark, sf), t.fact(spark, sf), t.frozen(spark, sf)
-        sources = W.dim_source(spark, m, t.BATCH)
-        rows = _stack([
-            input_results(spark, sf, False), raw_results(spark, sf, t.raw(spark, sf)), projected_results(spark, sf, crash, unit),
-            auxiliary_results(spark, sf), semantics_results(spark, sf, crash, unit),
-            Q.reconcile_results(Q.reconcile_metrics(_reconciled(spark, sf, fact), sources, m.year_from, m.year_to), t.BATCH),
-            Q.location_results(Q.location_metrics(crash, fact, sources, m.year_from, m.year_to), t.BATCH)])
-        return rows
-    return t.staged(spark, sf, "results", build, ["rule_id"])
+    """Every result object of the batch, as a build stores them (written once per application)."""
+    return t.staged(spark, sf, "results", lambda: quality_results(
+        t.raw(spark, sf), t.frozen(spark, sf), t.crash(spark, sf), t.unit(spark, sf), t.fact(spark, sf), t.BATCH), ["rule_id"])
 
 
 ROLL = t.SQL_BASE + f""", yr AS (SELECT source_id, y, count(*) FILTER (WHERE NOT mapped) AS u FROM crash GROUP BY ALL),

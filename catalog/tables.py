@@ -7,6 +7,7 @@ text rows are derived from the typed tables, so every query below runs the libra
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
@@ -17,6 +18,9 @@ from crashmart.contracts import (
 from crashmart.functions.dates import MONTHS
 from crashmart.functions.hashing import record_id
 from crashmart.model import RAW_SCHEMA
+from crashmart.plans.project import project_crash, project_unit
+from crashmart.plans.reports import Batch
+from crashmart.plans.warehouse import dim_severity, dim_source, facts
 from crashmart.session import scratch_path
 
 BATCH = "batch-1"
@@ -223,23 +227,24 @@ def frozen(spark: SparkSession, sf_dir: str) -> Manifest:
 
 
 def crash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from crashmart.plans.project import project_all
-    return staged(spark, sf_dir, "crash", lambda: project_all(raw(spark, sf_dir), manifest(), BATCH).crash, ["source_id"])
+    def build() -> DataFrame:
+        rows = raw(spark, sf_dir)
+        return reduce(DataFrame.unionByName, [project_crash(rows, s, BATCH, YEAR_FROM, YEAR_TO)[0] for s in manifest().sources])
+    return staged(spark, sf_dir, "crash", build, ["source_id"])
 
 
 def unit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from crashmart.plans.project import project_all
-    return staged(spark, sf_dir, "unit", lambda: project_all(raw(spark, sf_dir), manifest(), BATCH).unit, ["source_id"])
+    def build() -> DataFrame:
+        rows = raw(spark, sf_dir)
+        return reduce(DataFrame.unionByName, [project_unit(rows, s, BATCH, YEAR_FROM, YEAR_TO) for s in manifest().sources if s.units])
+    return staged(spark, sf_dir, "unit", build, ["source_id"])
 
 
 def fact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from crashmart.plans.warehouse import facts
     return staged(spark, sf_dir, "fact", lambda: facts(crash(spark, sf_dir)), ["source_id"])
 
 
-def batch(spark: SparkSession, sf_dir: str):
-    from crashmart.plans.reports import Batch
-    from crashmart.plans.warehouse import dim_severity, dim_source
+def batch(spark: SparkSession, sf_dir: str) -> Batch:
     m = manifest()
     return Batch(BATCH, m.dataset_kind, "succeeded", m, fact(spark, sf_dir), unit(spark, sf_dir),
                  dim_source(spark, m, BATCH), dim_severity(spark, m, BATCH))

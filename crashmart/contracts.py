@@ -108,6 +108,16 @@ class UnitRule:
     note_field: str = "unit_type_code"
 
 
+@dataclass(frozen=True)
+class PersonRule:
+    """Secondary children that may name a unit of the same crash. blank_reference: allowed | forbidden | unresolved."""
+
+    reference_field: str
+    declared_field: str
+    blank_reference: str = "allowed"
+    count_scope_confirmed: bool = True
+
+
 @dataclass(frozen=True)
 class Coverage:
     year_from: int
@@ -135,6 +145,7 @@ class Source:
     restricted: bool = False
     confirmed: bool = True
     unavailable: tuple[tuple[str, str], ...] = ()
+    persons: PersonRule | None = None
 
     def file(self, role: str) -> FileSpec:
         found = [f for f in self.files if f.role == role]

@@ -12,11 +12,13 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..contracts import Source
 from ..functions.dates import iso_date
 from ..functions.locators import locator_order
 from ..functions.numbers import count_token
 from ..functions.text import is_blank
 from ..operators.relations import attach, key_sizes
+from .project import c, native
 
 ROW = ["source_id", "resource_id", "row_locator", "raw_record_id"]
 
@@ -64,7 +66,7 @@ def check_links(parents: DataFrame, children: DataFrame, targets: DataFrame, r:
     """Row-level checks of all three frames over the complete snapshot. Years only label rows (in_scope)."""
     p = parents.withColumn("__p", _key(r.parent)).withColumn("occurrence_date", iso_date(r.date)).withColumn(
         "declared_count", count_token(r.declared).cast("bigint"))
-    c = children.withColumn("__p", _key(r.parent)).withColumn("__t", F.when(_valid(r.parent), _key(r.target))).withColumn(
+    kids = children.withColumn("__p", _key(r.parent)).withColumn("__t", F.when(_valid(r.parent), _key(r.target))).withColumn(
         "__c", F.when(_valid(r.parent), _key(r.child)))
     t = targets.withColumn("__p", _key(r.parent)).withColumn("__t", F.when(_valid(r.parent), _key(r.target)))
     scope = F.year("occurrence_date").between(r.year_from, r.year_to)
@@ -72,8 +74,8 @@ def check_links(parents: DataFrame, children: DataFrame, targets: DataFrame, r:
     parent_groups = p.filter(F.col("__p").isNotNull()).groupBy("source_id", "__p").agg(
         F.count(F.lit(1)).alias("parent_match_count"), F.min("occurrence_date").alias("occurrence_date"),
         F.min("row_locator").alias("parent_locator"))
-    child_counts = key_sizes(c.filter(F.col("__p").isNotNull()), ["source_id", "__p"], "observed_count")
-    child_keys = key_sizes(c.filter(F.col("__c").isNotNull()), ["source_id", "__p", "__c"], "key_count")
+    child_counts = key_sizes(kids.filter(F.col("__p").isNotNull()), ["source_id", "__p"], "observed_count")
+    child_keys = key_sizes(kids.filter(F.col("__c").isNotNull()), ["source_id", "__p", "__c"], "key_count")
     target_keys = key_sizes(t.filter(F.col("__t").isNotNull()), ["source_id", "__p", "__t"], "target_match_count")
     zero = F.lit(0).cast("bigint")
 
@@ -98,7 +100,7 @@ def check_links(parents: DataFrame, children: DataFrame, targets: DataFrame, r:
 
     # Children: parent facts, own key multiplicity, matches of the reference.
     sized = parent_groups.join(child_counts, ["source_id", "__p"], "left").withColumn("observed_count", F.coalesce("observed_count", zero))
-    cc = attach(c, sized, ["source_id", "__p"], ["parent_match_count", "occurrence_date", "parent_locator"], "raw_record_id", "observed_count")
+    cc = attach(kids, sized, ["source_id", "__p"], ["parent_match_count", "occurrence_date", "parent_locator"], "raw_record_id", "observed_count")
     cc = attach(cc, child_keys, ["source_id", "__p", "__c"], ["key_count"], "raw_record_id", "key_count")
     cc = attach(cc, target_keys, ["source_id", "__p", "__t"], ["target_match_count"], "raw_record_id")
     cc = cc.withColumn("parent_match_count", F.coalesce("parent_match_count", zero)).withColumn(
@@ -135,6 +137,33 @@ def check_links(parents: DataFrame, children: DataFrame, targets: DataFrame, r:
     return LinkChecks(pc.drop(*drop), cc.drop(*drop), tt.drop(*drop))
 
 
+def source_frames(raw: DataFrame, source: Source) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Parents, persons and units of a source whose persons refer to units, in the form check_links reads."""
+    person, unit, crash, rule = source.file("person_raw"), source.file("unit"), source.file("crash"), source.persons
+
+    def rows(spec, fields: dict[str, str]) -> DataFrame:
+        df = native(raw, spec, list(fields.values()))
+        return df.select("source_id", F.lit(spec.resource_id).alias("resource_id"), "row_locator", "raw_record_id",
+                         *[c(f).alias(name) for name, f in fields.items()])
+
+    parents = rows(crash, {"parent_key": crash.key_fields[0], "date_text": source.dates.year_field, "count_text": rule.declared_field})
+    children = rows(person, {"parent_key": person.key_fields[0], "child_key": person.key_fields[-1], "target_key": rule.reference_field})
+    targets = rows(unit, {"parent_key": unit.key_fields[0], "target_key": unit.key_fields[-1]})
+    return parents, children, targets
+
+
+def source_checks(raw: DataFrame, source: Source, year_from: int, year_to: int) -> LinkChecks:
+    rule = source.persons
+    return check_links(*source_frames(raw, source), LinkRules(
+        year_from, year_to, blank_reference=rule.blank_reference, count_scope_confirmed=rule.count_scope_confirmed))
+
+
+def link_counts(checks: LinkChecks, resource_id: str) -> DataFrame:
+    """The person file's contribution to its quality object."""
+    return summary(checks).select(F.lit(resource_id).alias("resource_id"), "nonblank_unmatched_count", "declared_count_delta",
+                                  F.col("affected_count").alias("link_issue_count"))
+
+
 def stacked(checks: LinkChecks) -> DataFrame:
     """All three kinds under one schema; columns a kind does not have are NULL."""
     common = [*ROW, "in_scope", "issues"]
