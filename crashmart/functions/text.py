@@ -18,9 +18,13 @@ def col(value: str | Column) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+# One character outside the set decides at the first position it meets, which is nearly always the first character.
+_NOT_WHITESPACE = "[^" + "".join(f"\\x{{{ord(c):x}}}" for c in WHITESPACE) + "]"
+
+
 def is_blank(value: str | Column) -> Column:
     """True for NULL, empty or all-white-space text. Never NULL. Plain trim would only know U+0020."""
-    return F.coalesce(F.btrim(col(value), F.lit(WHITESPACE)) == "", F.lit(True))
+    return ~F.coalesce(col(value).rlike(_NOT_WHITESPACE), F.lit(False))
 
 
 def any_blank(values: list[Column]) -> Column:

@@ -11,8 +11,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-# A key is heavy above this share of all rows, so at most 1/share keys can be heavy.
-HEAVY_SHARE = 1 / 2000
+# Keys above this many rows may travel by broadcast, the largest ones first and never more than HEAVY_KEYS of them.
+HEAVY_ROWS = 100_000
+HEAVY_KEYS = 2_000
 SPREAD = 1 << 16
 
 
@@ -43,24 +44,23 @@ def declared_vs_observed(parents: DataFrame, key: list[str], declared: Column, c
             .withColumn("count_delta", F.col("observed_count") - F.col("declared_count")))
 
 
-def attach(detail: DataFrame, groups: DataFrame, on: list[str], values: list[str], spread_by: str,
-           size: str | None = None) -> DataFrame:
+def attach(detail: DataFrame, groups: DataFrame, on: list[str], values: list[str], spread_by: str, size: str) -> DataFrame:
     """Left join of many detail rows to unique group rows, safe when some keys are very heavy.
 
-    ``size`` names the group column with the number of detail rows per key. Without it the sizes are counted.
-    ``spread_by`` is a unique detail column used to spread rows that need no shuffle partner.
+    ``size`` names the column of groups that says how many detail rows a key has (a rough number will do: it only decides
+    which way a key travels). ``spread_by`` is a unique detail column that spreads the rows needing no shuffle partner.
     """
-    sized = groups if size else groups.join(key_sizes(detail, on, "__n"), on, "left")
-    weight = size or "__n"
-    total = sized.agg(F.sum(weight).alias("total")).scalar()
-    heavy = sized.filter(F.col(weight) > total * F.lit(HEAVY_SHARE)).select(
+    # At most HEAVY_KEYS rows whatever the data size, so this broadcast is bounded by construction. A key left out holds at
+    # most 1/HEAVY_KEYS of the rows and shuffles like any other.
+    heavy = groups.filter(F.col(size) > HEAVY_ROWS).orderBy(F.desc(size)).limit(HEAVY_KEYS).select(
         *on, *[F.col(v).alias(f"__h_{v}") for v in values], F.lit(True).alias("__heavy"))
     known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in on])
-    # heavy has at most 1 / HEAVY_SHARE rows, whatever the data size.
     marked = detail.join(F.broadcast(heavy), on, "left")
     needs = known & F.col("__heavy").isNull()
     spread = F.when(needs, F.lit(0)).otherwise(1 + F.pmod(F.xxhash64(spread_by), F.lit(SPREAD)).cast("int"))
-    light = groups.select(*on, *[F.col(v).alias(f"__l_{v}") for v in values], F.lit(0).alias("__spread"))
+    # Reading the size here keeps both uses of groups identical, so Spark computes and shuffles them once.
+    light = groups.select(*on, *[F.col(v).alias(f"__l_{v}") for v in values],
+                          F.when(F.coalesce(size, F.lit(0)) >= 0, 0).otherwise(0).alias("__spread"))
     joined = marked.withColumn("__spread", spread).join(light, [*on, "__spread"], "left")
     picked = [F.when(F.col("__heavy"), F.col(f"__h_{v}")).otherwise(F.col(f"__l_{v}")).alias(v) for v in values]
     return joined.select(*[F.col(f"`{c}`") for c in detail.columns], *picked)

@@ -77,6 +77,12 @@ def check_links(parents: DataFrame, children: DataFrame, targets: DataFrame, r:
     child_counts = key_sizes(kids.filter(F.col("__p").isNotNull()), ["source_id", "__p"], "observed_count")
     child_keys = key_sizes(kids.filter(F.col("__c").isNotNull()), ["source_id", "__p", "__c"], "key_count")
     target_keys = key_sizes(t.filter(F.col("__t").isNotNull()), ["source_id", "__p", "__t"], "target_match_count")
+    # Both sides of a reference in one pass: targets per key, and how many children name it.
+    named = (t.select("source_id", "__p", "__t", F.lit(1).alias("target"), F.lit(0).alias("naming"))
+             .unionByName(kids.select("source_id", "__p", "__t", F.lit(0).alias("target"), F.lit(1).alias("naming")))
+             .filter(F.col("__t").isNotNull()).groupBy("source_id", "__p", "__t")
+             .agg(F.sum("target").alias("target_match_count"), F.sum("naming").alias("naming_count")))
+    target_parents = key_sizes(t.filter(F.col("__p").isNotNull()), ["source_id", "__p"], "target_count")
     zero = F.lit(0).cast("bigint")
 
     # Parents: own multiplicity and number of children.
@@ -102,7 +108,7 @@ def check_links(parents: DataFrame, children: DataFrame, targets: DataFrame, r:
     sized = parent_groups.join(child_counts, ["source_id", "__p"], "left").withColumn("observed_count", F.coalesce("observed_count", zero))
     cc = attach(kids, sized, ["source_id", "__p"], ["parent_match_count", "occurrence_date", "parent_locator"], "raw_record_id", "observed_count")
     cc = attach(cc, child_keys, ["source_id", "__p", "__c"], ["key_count"], "raw_record_id", "key_count")
-    cc = attach(cc, target_keys, ["source_id", "__p", "__t"], ["target_match_count"], "raw_record_id")
+    cc = attach(cc, named, ["source_id", "__p", "__t"], ["target_match_count"], "raw_record_id", "naming_count")
     cc = cc.withColumn("parent_match_count", F.coalesce("parent_match_count", zero)).withColumn(
         "target_match_count", F.coalesce("target_match_count", zero))
     empty = F.col(r.target).isNull() | (F.col(r.target) == "")
@@ -125,7 +131,8 @@ def check_links(parents: DataFrame, children: DataFrame, targets: DataFrame, r:
 
     # Targets: own multiplicity and their parent.
     tt = attach(t, target_keys, ["source_id", "__p", "__t"], ["target_match_count"], "raw_record_id", "target_match_count")
-    tt = attach(tt, parent_groups, ["source_id", "__p"], ["parent_match_count", "occurrence_date"], "raw_record_id")
+    above = target_parents.join(parent_groups, ["source_id", "__p"], "left")
+    tt = attach(tt, above, ["source_id", "__p"], ["parent_match_count", "occurrence_date"], "raw_record_id", "target_count")
     tt = tt.withColumn("parent_match_count", F.coalesce("parent_match_count", zero)).withColumn(
         "in_scope", F.when(F.col("parent_match_count") == 1, scope))
     tt = tt.withColumn("issues", _issues(
