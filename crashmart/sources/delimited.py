@@ -95,12 +95,11 @@ def scan(spark: SparkSession, path: str, spec: FileSpec) -> DataFrame:
     else:
         lines = spark.read.option("lineSep", "\n").text(path).select(
             F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
-            _row_in_task().alias("row"), F.regexp_replace("value", r"\r\z", "").alias("line"))
+            _row_in_task().alias("row"), F.is_valid_utf8("value").alias(VALID), F.regexp_replace("value", r"\r\z", "").alias("line"))
         parsed = F.from_csv("line", F.lit(_schema(spec).toDDL()), _csv_options())
         placed = (_positions(lines)
                   .withColumn("position", F.col("position") - 1)        # line 1 is the header
                   .filter((F.col("position") > 0) & (F.col("line") != ""))
-                  .withColumn(VALID, F.is_valid_utf8("line"))
                   .withColumn("cells", parsed)
                   .select("file", "position", "cells.*", VALID))
     # A native value is never NULL: an empty field is empty text.

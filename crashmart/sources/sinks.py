@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..errors import ContractError
 from ..operators.relations import no_rows
+from ..session import materialize
 
 SLICE = ["batch_id", "source_id", "release_scope"]
 
@@ -22,6 +23,7 @@ def read_slices(spark: SparkSession, path: str, schema) -> DataFrame:
 def append_results(results: DataFrame, path: str) -> None:
     """Append quality rows; a (batch, rule, object) already stored or repeated in the input is refused."""
     spark, keys = results.sparkSession, ["batch_id", "rule_id", "object_key"]
+    results = materialize(results, "results")      # the checks below must not run every quality plan again
     repeated = results.groupBy(*keys).count().filter("count > 1")
     if not no_rows(repeated):
         raise ContractError("QA_REPEATED", "a result object occurs twice")

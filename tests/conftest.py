@@ -13,8 +13,6 @@ def spark(tmp_path_factory):
     logging.getLogger("DataFrameQueryContextLogger").disabled = True
     session = (SparkSession.builder.master("local[8]").appName("tests").config("spark.ui.enabled", "false")
                .config("spark.sql.shuffle.partitions", "2")
-               # Tiny inputs: compiling each plan would take longer than running it.
-               .config("spark.sql.codegen.wholeStage", "false").config("spark.sql.codegen.factoryMode", "NO_CODEGEN").config("spark.sql.session.timeZone", "UTC")
                .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("scratch"))).getOrCreate())
     session.sparkContext.setLogLevel("OFF")
     yield tune(session)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from crashmart.contracts import Category
 from crashmart.errors import ContractError
-from crashmart.plans import build as B, project as P, quality as Q, release as L, reports as R, warehouse as W
+from crashmart.plans import build as B, links as K, project as P, quality as Q, release as L, reports as R, warehouse as W
 from crashmart.plans.reports import Request
 from crashmart.session import scratch_path
 from tests import small
@@ -34,13 +34,18 @@ def projected(spark, rows=None, sa=False, m=None):
     return m, p.crash, p.unit
 
 
-def results_of(spark, rows, m=None):
-    """Concrete results of a damaged snapshot, projected without gates."""
-    m = m or small.manifest(rows)
-    raw = small.raw(spark, rows)
+def results_of(spark, rows, *rules):
+    """Results of the named rules for a damaged snapshot, projected without gates."""
+    m, raw = small.manifest(rows), small.raw(spark, rows)
     p = P.project_all(raw, m, "b")
-    df = B.quality_results(raw, m, p.crash, p.unit, W.facts(p.crash), "b")
-    return {(r["rule_id"], r["object_key"]): r for r in df.collect()}
+    fact = W.facts(p.crash)
+    make = {
+        "QA03": lambda: Q.projection_results(raw, m, p.crash, p.unit, "b"),
+        "QA04": lambda: Q.auxiliary_results(raw, m, "b", K.link_counts(
+            K.source_checks(raw, m.source("vic"), m.year_from, m.year_to), "vic_person_raw")),
+        "QA05": lambda: Q.semantics_results(raw, m, p.crash, p.unit, "b"),
+        "QA07": lambda: Q.location_results(Q.location_metrics(p.crash, fact, W.dim_source(spark, m, "b"), m.year_from, m.year_to), "b")}
+    return {(r["rule_id"], r["object_key"]): r for rule in rules for r in make[rule]().collect()}
 
 
 def blocked(results):
@@ -143,30 +148,39 @@ def test_unfinished_batches_are_refused(batch):
 # ------------------------------------------------------------------------------------------------------- faulty variants
 
 def gate_error(spark, rows):
-    m, store = small.manifest(rows), B.Store(scratch_path(spark, "store"))
+    raw = small.raw(spark, rows)
     with pytest.raises(ContractError) as e:
-        B.build_batch(small.raw(spark, rows), m, store, "b1")
-    assert [r["status"] for r in store.log(spark).collect()] == ["failed"]
+        for s in small.manifest(rows).sources:
+            P.check_source(raw, s)
     return e.value
 
 
+def test_failed_build_is_logged(spark):
+    rows = small.edit("nsw_crash", 0, No_killed="-1")
+    store = B.Store(scratch_path(spark, "store"))
+    with pytest.raises(ContractError):
+        B.build_batch(small.raw(spark, rows), small.manifest(rows), store, "b1")
+    assert [r["status"] for r in store.log(spark).collect()] == ["failed"]
+    assert L.log_errors(store.log(spark)).count() == 0
+
+
 def test_duplicate_crash(spark):
     rows = small.add("nsw_crash", small.ROWS["nsw_crash"][1][0])
     e = gate_error(spark, rows)
     assert e.code == "RELATIONSHIPS" and e.details["crash_duplicate_key_count"] == 1
-    hit = results_of(spark, rows)[("QA03_PROJECTED", "resource:nsw_crash")]
+    hit = results_of(spark, rows, "QA03")[("QA03_PROJECTED", "resource:nsw_crash")]
     assert hit["result"] == "block" and hit["actual"]["metrics"]["duplicate_key_count"] == 1
 
 
 def test_orphan_unit_is_found_before_the_year_filter(spark):
     rows = small.add("vic_unit", ("9999", "01", "CAR"))
     assert gate_error(spark, rows).details["orphan_unit_count"] == 1
-    got = results_of(spark, rows)
+    got = results_of(spark, rows, "QA03", "QA04")
     assert {("QA03_PROJECTED", "resource:vic_unit"), ("QA04_AUXILIARY", "resource:vic_unit")} <= blocked(got)
 
 
 def test_unmatched_person_reference(spark):
-    got = results_of(spark, small.edit("vic_person_raw", 0, VEHICLE_ID="99"))
+    got = results_of(spark, small.edit("vic_person_raw", 0, VEHICLE_ID="99"), "QA03", "QA04")
     assert blocked(got) == {("QA04_AUXILIARY", "resource:vic_person_raw")}
     assert got[("QA04_AUXILIARY", "resource:vic_person_raw")]["actual"]["metrics"]["nonblank_unmatched_count"] == 1
 
@@ -182,7 +196,7 @@ def test_negative_count(spark):
 def test_undefined_category(spark):
     rows = small.edit("qld_crash", 0, Crash_Severity="X")
     assert gate_error(spark, rows).details["undefined_category_count"] == 1
-    assert ("QA05_SEMANTICS", "source:qld") in blocked(results_of(spark, rows))
+    assert ("QA05_SEMANTICS", "source:qld") in blocked(results_of(spark, rows, "QA05"))
 
 
 def test_overflow_and_component_mismatch(spark):
@@ -198,7 +212,7 @@ def test_invalid_coordinate_blanks_the_location_only(spark):
     assert not row["map_eligible"] and row["latitude"] is None and row["location_crs"] is None
     assert row["quality_notes"]["location"]["reason_code"] == "invalid_coordinate"
     assert crash.count() == 6
-    got = results_of(spark, rows)
+    got = results_of(spark, rows, "QA07")
     assert not blocked(got) and got[("QA07_LOCATION", "source_year:qld:2020")]["result"] == "limited"
 
 
@@ -209,10 +223,8 @@ def test_unknown_crs(spark):
     assert reasons == {"definition_unconfirmed"}
 
 
-def test_revised_batch_keeps_history(spark):
-    store = B.Store(scratch_path(spark, "store"))
-    m1 = small.manifest()
-    assert B.build_batch(small.raw(spark), m1, store, "b1") == "b1"
+def test_revised_batch_keeps_history(spark, built):
+    m1, store = built
     assert B.build_batch(small.raw(spark), m1, store, "b2") == "b1"          # nothing changed
     rows = small.edit("nsw_crash", 0, No_killed="3")
     m2 = replace(small.manifest(rows), producer_version="v2")
