@@ -17,7 +17,7 @@ from ..functions.dates import date_precision, iso_date, month_number, year_token
 from ..functions.notes import fields_note, location_note, quality_notes, severity_rule_note
 from ..functions.numbers import INT_MAX, SCALE7, count_token, decimal_token, guarded_cast, in_degrees, known_sum
 from ..functions.text import encode_key, is_blank, missing_token
-from ..model import CRASH_SCHEMA, UNIT_SCHEMA, contract_frame
+from ..model import UNIT_SCHEMA, contract_frame
 from ..operators import observations as obs
 from ..operators.filters import within_years
 from ..operators.relations import duplicate_groups, orphans
