@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .line_dedup import LEAST, RATIO, drop_lines
 from .near_duplicates import near_duplicates
+from .packing import pack, pieces
+from .piece_offsets import digests
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -18,6 +21,13 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+def vocabulary(name: str) -> str:
+    """Place of a public tokenizer file; the driver and every executor have the same package installed."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -26,3 +36,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
     return found.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+
+
+@query
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(pieces(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), 4096), 4096)
+
+
+@query
+def op7_piece_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
+@query
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drop_lines(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+
+
+ORACLES["op8_line_dedup"] = f"""
+with pages as (select distinct source, coalesce(text, '') as text from documents),
+lines as (select distinct source, text, line from (select source, text, unnest(string_split(text, chr(10))) as line from pages) where trim(line, ' ') <> ''),
+totals as (select source, count(*) as pages from pages group by source),
+boilerplate as (select l.source, l.line from lines l join totals t on l.source is not distinct from t.source
+                group by l.source, l.line, t.pages having count(*) >= {LEAST} and count(*) > {RATIO} * t.pages),
+sets as (select source, list(line) as cut from boilerplate group by source)
+select d.doc_id, d.source,
+       case when s.cut is null or d.text is null then d.text
+            else array_to_string(list_filter(string_split(d.text, chr(10)), lambda x: not list_contains(s.cut, x)), chr(10)) end as text
+from documents d left join sets s on d.source is not distinct from s.source
+"""
