@@ -11,6 +11,7 @@ from .line_dedup import LEAST, RATIO, drop_lines
 from .near_duplicates import near_duplicates
 from .packing import pack, pieces
 from .piece_offsets import digests
+from .private_data import BASE, fit, private_data, written
 from .toxicity import toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,3 +74,12 @@ select d.doc_id, d.source,
             else array_to_string(list_filter(string_split(d.text, chr(10)), lambda x: not list_contains(s.cut, x)), chr(10)) end as text
 from documents d left join sets s on d.source is not distinct from s.source
 """
+
+
+@query
+def op10_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = private_data(docs, fit(docs))
+    kinds = F.transform("base", lambda s: s["kind"])
+    counts = [(F.size("base") - F.size(F.array_remove(kinds, kind))).cast("long").alias(f"n_{kind}") for kind in BASE]
+    return found.select("doc_id", *counts, F.sha2(written(F.col("base")), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
