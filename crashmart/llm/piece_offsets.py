@@ -14,6 +14,7 @@ import heapq
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import pairwise
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-CACHED = 250_000
+CACHED = 500_000
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6      # piece types of the model format
 
 
@@ -85,6 +86,20 @@ class CharacterMap:
         return found
 
 
+class Known(dict):
+    """What segments become; those of moderate length are remembered."""
+
+    def __init__(self, encoder: Encoder):
+        super().__init__()
+        self.encoder = encoder
+
+    def __missing__(self, segment: str) -> tuple[str, bytes, str]:
+        hit = self.encoder.segment(segment)
+        if len(segment) <= 64:
+            self[segment] = hit
+        return hit
+
+
 class Encoder:
     def __init__(self, path: str):
         with open(path, "rb") as file:
@@ -108,9 +123,13 @@ class Encoder:
         self.bytes_ = {int(p[3:5], 16): i for i, (p, _, kind) in enumerate(self.pieces) if kind == BYTE}
         self.unknown = next(i for i, (*_, kind) in enumerate(self.pieces) if kind == UNKNOWN)
         self.end = next((i for i, (p, *_) in enumerate(self.pieces) if p == "</s>"), None)
-        crossing = any(SPACE in p.lstrip(SPACE) or ("\n" in p and p != "\n") for p in self.scores)
-        self.segments = re.compile(r"(?s).+" if crossing else f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
-        self.known: dict[str, tuple[str, bytes, str]] = {}
+        # Pieces never reach over a pair of neighbours that no piece contains; stops and commas are mostly such places as well.
+        met = {pair for p in self.scores for pair in pairwise(p)}
+        crossing = any(b == SPACE != a or "\n" in (a, b) for a, b in met)
+        marks = "".join(c for c in ".,;:!?" if not any(b == c and a.isalpha() for a, b in met) and not any(a == c and b.isalpha() for a, b in met))
+        word = f"{SPACE}*[^\\W_]++(?![^{SPACE}\n{marks}])|" if marks else ""
+        self.segments = re.compile(r"(?s).+" if crossing else f"{word}{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
+        self.known = Known(self)
 
     def normalise(self, text: str) -> tuple[str, np.ndarray | None]:
         """The normalised text, and for each of its bytes (and its end) the source byte. None: each byte stands for itself, but for
@@ -148,7 +167,23 @@ class Encoder:
 
     def merge(self, segment: str) -> list[str]:
         """BPE: the best pair first, of equal ones the leftmost."""
-        parts: list[str | None] = list(segment)
+        parts, scores = list(segment), self.scores
+        if len(parts) > 64:
+            return self._merge_long(parts)
+        never = float("-inf")
+        pairs = [scores.get(a + b, never) for a, b in pairwise(parts)]
+        while pairs and (best := max(pairs)) != never:
+            i = pairs.index(best)
+            parts[i: i + 2] = [parts[i] + parts[i + 1]]
+            del pairs[i]
+            if i < len(pairs):
+                pairs[i] = scores.get(parts[i] + parts[i + 1], never)
+            if i:
+                pairs[i - 1] = scores.get(parts[i - 1] + parts[i], never)
+        return parts
+
+    def _merge_long(self, parts: list[str | None]) -> list[str]:
+        """The same with a queue, for segments without a place to break."""
         before, after = list(range(-1, len(parts) - 1)), [*range(1, len(parts)), -1]
         queue: list[tuple[float, int, int, str]] = []
 
@@ -180,49 +215,39 @@ class Encoder:
             if number is not None or not self.bytes_:
                 ids.append(self.unknown if number is None else number)
                 n = len(piece.encode())
-                spans.append((n, n - 2 * piece.count(SPACE)))
+                spans += [n, n - 2 * piece.count(SPACE)]
                 surface.append(piece if number is not None else " ⁇ ")
             else:
                 raw = piece.encode()
                 ids += [self.bytes_[b] for b in raw]
                 # A space symbol has one source byte; elsewhere each byte piece has its own.
-                spans += [(1, int(piece != SPACE or i == 0)) for i in range(len(raw))]
+                spans += [n for i in range(len(raw)) for n in (1, int(piece != SPACE or i == 0))]
                 surface.append(piece)
-        return "".join(f" {i}" for i in ids), np.array(spans, "<i4").tobytes(), "".join(surface).replace(SPACE, " ")
+        return " " + " ".join(map(str, ids)), array("i", spans).tobytes(), segment if self.bytes_ else "".join(surface)
 
     def encode(self, text: str | None) -> tuple[str, np.ndarray, np.ndarray, str]:
         """Ids in decimal (blank before each, end id included), begin and end source bytes of each piece but the end id, decoded text."""
         text = text or ""
         normal, source = self.normalise(text)
-        known, found = self.known, []
-        for s in self.segments.findall(normal):
-            hit = known.get(s)
-            if hit is None:
-                hit = self.segment(s)
-                if len(s) <= 64:
-                    known[s] = hit
-            found.append(hit)
-        if len(known) > CACHED:
-            known.clear()
-        sizes = np.frombuffer(b"".join([f[1] for f in found]), "<i4").reshape(-1, 2).astype(np.int64)
-        if source is None:
-            width = sizes[:, 1].copy()
-            if SPACE in text:          # the symbol itself in a source text is three bytes long there
-                sizes, source = sizes, self._plain_source(text)
-            elif self.prefix and len(width):
-                width[0] -= 1          # the prefix has no source byte
-                if width[0] < 0:
-                    width[0] = 0
+        if len(self.known) > CACHED:
+            self.known.clear()
+        found = list(map(self.known.__getitem__, self.segments.findall(normal)))
+        ids, spans, surface = zip(*found, strict=True) if found else ((), (), ())
+        sizes = np.frombuffer(b"".join(spans), "<i4").reshape(-1, 2)
+        if source is None and SPACE in text:          # the symbol itself in a source text is three bytes long there
+            source = self._plain_source(text)
         if source is None:
-            ends = np.cumsum(width)
-            begins = ends - width
+            ends = np.cumsum(sizes[:, 1], dtype=np.int64)
+            begins = ends - sizes[:, 1]
+            if self.prefix:                           # the prefix has no source byte
+                begins, ends = np.maximum(begins - 1, 0), np.maximum(ends - 1, 0)
         else:
-            ends = np.cumsum(sizes[:, 0])
+            ends = np.cumsum(sizes[:, 0], dtype=np.int64)
             begins, ends = source[ends - sizes[:, 0]], source[ends]
-        decoded = "".join([f[2] for f in found])
+        decoded = "".join(surface).replace(SPACE, " ")
         if self.prefix and decoded.startswith(" "):
             decoded = decoded[1:]
-        return "".join([f[0] for f in found]) + f" {self.end}", begins, ends, decoded
+        return "".join(ids) + f" {self.end}", begins, ends, decoded
 
     def _plain_source(self, text: str) -> np.ndarray:
         raw = np.frombuffer(text.encode(), np.uint8)

@@ -8,11 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .line_dedup import LEAST, RATIO, drop_lines
+from .licenses import scan, scan_sql
 from .near_duplicates import near_duplicates
 from .packing import pack, pieces
 from .piece_offsets import digests
 from .private_data import BASE, fit, private_data, written
+from .segment_search import top_k, whole_numbers
+from .separator_scan import token_counts, token_files
 from .toxicity import toxicity
+from .tree_search import nearest_by_tree
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -34,6 +38,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op1_license_scan"] = scan_sql()
+
+
 @query
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -41,6 +53,28 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "n_passages")
 
 
+@query
+def op3_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_by_tree(table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
+@query
+def op4_segment_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whole_numbers(table(spark, sf_dir, "embeddings"), 1024)
+    found = top_k(rows.where(F.col("id") % 100 == 0), rows, k=10)
+    return found.select(F.col("query").alias("query_id"), "rank", F.col("id").alias("vec_id"), "score")
+
+
+ORACLES["op4_segment_search"] = """
+with whole as (select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)) as v from embeddings
+               where vec_id is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scored as (select q.vec_id as query_id, r.vec_id, list_dot_product(q.v, r.v)::bigint as score
+           from whole q join whole r on q.vec_id % 100 = 0 and q.vec_id <> r.vec_id and len(q.v) = len(r.v))
+select query_id, rank::integer as rank, vec_id, score
+from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from scored) where rank <= 10
+"""
+
+
 @query
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
@@ -76,6 +110,12 @@ from documents d left join sets s on d.source is not distinct from s.source
 """
 
 
+@query
+def op9_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = token_files(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"))
+    return token_counts(files).select("doc_id", F.col("file").alias("file_no"), "doc_no", "start", "n_tokens", "ended")
+
+
 @query
 def op10_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")

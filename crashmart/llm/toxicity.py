@@ -3,7 +3,7 @@
 1. Token counts of toxic and clean labelled rows give log-odds with an informative Dirichlet prior: the words' shares of all labelled text,
    `PRIOR` tokens strong. Log-odds are shrunk by their own uncertainty, so words that chance explains weigh nothing. Words that pass
    are counted again, once for each pair of neighbours they stand between, so that copies and repeated passages count once.
-2. Every token scores its log-odds minus `DRIFT`. The linear-time scan for all maximal scoring segments finds the toxic passages.
+2. Every token scores its log-odds, if these outweigh the drift, minus `DRIFT`. The linear-time scan for all maximal scoring segments finds the toxic passages.
 3. In clean text the best segment of n tokens follows an extreme-value law with lambda (the root of E exp(lambda s) = 1 over clean
    tokens) and K (from the clean labelled rows' segments). A document's evidence is the sum of lambda S - log(K n) over its segments
    for which that is positive, that is, of which fewer than one is expected by chance.
@@ -93,18 +93,18 @@ def _contexts(words: set[int]):
 
 
 def _weighed(counts: DataFrame, n1: int, n0: int) -> DataFrame:
-    """Words (word, bad, good, share) with their shrunk log-odds and their chance in clean text; words without weight go."""
+    """Words (word, bad, good, share) with their shrunk log-odds and their chance in clean text; words that cannot outweigh the drift go."""
     prior = F.col("share") * PRIOR
     one, two = F.col("bad") + prior, F.col("good") + prior
     odds = F.log(one / (n1 + PRIOR - one)) - F.log(two / (n0 + PRIOR - two))
     shrunk = odds * F.greatest(F.lit(0.0), 1 - CERTAIN**2 / F.greatest(odds**2 / (1 / one + 1 / two), F.lit(1e-12)))
-    return counts.where(F.col("share") >= SHARE).select("word", "share", shrunk.alias("weight"), (two / (n0 + PRIOR)).alias("clean")).where("weight <> 0")
+    return counts.where(F.col("share") >= SHARE).select("word", "share", shrunk.alias("weight"), (two / (n0 + PRIOR)).alias("clean")).where(F.col("weight") > DRIFT)
 
 
 def learn(docs: DataFrame, labels: DataFrame, teach: Column) -> Weights:
     """Word weights from the rows of docs for which `teach` holds and labels has 0 or 1 (a doc_id labelled twice counts as toxic if either is)."""
     marks = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    taught = materialize(docs.where(teach).select("doc_id", "text").join(marks, "doc_id").select("text", "toxic"), "taught")
+    taught = materialize(docs.where(teach).select("doc_id", "text").join(marks.hint("merge"), "doc_id").select("text", "toxic"), "taught")
     counts = materialize(taught.mapInPandas(_tally, "word long, bad long, good long").groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")), "words")
     n1, n0 = (counts.agg(F.coalesce(F.sum("bad"), F.lit(0)), F.coalesce(F.sum("good"), F.lit(0))).first())
     if not n1 or not n0:
@@ -164,7 +164,7 @@ def _evidence(rate: float, log_k: float) -> Column:
 def calibrate(found: DataFrame, labels: DataFrame, teach: Column, rate: float) -> Calibration:
     """K from the clean labelled rows, then the logistic curve; both from small tallies over all labelled rows of `teach`."""
     marks = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    taught = materialize(found.where(teach).join(marks, "doc_id").select("toxic", "n_tokens", "segments"), "taught")
+    taught = materialize(found.where(teach).join(marks.hint("merge"), "doc_id").select("toxic", "n_tokens", "segments"), "taught")
     clean = taught.where("toxic = 0").agg(F.sum("n_tokens").alias("n"), F.sum(F.size("segments")).alias("k")).first()
     # Segments of at least LEAST in clean text: K n exp(-rate LEAST) are expected. One more counts for those never seen.
     log_k = math.log(((clean["k"] or 0) + 1) / ((clean["n"] or 0) + 1)) + rate * LEAST
