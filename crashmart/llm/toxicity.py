@@ -2,7 +2,8 @@
 
 1. Token counts of toxic and clean labelled rows give log-odds with an informative Dirichlet prior: the words' shares of all labelled text,
    `PRIOR` tokens strong. Log-odds are shrunk by their own uncertainty, so words that chance explains weigh nothing. Words that pass
-   are counted again, once for each pair of neighbours they stand between, so that copies and repeated passages count once.
+   are counted again, once in a text and once for each pair of neighbours they stand between there, so that copies, repeated passages and
+   the favourite words of one text count once.
 2. Every token scores its log-odds, if these outweigh the drift, minus `DRIFT`. The linear-time scan for all maximal scoring segments finds the toxic passages.
 3. In clean text the best segment of n tokens follows an extreme-value law with lambda (the root of E exp(lambda s) = 1 over clean
    tokens) and K (from the clean labelled rows' segments). A document's evidence is the sum of lambda S - log(K n) over its segments
@@ -26,8 +27,8 @@ from pyspark.sql import functions as F
 
 from .frames import materialize
 
-PRIOR = 10_000.0      # tokens of prior
-CERTAIN = 5.0         # standard deviations within which log-odds count as chance
+PRIOR = 20_000.0      # tokens of prior
+CERTAIN = 3.0         # standard deviations within which log-odds count as chance
 SHARE = 1e-6          # rarer words carry no weight, so at most 1 / SHARE words do
 DRIFT = 0.5
 LEAST = 2.0           # segments below this score are not kept
@@ -86,8 +87,12 @@ def _contexts(words: set[int]):
             seen = set()
             for text, toxic in zip(batch["text"], batch["toxic"], strict=True):
                 keys = [0, *word_keys(text), 0]
-                seen.update((k, xxhash.xxh3_64_intdigest(b"%d %d" % (keys[i], keys[i + 2])) >> 1, int(toxic))
-                            for i, k in enumerate(keys[1:-1]) if k in words)
+                own: dict[int, int] = {}
+                for i, k in enumerate(keys[1:-1]):
+                    if k in words:
+                        context = xxhash.xxh3_64_intdigest(b"%d %d" % (keys[i], keys[i + 2])) >> 1
+                        own[k] = min(context, own.get(k, context))
+                seen.update((k, context, int(toxic)) for k, context in own.items())
             yield pd.DataFrame(list(seen), columns=["word", "context", "toxic"], dtype="int64")
     return run
 
