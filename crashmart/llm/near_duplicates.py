@@ -6,7 +6,7 @@ in about (1 - s) of the slots; `WIDE` further values of 8 bits are not indexed b
 `MISS`. By the pigeonhole principle two signatures within the bound agree in some chunk but for `bound // chunks` slots; each chunk is
 indexed with every choice of that many slots left out, so every pair within the bound shares a key.
 
-Steps, all on shuffles:
+Steps, all on shuffles (joins with the corpus are hinted to merge, so that plans and costs are of one kind at every size):
 1. documents with equal sets become one node, so copies cost nothing afterwards;
 2. each key links its nodes to the one of them that shares most keys; pairs within the bound are confirmed on the sets; components follow;
 3. nodes of keys that hold more than one component are compared in full, in cells of bounded size, skipping pairs that are already
@@ -264,23 +264,23 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, slots: i
     keyed = nodes.select("node", "sig").mapInPandas(_keyed(slots, keys), "node long, ks array<long>").select("node", F.posexplode("ks").alias("entry", "key"))
     shared = materialize(keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count(F.lit(1)).alias("members"))
                          .where("low < high").select("key", "members"), "shared")
-    buckets = materialize(keyed.join(shared, "key").select("key", "entry", "node", "members"), "buckets")
+    buckets = materialize(keyed.join(shared.hint("merge"), "key").select("key", "entry", "node", "members"), "buckets")
     # The text that copies were made from shares more keys than they do among themselves: it is tried first in each of its keys.
     known = materialize(buckets.groupBy("node").agg(F.sum("members").alias("known")), "known")
-    top = materialize(buckets.join(known, "node").groupBy("key").agg(F.max(F.struct("known", "node")).alias("top")).select("key", F.col("top.node").alias("top")), "top")
+    top = materialize(buckets.join(known.hint("merge"), "node").groupBy("key").agg(F.max(F.struct("known", "node")).alias("top")).select("key", F.col("top.node").alias("top")), "top")
     signed = nodes.select("node", "sig")
-    tried = (buckets.join(top, "key").where("top <> node").select(F.least("top", "node").alias("a"), F.greatest("top", "node").alias("b")).distinct())
-    near = (tried.join(signed.toDF("a", "sig_a"), "a").join(signed.toDF("b", "sig_b"), "b")
+    tried = (buckets.join(top.hint("merge"), "key").where("top <> node").select(F.least("top", "node").alias("a"), F.greatest("top", "node").alias("b")).distinct())
+    near = (tried.join(signed.toDF("a", "sig_a").hint("merge"), "a").join(signed.toDF("b", "sig_b").hint("merge"), "b")
             .mapInPandas(_within(close), "a long, b long"))
     tried = materialize(near, "pairs")
     links = _confirmed(source, nodes, tried, words, percent)
     labels = materialize(components(nodes.select("node"), links), "components")
 
     # What the first links left apart although a key is shared: compared in full, whatever the size of the group.
-    placed = buckets.join(labels, "node")
+    placed = buckets.join(labels.hint("merge"), "node")
     mixed = materialize(placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("node").alias("first"))
                         .where("low < high").select("key", "first"), "mixed")
-    open_ = materialize(placed.join(mixed, "key").select("key", "entry", "node", "members", "first", F.col("label").alias("comp")), "open")
+    open_ = materialize(placed.join(mixed.hint("merge"), "key").select("key", "entry", "node", "members", "first", F.col("label").alias("comp")), "open")
     if open_.limit(1).count():
         rest = _rest(source, nodes, open_, tried, words, percent, close)
         if rest.limit(1).count():
@@ -290,7 +290,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, slots: i
     best = materialize(placed.groupBy("label").agg(F.min("lead").alias("best")), "best")
     fates = materialize(placed.join(best, "label").select("k", F.col("best.doc_id").alias("component_id"), F.col("best.row_a").alias("best_a"),
                                                           F.col("best.row_b").alias("best_b")), "fates")
-    linked = rows.where("k is not null").join(fates, "k").select(
+    linked = rows.where("k is not null").join(fates.hint("merge"), "k").select(
         "doc_id", F.col("n").alias("n_shingles"), "component_id", "row_a", "row_b",
         ((F.col("row_a") == F.col("best_a")) & (F.col("row_b") == F.col("best_b"))).alias("winner"))
     empty = rows.where("k is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "row_a", "row_b", F.lit(True).alias("winner"))
@@ -334,7 +334,7 @@ def _gridded(members: DataFrame, *more: str) -> DataFrame:
 def _node_sets(source: DataFrame, nodes: DataFrame, needed: DataFrame, words: int) -> DataFrame:
     """(node, s): the full sets of some nodes, made again from the text of one row each."""
     wanted = materialize(nodes.join(needed, "node").select("node", F.col("lead.row_a").alias("row_a"), F.col("lead.row_b").alias("row_b")), "wanted")
-    texts = source.join(wanted, ["row_a", "row_b"]).select("node", "text")
+    texts = source.join(wanted.hint("merge"), ["row_a", "row_b"]).select("node", "text")
     return materialize(texts.mapInPandas(_sets(words), "node long, s binary").groupBy("node").agg(F.first("s").alias("s")), "shingles")
 
 
@@ -342,7 +342,7 @@ def _confirmed(source: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int
     """The pairs whose full sets reach the threshold. Sets are made again from the texts, for nodes in some pair alone."""
     needed = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
     sets = _node_sets(source, nodes, needed, words)
-    both = pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
+    both = pairs.join(sets.toDF("a", "set_a").hint("merge"), "a").join(sets.toDF("b", "set_b").hint("merge"), "b")
     return materialize(both.mapInPandas(_confirm(percent), "a long, b long"), "links")
 
 
@@ -351,4 +351,4 @@ def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     row = text_key(F.col("doc_id"), F.col("text"))
     keyed = docs.withColumns({"__a": row["a"], "__b": row["b"]})
     stay = materialize(near_duplicates(docs, words, percent).where("winner").select(F.col("row_a").alias("__a"), F.col("row_b").alias("__b")).distinct(), "stay")
-    return keyed.join(stay, ["__a", "__b"]).dropDuplicates(["__a", "__b"]).select(*docs.columns)
+    return keyed.join(stay.hint("merge"), ["__a", "__b"]).dropDuplicates(["__a", "__b"]).select(*docs.columns)

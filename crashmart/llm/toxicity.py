@@ -1,7 +1,7 @@
 """Toxic passages: maximum-scoring segments of token log-odds, aggregated by their extreme-value significance.
 
 1. Token counts of toxic and clean labelled rows give log-odds with an informative Dirichlet prior: the words' shares of all labelled text,
-   `PRIOR` tokens strong. Log-odds are shrunk by their own uncertainty, so words that chance explains weigh nothing. Words that pass
+   as strong as `PRIOR` of that text. Log-odds are shrunk by their own uncertainty, so words that chance explains weigh nothing. Words that pass
    are counted again, once in a text and once for each pair of neighbours they stand between there, so that copies, repeated passages and
    the favourite words of one text count once.
 2. Every token scores its log-odds, if these outweigh the drift, minus `DRIFT`. The linear-time scan for all maximal scoring segments finds the toxic passages.
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .frames import materialize
 
-PRIOR = 20_000.0      # tokens of prior
+PRIOR = 0.05          # strength of the prior as a share of all labelled tokens
 CERTAIN = 3.0         # standard deviations within which log-odds count as chance
 SHARE = 1e-6          # rarer words carry no weight, so at most 1 / SHARE words do
 DRIFT = 0.5
@@ -99,11 +99,12 @@ def _contexts(words: set[int]):
 
 def _weighed(counts: DataFrame, n1: int, n0: int) -> DataFrame:
     """Words (word, bad, good, share) with their shrunk log-odds and their chance in clean text; words that cannot outweigh the drift go."""
-    prior = F.col("share") * PRIOR
+    strength = PRIOR * (n1 + n0)
+    prior = F.col("share") * strength
     one, two = F.col("bad") + prior, F.col("good") + prior
-    odds = F.log(one / (n1 + PRIOR - one)) - F.log(two / (n0 + PRIOR - two))
+    odds = F.log(one / (n1 + strength - one)) - F.log(two / (n0 + strength - two))
     shrunk = odds * F.greatest(F.lit(0.0), 1 - CERTAIN**2 / F.greatest(odds**2 / (1 / one + 1 / two), F.lit(1e-12)))
-    return counts.where(F.col("share") >= SHARE).select("word", "share", shrunk.alias("weight"), (two / (n0 + PRIOR)).alias("clean")).where(F.col("weight") > DRIFT)
+    return counts.where(F.col("share") >= SHARE).select("word", "share", shrunk.alias("weight"), (two / (n0 + strength)).alias("clean")).where(F.col("weight") > DRIFT)
 
 
 def learn(docs: DataFrame, labels: DataFrame, teach: Column) -> Weights:
