@@ -27,7 +27,7 @@ def frames(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFram
         F.when(F.col("o_orderstatus") == "P", F.concat(day, F.lit("x"))).otherwise(day).alias("date_text"),
         F.when(F.col("o_orderpriority") == "5-LOW", "").when(F.col("o_orderpriority") == "2-HIGH", "-1").otherwise((key % 8).cast("string")).alias("count_text"))
     identity = [F.col(c) for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]
-    spot = F.concat(F.lit("csv:"), F.concat_ws("", *[F.lpad(c.cast("string"), 9, "0") for c in identity]))
+    spot = F.concat(F.lit("csv:"), F.concat_ws("", *[F.lpad(c.cast("string"), 20, "0") for c in identity]))
     base = li.select(
         F.lit("orders").alias("source_id"), spot.alias("row_locator"), record_id(F.lit("lines"), *identity).alias("raw_record_id"),
         F.when(F.col("l_quantity") > 49, F.lit("")).otherwise(F.col("l_orderkey").cast("string")).alias("parent_key"),
@@ -90,7 +90,7 @@ def link_summary(spark, sf):
 def link_child_rows(spark, sf):
     """Every child row with the state of its reference and whether its parent lies in the analysis years."""
     c = _checks(spark, sf).children
-    part = lambda i: F.regexp_replace(F.substring("row_locator", 5 + 9 * i, 9), r"\A0+(?=[0-9])", "")
+    part = lambda i: F.regexp_replace(F.substring("row_locator", 5 + 20 * i, 20), r"\A0+(?=[0-9])", "")
     return c.select(part(0).alias("order_text"), "child_key", part(2).alias("part_text"), "target_reference", "in_scope", "parent_match_count")
 
 

@@ -24,8 +24,7 @@ def duplicate_flags(spark, sf):
     li = t.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
     key = ["l_orderkey", "l_linenumber"]
     groups = li.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("l_quantity") > 25).alias("big_n"))
-    li = li.withColumn("row_id", F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))
-    return rel.attach(li, groups, key, ["n", "big_n"], "row_id", "n").drop("row_id", "l_quantity")
+    return rel.attach(li, groups, key, ["n", "big_n"]).drop("l_quantity")
 
 
 @query("orphan_children", """SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') GROUP BY ALL""")

@@ -56,10 +56,13 @@ def delimited_multi_line(spark, sf):
     return delimited.scan(spark, path, PAGES).select("page_id", F.sha2("html", 256).alias("html_hash"))
 
 
-@query("file_inventory")
+@query("file_inventory", """SELECT doc_id, CAST(strlen(text) + 1 AS BIGINT) AS byte_size, sha256(text || chr(10)) AS file_sha256 FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL""")
 def file_inventory(spark, sf):
-    """Name, size and SHA-256 of every table file of the scale factor."""
-    return inventory.inventory(spark, f"{sf}/*.parquet").select(F.regexp_extract("path", r"([^/]+)\z", 1).alias("file_name"), "byte_size", "file_sha256")
+    """Size and SHA-256 of files: every document is written as a text file of its own first."""
+    path = scratch_path(spark, "files")
+    t.table(spark, sf, "documents").select("doc_id", "text").filter("doc_id is not null and text is not null").write.partitionBy("doc_id").text(path)
+    found = inventory.inventory(spark, f"{path}/*/*.txt")
+    return found.select(F.regexp_extract("path", r"doc_id=([0-9]+)", 1).cast("bigint").alias("doc_id"), "byte_size", "file_sha256")
 
 
 @query("record_round_trip", t.SQL_BASE + """SELECT resource_id, n AS row_count, n AS raw_count, CAST(0 AS BIGINT) AS bad_locator_count, CAST(0 AS BIGINT) AS repeated_position_count, true AS count_match FROM (

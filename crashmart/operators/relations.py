@@ -1,8 +1,9 @@
 """Keys, parents and children.
 
 Counts are taken on keys that were aggregated first: a key holding a third of all rows leaves the map side as one row.
-Where every row must learn something about its group, `attach` sends the few heavy keys through a broadcast whose size is
-bounded by construction and everything else through an ordinary shuffle join.
+Where every row must learn something about its group, `attach` joins to group rows that were written first. Both sides of that join
+are then plain shuffles, which adaptive execution splits when a key is large; a join straight to an aggregate of the same key is
+one it cannot split.
 """
 
 from __future__ import annotations
@@ -11,10 +12,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-# Keys above this many rows may travel by broadcast, the largest ones first and never more than HEAVY_KEYS of them.
-HEAVY_ROWS = 100_000
-HEAVY_KEYS = 2_000
-SPREAD = 1 << 16
+from ..session import materialize
 
 
 def no_rows(df: DataFrame) -> bool:
@@ -44,26 +42,14 @@ def declared_vs_observed(parents: DataFrame, key: list[str], declared: Column, c
             .withColumn("count_delta", F.col("observed_count") - F.col("declared_count")))
 
 
-def attach(detail: DataFrame, groups: DataFrame, on: list[str], values: list[str], spread_by: str, size: str) -> DataFrame:
-    """Left join of many detail rows to unique group rows, safe when some keys are very heavy.
-
-    ``size`` names the column of groups that says how many detail rows a key has (a rough number will do: it only decides
-    which way a key travels). ``spread_by`` is a unique detail column that spreads the rows needing no shuffle partner.
-    """
-    # At most HEAVY_KEYS rows whatever the data size, so this broadcast is bounded by construction. A key left out holds at
-    # most 1/HEAVY_KEYS of the rows and shuffles like any other.
-    heavy = groups.filter(F.col(size) > HEAVY_ROWS).orderBy(F.desc(size)).limit(HEAVY_KEYS).select(
-        *on, *[F.col(v).alias(f"__h_{v}") for v in values], F.lit(True).alias("__heavy"))
+def attach(detail: DataFrame, groups: DataFrame, on: list[str], values: list[str]) -> DataFrame:
+    """Left join of many detail rows to unique group rows, whatever the size of a key. Rows with a NULL key go around the join."""
     known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in on])
-    marked = detail.join(F.broadcast(heavy), on, "left")
-    needs = known & F.col("__heavy").isNull()
-    spread = F.when(needs, F.lit(0)).otherwise(1 + F.pmod(F.xxhash64(spread_by), F.lit(SPREAD)).cast("int"))
-    # Reading the size here keeps both uses of groups identical, so Spark computes and shuffles them once.
-    light = groups.select(*on, *[F.col(v).alias(f"__l_{v}") for v in values],
-                          F.when(F.coalesce(size, F.lit(0)) >= 0, 0).otherwise(0).alias("__spread"))
-    joined = marked.withColumn("__spread", spread).join(light, [*on, "__spread"], "left")
-    picked = [F.when(F.col("__heavy"), F.col(f"__h_{v}")).otherwise(F.col(f"__l_{v}")).alias(v) for v in values]
-    return joined.select(*[F.col(f"`{c}`") for c in detail.columns], *picked)
+    lookup = materialize(groups.select(*on, *[F.col(v).alias(f"__g_{v}") for v in values]), "groups")
+    own = [F.col(f"`{c}`") for c in detail.columns]
+    found = detail.filter(known).join(lookup, on, "left").select(*own, *[F.col(f"__g_{v}").alias(v) for v in values])
+    kinds = {f.name: f.dataType for f in groups.schema.fields}
+    return found.union(detail.filter(~known).select(*own, *[F.lit(None).cast(kinds[v]).alias(v) for v in values]))
 
 
 def category_totals(df: DataFrame, column: Column, categories: DataFrame, name: str, count: str) -> DataFrame:

@@ -100,7 +100,7 @@ def build_batch(raw: DataFrame, manifest: Manifest, store: Store, batch_id: str,
         append_results(Q.summary_results(store.results(spark).filter(mine), batch_id), store.path("qa"))
         L.publish(store.results(spark), store.path("log"), batch_id, manifest)
     except Exception as exc:
-        L.fail(spark, store.path("log"), batch_id, manifest, str(exc)[:2000])
+        L.fail(spark, store.path("log"), batch_id, manifest, str(exc))
         raise
     return batch_id
 

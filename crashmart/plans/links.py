@@ -46,8 +46,30 @@ def _valid(column: str) -> Column:
     return ~is_blank(column)
 
 
-def _issues(*tests: tuple[Column, str]) -> Column:
-    return F.array_compact(F.array(*[F.when(F.coalesce(cond, F.lit(False)), F.lit(name)) for cond, name in tests]))
+# Column that says how often a row's own key occurs in its frame.
+MULTIPLICITY = {"parent": "parent_match_count", "child": "key_count", "target": "target_match_count"}
+# Issue of a reference in each state that is one.
+REFERENCE_ISSUES = {
+    "invalid_whitespace": "invalid_target_reference", "unmatched": "unmatched_nonblank_target_ref", "ambiguous": "ambiguous_target_reference",
+    "unresolved_blank": "blank_target_reference_unconfirmed", "forbidden_blank": "blank_target_reference_forbidden"}
+
+
+def _issues(frame: str, r: LinkRules) -> Column:
+    """Issue codes of a row of one frame. Keys are judged alike everywhere; parents add their count, the others their parent, children their reference."""
+    key, above = F.col("__p"), F.col("parent_match_count")
+    found = {"invalid_parent_key": key.isNull()}
+    if frame != "parent":
+        found[f"invalid_{frame}_key"] = is_blank(getattr(r, frame))
+    found[f"duplicate_{frame}_key"] = F.col(MULTIPLICITY[frame]) > 1
+    if frame == "parent":
+        stated = F.nullif(F.col(r.declared), F.lit("")).isNotNull()
+        found |= {"invalid_parent_date": F.col("occurrence_date").isNull(), "invalid_child_count": stated & F.col("declared_count").isNull(),
+                  "child_count_scope_unconfirmed": F.lit(not (r.count_scope_confirmed or r.diagnostic)), "child_count_mismatch": F.col("count_delta") != 0}
+    else:
+        found |= {"missing_parent": key.isNotNull() & (above == 0), "ambiguous_parent": above > 1}
+    if frame == "child":
+        found |= {code: F.col("target_reference") == state for state, code in REFERENCE_ISSUES.items()}
+    return F.array_compact(F.array(*[F.when(holds, F.lit(code)) for code, holds in found.items()]))
 
 
 def _key(column: str) -> Column:
@@ -88,7 +110,7 @@ def check_links(parents: DataFrame, children: DataFrame, targets: DataFrame, r:
     # Parents: own multiplicity and number of children.
     info = (parent_groups.select("source_id", "__p", "parent_match_count").join(child_counts, ["source_id", "__p"], "left")
             .withColumn("observed_count", F.coalesce("observed_count", zero)))
-    pc = attach(p, info, ["source_id", "__p"], ["parent_match_count", "observed_count"], "raw_record_id", "parent_match_count")
+    pc = attach(p, info, ["source_id", "__p"], ["parent_match_count", "observed_count"])
     ok = F.col("__p").isNotNull() & (F.col("parent_match_count") == 1) & F.col("declared_count").isNotNull()
     delta = F.col("observed_count") - F.col("declared_count")
     absent = F.col(r.declared).isNull() | (F.col(r.declared) == "")
@@ -97,18 +119,13 @@ def check_links(parents: DataFrame, children: DataFrame, targets: DataFrame, r:
              .when(F.lit(not r.count_scope_confirmed), "unconfirmed").otherwise("compared"))
     pc = (pc.withColumn("count_state", state).withColumn("count_delta", F.when(ok & F.lit(r.count_scope_confirmed), delta))
           .withColumn("diagnostic_count_delta", F.when(ok, delta)).withColumn("in_scope", scope))
-    pc = pc.withColumn("issues", _issues(
-        (F.col("__p").isNull(), "invalid_parent_key"), (F.col("parent_match_count") > 1, "duplicate_parent_key"),
-        (F.col("occurrence_date").isNull(), "invalid_parent_date"),
-        (~absent & F.col("declared_count").isNull(), "invalid_child_count"),
-        (F.lit(not r.count_scope_confirmed and not r.diagnostic), "child_count_scope_unconfirmed"),
-        (F.col("count_delta") != 0, "child_count_mismatch")))
+    pc = pc.withColumn("issues", _issues("parent", r))
 
     # Children: parent facts, own key multiplicity, matches of the reference.
     sized = parent_groups.join(child_counts, ["source_id", "__p"], "left").withColumn("observed_count", F.coalesce("observed_count", zero))
-    cc = attach(kids, sized, ["source_id", "__p"], ["parent_match_count", "occurrence_date", "parent_locator"], "raw_record_id", "observed_count")
-    cc = attach(cc, child_keys, ["source_id", "__p", "__c"], ["key_count"], "raw_record_id", "key_count")
-    cc = attach(cc, named, ["source_id", "__p", "__t"], ["target_match_count"], "raw_record_id", "naming_count")
+    cc = attach(kids, sized, ["source_id", "__p"], ["parent_match_count", "occurrence_date", "parent_locator"])
+    cc = attach(cc, child_keys, ["source_id", "__p", "__c"], ["key_count"])
+    cc = attach(cc, named, ["source_id", "__p", "__t"], ["target_match_count"])
     cc = cc.withColumn("parent_match_count", F.coalesce("parent_match_count", zero)).withColumn(
         "target_match_count", F.coalesce("target_match_count", zero))
     empty = F.col(r.target).isNull() | (F.col(r.target) == "")
@@ -119,27 +136,15 @@ def check_links(parents: DataFrame, children: DataFrame, targets: DataFrame, r:
                  .when(F.col("__p").isNull(), "invalid_parent_key").when(F.col("target_match_count") == 0, "unmatched")
                  .when(F.col("target_match_count") > 1, "ambiguous").otherwise("matched"))
     cc = cc.withColumn("target_reference", reference).withColumn("in_scope", F.when(F.col("parent_match_count") == 1, scope))
-    is_ = lambda name: F.col("target_reference") == name
-    cc = cc.withColumn("issues", _issues(
-        (F.col("__p").isNull(), "invalid_parent_key"), (is_blank(r.child), "invalid_child_key"),
-        (F.col("key_count") > 1, "duplicate_child_key"),
-        (F.col("__p").isNotNull() & (F.col("parent_match_count") == 0), "missing_parent"),
-        (F.col("parent_match_count") > 1, "ambiguous_parent"), (is_("invalid_whitespace"), "invalid_target_reference"),
-        (is_("unmatched"), "unmatched_nonblank_target_ref"), (is_("ambiguous"), "ambiguous_target_reference"),
-        (is_("unresolved_blank"), "blank_target_reference_unconfirmed"),
-        (is_("forbidden_blank"), "blank_target_reference_forbidden")))
+    cc = cc.withColumn("issues", _issues("child", r))
 
     # Targets: own multiplicity and their parent.
-    tt = attach(t, target_keys, ["source_id", "__p", "__t"], ["target_match_count"], "raw_record_id", "target_match_count")
+    tt = attach(t, target_keys, ["source_id", "__p", "__t"], ["target_match_count"])
     above = target_parents.join(parent_groups, ["source_id", "__p"], "left")
-    tt = attach(tt, above, ["source_id", "__p"], ["parent_match_count", "occurrence_date"], "raw_record_id", "target_count")
+    tt = attach(tt, above, ["source_id", "__p"], ["parent_match_count", "occurrence_date"])
     tt = tt.withColumn("parent_match_count", F.coalesce("parent_match_count", zero)).withColumn(
         "in_scope", F.when(F.col("parent_match_count") == 1, scope))
-    tt = tt.withColumn("issues", _issues(
-        (F.col("__p").isNull(), "invalid_parent_key"), (is_blank(r.target), "invalid_target_key"),
-        (F.col("target_match_count") > 1, "duplicate_target_key"),
-        (F.col("__p").isNotNull() & (F.col("parent_match_count") == 0), "missing_parent"),
-        (F.col("parent_match_count") > 1, "ambiguous_parent")))
+    tt = tt.withColumn("issues", _issues("target", r))
     drop = ["__p", "__t", "__c"]
     return LinkChecks(pc.drop(*drop), cc.drop(*drop), tt.drop(*drop))
 

@@ -43,13 +43,14 @@ def count_quality(df: DataFrame, parts: list[str], total: str, first: str) -> Da
     fields = [*parts, total]
     missing = reduce(lambda a, b: a | b, [trimmed_or_null(f).isNull() for f in fields])
     invalid = reduce(lambda a, b: a | b, [F.coalesce(~F.trim(F.col(f"`{f}`")).rlike(DIGITS), F.lit(False)) for f in fields])
-    value = lambda f: F.trim(F.col(f"`{f}`")).try_cast("bigint")
+    # Digit tokens are whole numbers of any length: what 38 digits cannot hold fails the job rather than leave the sums.
+    value = lambda f: F.when(known, F.trim(F.col(f"`{f}`"))).cast("decimal(38,0)")
     known = ~missing & ~invalid
     added = reduce(lambda a, b: a + b, [value(f) for f in parts])
     return df.agg(
         F.count_if(missing).alias("rows_with_missing_count"), F.count_if(invalid).alias("rows_with_invalid_count"),
         F.count_if(F.coalesce(known & (added != value(total)), F.lit(False))).alias("component_mismatch_rows"),
-        F.sum(F.when(known, value(first))).alias("first_part_sum"), F.sum(F.when(known, value(total))).alias("total_sum"))
+        F.sum(value(first)).cast("bigint").alias("first_part_sum"), F.sum(value(total)).cast("bigint").alias("total_sum"))
 
 
 def wide_totals(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -62,7 +63,7 @@ def wide_totals(df: DataFrame, columns: list[str]) -> DataFrame:
     return long.groupBy("category").agg(
         F.count_if(empty).alias("missing_rows"),
         F.count_if(F.col("raw_value").isNotNull() & ~number).alias("invalid_rows"),
-        F.sum(F.when(number, t.try_cast("bigint"))).alias("aggregate_sum"),
+        F.sum(F.when(number, t).cast("decimal(38,0)")).cast("bigint").alias("aggregate_sum"),
         F.count_if(F.coalesce(t.rlike(r"\A[1-9][0-9]*\z"), F.lit(False))).alias("rows_above_zero"))
 
 

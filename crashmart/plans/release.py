@@ -108,13 +108,18 @@ def latest_status(log: DataFrame) -> DataFrame:
 
 
 def publish(results: DataFrame, log_path: str, batch_id: str, manifest: Manifest) -> None:
-    """Check the gate, then append the succeeded row. The pointer is the latest such row, so history stays readable."""
+    """Check the gate, then append the succeeded row. The pointer is the latest such row, so history stays readable.
+
+    All findings of a refused batch are written beside the log, in a folder of their own; the message names it and shows the first.
+    """
     spark = results.sparkSession
     mine = results.filter(F.col("batch_id") == batch_id)
     findings = gate_findings(mine, required_objects(spark, manifest))
     first = findings.orderBy("rule_id", "object_key", "reason").limit(5).collect()   # examples for the message only
     if first:
-        raise ContractError("PUBLICATION_QA", "the batch may not be published", findings=[tuple(r) for r in first])
+        kept = f"{log_path.rstrip('/')}-findings/{batch_id}"
+        findings.write.mode("overwrite").parquet(kept)
+        raise ContractError("PUBLICATION_QA", "the batch may not be published", count=spark.read.parquet(kept).count(), table=kept, findings=[tuple(r) for r in first])
     if not no_rows(summary_differences(mine)):
         raise ContractError("PUBLICATION_QA_SUMMARY", "summaries differ from their objects")
     batch_row(spark, batch_id, manifest, "succeeded").write.mode("append").parquet(log_path)

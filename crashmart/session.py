@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .errors import ContractError
+
 # Runtime settings only; each is set by `tune` on a session that has not chosen its own value.
 RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -27,9 +29,11 @@ def tune(spark: SparkSession) -> SparkSession:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """Shared folder named by the session; a local one only where the session names none (tests)."""
+    """Shared folder named by the session. A local session may name none and gets one of its own; on a cluster that is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ContractError("NO_SHARED_FOLDER", "set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="crashmart-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")

@@ -32,7 +32,7 @@ def inventory(spark: SparkSession, path: str) -> DataFrame:
     """(path, byte_size, file_sha256) per file. Listing reads no content; hashing is spread over the cluster."""
     listed = spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("byte_size"))
     width = spark.sparkContext.defaultParallelism
-    return (listed.repartition(width, "path")
+    return (listed.repartition(width)
             .mapInPandas(_hash_files, "path string, byte_size bigint, file_sha256 string"))
 
 

@@ -7,15 +7,22 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from ..errors import ContractError
 
 
+SCIENTIFIC = r"\A(-?)([0-9])\.([0-9]+)E(-?[0-9]+)\z"
+
+
 def _plain_double(c: Column) -> Column:
-    """Shortest decimal form without an exponent. NaN and infinities fail the job, as does more than 38 digits."""
+    """Shortest decimal form without an exponent: the point moves in the text, so no digit is lost. NaN and infinities fail the job."""
     text = c.cast("string")
-    exact = text.try_cast("decimal(38,18)").cast("string")
-    whole = F.regexp_replace(exact, r"\.0+\z", "")
-    trimmed = F.regexp_replace(F.regexp_replace(exact, r"0+\z", ""), r"\.\z", ".0")
-    plain = F.when(F.abs(c) >= 1e16, whole).otherwise(trimmed)
-    return F.when(c.isNull(), F.lit(None).cast("string")).when(~text.contains("E") & text.rlike(r"\A-?[0-9]"), text).otherwise(
-        F.coalesce(plain, F.raise_error(F.lit("INVALID_NUMBER: only finite numbers up to 38 digits")).cast("string")))
+    part = lambda i: F.regexp_extract(text, SCIENTIFIC, i)
+    digits = F.regexp_replace(F.concat(part(2), part(3)), r"(?<=.)0+\z", "")
+    power = F.coalesce(part(4).try_cast("int"), F.lit(0))
+    before = power + 1      # digits in front of the point
+    whole = F.concat(digits, F.repeat(F.lit("0"), F.greatest(F.lit(0), before - F.length(digits))), F.when(F.abs(c) < 1e16, ".0").otherwise(""))
+    broken = F.concat(F.substring(digits, F.lit(1), F.greatest(F.lit(0), before)), F.lit("."), F.substring(digits, F.greatest(F.lit(1), before + 1), F.length(digits)))
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), F.greatest(F.lit(0), -before)), digits)
+    plain = F.concat(part(1), F.when(before <= 0, small).when(F.length(digits) > before, broken).otherwise(whole))
+    return (F.when(c.isNull(), F.lit(None).cast("string")).when(text.rlike(r"\A-?[0-9.]+\z"), text).when(text.rlike(SCIENTIFIC), plain)
+            .otherwise(F.raise_error(F.lit("INVALID_NUMBER: only finite numbers have a native form")).cast("string")))
 
 
 def _moment(c: Column) -> Column:

@@ -95,23 +95,33 @@ def test_representative_is_the_lowest_numeric_position(spark):
 
 # -------------------------------------------------------------------------------------------------------------- hot keys
 
-def test_attach_gives_the_plain_join_with_a_hot_key(spark, monkeypatch):
-    monkeypatch.setattr(rel, "HEAVY_ROWS", 50)
+def test_attach_gives_the_plain_join_with_a_hot_key(spark):
     rows = [(i, "hot" if i % 3 == 0 else None if i % 3 == 1 else f"k{i % 40}") for i in range(900)]
     detail = spark.createDataFrame(rows, "id int, k string")
     groups = detail.filter("k is not null").groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("top"))
-    got = rel.attach(detail, groups, ["k"], ["n", "top"], "id", "n")
+    got = rel.attach(detail, groups, ["k"], ["n", "top"])
     want = detail.join(groups, "k", "left").select("id", "k", "n", "top")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
-def test_attach_with_more_hot_keys_than_may_be_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(rel, "HEAVY_ROWS", 5)
-    monkeypatch.setattr(rel, "HEAVY_KEYS", 2)
-    detail = spark.createDataFrame([(i, f"k{i % 6}") for i in range(120)], "id int, k string")
-    groups = detail.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
-    got = rel.attach(detail, groups, ["k"], ["n"], "id", "n")
-    assert got.count() == 120 and {r["n"] for r in got.collect()} == {20}
+def test_attach_splits_a_hot_key(spark):
+    """A key with a third of the rows is dealt to several tasks."""
+    conf = {"spark.sql.shuffle.partitions": "8", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k",
+            "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        n = 200_000
+        detail = spark.range(0, n, 1, 8).select("id", F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id") % 1000).alias("k"), F.sha2(F.col("id").cast("string"), 256).alias("pad"))
+        groups = detail.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+        found = rel.attach(detail, groups, ["k"], ["n"])
+        largest = found.groupBy(F.spark_partition_id().alias("task")).count().agg(F.max("count")).first()[0]
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert largest < n / 6
 
 
 def test_repeated_keys_never_multiply(spark):
