@@ -24,14 +24,15 @@ def _absent(token: Column) -> Column:
     return token.isNull() | (token == "")
 
 
+# A finite number as it may be written, blanks around it allowed; casts alone also take type suffixes and hexadecimal forms.
+NUMBER = r"\A\s*[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?\s*\z"
+
+
 def classify(lat: Column, lon: Column) -> Column:
-    """NULL for a usable observation, else the first thing wrong with it."""
+    """NULL for a usable observation, else the first thing wrong with it. A magnitude the exact type cannot hold is a number, but out of range."""
     la, lo = decimal_token(lat), decimal_token(lon)
-    # A magnitude the exact type cannot hold is a number, but out of range.
-    la_wide, lo_wide = lat.try_cast("double"), lon.try_cast("double")
-    number = lambda exact, wide: exact.isNotNull() | (wide.isNotNull() & ~F.isnan(wide) & (F.abs(wide) < float("inf")))
-    return (F.when(~_absent(lat) & ~number(la, la_wide), TOKEN)
-            .when(~_absent(lon) & ~number(lo, lo_wide), TOKEN)
+    return (F.when(~_absent(lat) & ~lat.rlike(NUMBER), TOKEN)
+            .when(~_absent(lon) & ~lon.rlike(NUMBER), TOKEN)
             .when(_absent(lat) | _absent(lon), INCOMPLETE)
             .when(la.isNull() | ~la.between(-90, 90), LATITUDE)
             .when(lo.isNull() | ~lo.between(-180, 180), LONGITUDE))

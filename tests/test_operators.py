@@ -117,11 +117,11 @@ def test_attach_splits_a_hot_key(spark):
         detail = spark.range(0, n, 1, 8).select("id", F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id") % 1000).alias("k"), F.sha2(F.col("id").cast("string"), 256).alias("pad"))
         groups = detail.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
         found = rel.attach(detail, groups, ["k"], ["n"])
-        largest = found.groupBy(F.spark_partition_id().alias("task")).count().agg(F.max("count")).first()[0]
+        tasks = found.groupBy(F.spark_partition_id().alias("task")).agg(F.count("n").alias("rows"), F.max("pad")).collect()
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-    assert largest < n / 6
+    assert sum(r["rows"] for r in tasks) == n and max(r["rows"] for r in tasks) < n / 6
 
 
 def test_repeated_keys_never_multiply(spark):
@@ -214,3 +214,10 @@ def test_coverage_change():
     assert not Q.coverage_explained(a, (Coverage(2020, 2021, (1, 2), "x"),))
     assert not Q.coverage_explained(a, (Coverage(2020, 2022, (1, 2), "y"),))
     assert Q.coverage_explained(a, (Coverage(2020, 2021, (1, 2), "x"),), (a, (Coverage(2020, 2021, (1, 2), "x"),)))
+
+
+def test_number_tokens(spark):
+    """Suffixes and hexadecimal forms are no numbers; a number too large for any double is one, out of range."""
+    rows = [("12.5d", "1"), ("0x1p3", "1"), ("1e400", "1"), ("NaN", "1"), ("Infinity", "1"), (" 12.5 ", "1"), ("+.5", "1"), ("5.", "1"), ("1", "12.5f")]
+    got = [r["d"] for r in spark.createDataFrame(rows, "a string, b string").select(O.classify(F.col("a"), F.col("b")).alias("d")).collect()]
+    assert got == [O.TOKEN, O.TOKEN, O.LATITUDE, O.TOKEN, O.TOKEN, None, None, None, O.TOKEN]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import csv
 import hashlib
 from datetime import date, datetime
@@ -130,3 +131,14 @@ def test_evidence_count_must_match(spark, tmp_path):
     sinks.write_differences(df, str(tmp_path / "ok"), 2)
     with pytest.raises(ContractError):
         sinks.write_differences(df, str(tmp_path / "bad"), 3)
+
+
+def test_doubles_keep_every_digit(spark):
+    """The text of a double without an exponent reads back as the same double."""
+    rng = random.Random(1)
+    values = [1e-20, 1.23e-19, 1.2345678901234568e-05, 1e21, 1e25, 1e16, 1.5e16, 123456789.125, 1e7, -2.5e-300, 1.7976931348623157e308, 5e-324, 0.0, -0.0, 100.0]
+    values += [rng.uniform(-1, 1) * 10.0 ** rng.randint(-300, 300) for _ in range(300)]
+    got = [r["x"] for r in native_text(spark.createDataFrame([(v,) for v in values], "x double")).collect()]
+    assert [v for g, v in zip(got, values, strict=True) if "E" in g or float(g) != v] == []
+    assert got[:6] == ["0.00000000000000000001", "0.000000000000000000123", "0.000012345678901234568", "1" + "0" * 21, "1" + "0" * 25, "1" + "0" * 16]
+    assert got[7:9] == ["123456789.125", "10000000.0"]
