@@ -158,7 +158,8 @@ def _records(df: DataFrame, spec: FileSpec, number: F.Column, unique: list[F.Col
 
 def build_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Native text records of all nine files of the five sources."""
-    m, orders = manifest(), base_orders(spark, sf_dir)
+    # Nine files are projections of the same orders: these are joined once and written.
+    m, orders = manifest(), staged(spark, sf_dir, "base_orders", lambda: base_orders(spark, sf_dir), ["source_id"])
     key, status, priority = F.col("o_orderkey"), F.col("o_orderstatus"), F.col("o_orderpriority")
     names = F.array(*[F.lit(n) for n in MONTHS])
     month = F.element_at(names, F.month("o_orderdate"))
