@@ -2,8 +2,7 @@
 
 A file set without line breaks inside fields is scanned line by line, which Spark can split at any size. Positions are
 then counted per split and shifted by the split's offset, so a locator is the logical record number in its own file even
-though no task sees a whole file. Files with line breaks inside quoted fields go through Spark's multi-line reader, one
-task per file.
+though no task sees a whole file. Where quoted fields hold line breaks, lines are put together to records first, by the quotes before them.
 """
 
 from __future__ import annotations
@@ -13,11 +12,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F,
 from ..contracts import FileSpec
 from ..errors import ContractError
 from ..functions.hashing import record_id
+from ..session import materialize
 
 CORRUPT, VALID = "_malformed", "_valid_utf8"
 BOM = "\ufeff"
-# A split is described by four small values; the offsets frame is broadcast below this many splits.
-MAX_BROADCAST_SPLITS = 200_000
 
 
 def read_header(spark: SparkSession, path: str) -> list[tuple[str, list[str]]]:
@@ -73,35 +71,48 @@ def _positions(rows: DataFrame) -> DataFrame:
     """Add `position` (1-based, per file) to rows carrying file, start and row."""
     splits = rows.groupBy("file", "start").agg(F.min("row").alias("first_row"), F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)   # rows are splits
-    offsets = splits.select("file", "start", "first_row",
-                            F.coalesce(F.sum("n").over(before), F.lit(0).cast("bigint")).alias("offset"))
-    if rows.rdd.getNumPartitions() <= MAX_BROADCAST_SPLITS:
-        offsets = F.broadcast(offsets)
+    # Written first: Spark then knows the size, and broadcasts the few values of each split or shuffles the lines as that allows.
+    offsets = materialize(splits.select("file", "start", "first_row",
+                                        F.coalesce(F.sum("n").over(before), F.lit(0).cast("bigint")).alias("offset")), "offsets")
     return (rows.join(offsets, ["file", "start"])
             .withColumn("position", F.col("offset") + F.col("row") - F.col("first_row") + 1)
             .drop("start", "row", "first_row", "offset"))
 
 
+def _logical_records(lines: DataFrame) -> DataFrame:
+    """Lines (file, start, row, _valid_utf8, line) put together to records (file, position, _valid_utf8, line), blank ones included.
+
+    A line goes on with the record before it where an odd number of quotes stands before it in its file. Quotes are counted inside each
+    split, then over the splits, and so are the records that begin; only the lines of one record ever meet in one place.
+    """
+    inside = Window.partitionBy("file", "start").orderBy("row")
+    earlier = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)      # rows are splits
+    zero = F.lit(0).cast("bigint")
+    counted = lines.withColumn("quotes", (F.length("line") - F.length(F.replace("line", F.lit('"')))).cast("bigint")).withColumn(
+        "before", F.coalesce(F.sum("quotes").over(inside.rowsBetween(Window.unboundedPreceding, -1)), zero))
+    splits = counted.groupBy("file", "start").agg(F.sum("quotes").alias("quotes"), F.count_if(F.col("before") % 2 == 0).alias("even"), F.count(F.lit(1)).alias("n"))
+    splits = splits.withColumn("open", F.coalesce(F.sum("quotes").over(earlier), zero) % 2)
+    begun = F.when(F.col("open") == 0, F.col("even")).otherwise(F.col("n") - F.col("even"))
+    splits = materialize(splits.select("file", "start", "open", F.coalesce(F.sum(begun).over(earlier), zero).alias("records")), "offsets")
+    begins = ((F.col("before") + F.col("open")) % 2 == 0).cast("bigint")
+    numbered = counted.join(splits, ["file", "start"]).withColumn("position", F.col("records") + F.sum(begins).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    parts = F.array_sort(F.collect_list(F.struct("start", "row", "line")))
+    return (numbered.groupBy("file", "position").agg(parts.alias("parts"), F.bool_and(VALID).alias(VALID))
+            .select("file", "position", VALID, F.array_join(F.transform("parts", lambda x: x["line"]), "\n").alias("line")))
+
+
 def scan(spark: SparkSession, path: str, spec: FileSpec) -> DataFrame:
     """Rows as (file, position, cells..., _malformed, _valid_utf8). Blank records are dropped but keep their number."""
-    if spec.multi_line:
-        options = {**_csv_options(), "header": "true", "multiLine": "true", "enforceSchema": "false"}
-        rows = spark.read.schema(_schema(spec)).options(**options).csv(path).select(
-            F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
-            _row_in_task().alias("row"), *[F.col(f"`{n}`") for n in spec.header], CORRUPT,
-            # This reader decodes before we see bytes; it leaves the replacement character for bad ones.
-            (F.instr(F.concat_ws("", *[F.col(f"`{n}`") for n in spec.header]), "\ufffd") == 0).alias(VALID))
-        placed = _positions(rows)
-    else:
-        lines = spark.read.option("lineSep", "\n").text(path).select(
-            F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
-            _row_in_task().alias("row"), F.is_valid_utf8("value").alias(VALID), F.regexp_replace("value", r"\r\z", "").alias("line"))
-        parsed = F.from_csv("line", F.lit(_schema(spec).toDDL()), _csv_options())
-        placed = (_positions(lines)
-                  .withColumn("position", F.col("position") - 1)        # line 1 is the header
-                  .filter((F.col("position") > 0) & (F.col("line") != ""))
-                  .withColumn("cells", parsed)
-                  .select("file", "position", "cells.*", VALID))
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
+        _row_in_task().alias("row"), F.is_valid_utf8("value").alias(VALID), F.col("value").alias("line"))
+    records = _logical_records(lines) if spec.multi_line else _positions(lines)
+    parsed = F.from_csv("line", F.lit(_schema(spec).toDDL()), {**_csv_options(), "multiLine": str(spec.multi_line).lower()})
+    placed = (records.withColumn("position", F.col("position") - 1)        # record 1 is the header
+              .withColumn("line", F.regexp_replace("line", r"\r\z", ""))
+              .filter((F.col("position") > 0) & (F.col("line") != ""))
+              .withColumn("cells", parsed)
+              .select("file", "position", "cells.*", VALID))
     # A native value is never NULL: an empty field is empty text.
     return placed.select("file", "position", *[F.coalesce(f"`{n}`", F.lit("")).alias(n) for n in spec.header],
                          CORRUPT, VALID)

@@ -142,3 +142,28 @@ def test_doubles_keep_every_digit(spark):
     assert [v for g, v in zip(got, values, strict=True) if "E" in g or float(g) != v] == []
     assert got[:6] == ["0.00000000000000000001", "0.000000000000000000123", "0.000012345678901234568", "1" + "0" * 21, "1" + "0" * 25, "1" + "0" * 16]
     assert got[7:9] == ["123456789.125", "10000000.0"]
+
+
+def test_records_over_lines_and_splits_keep_their_numbers(spark, tmp_path):
+    """Blank records count, quoted line breaks don't, wherever a split ends."""
+    text, want = "id,name,No. x\n", []
+    rng, number = random.Random(3), 0
+    for i in range(300):
+        number += 1
+        if rng.random() < 0.2:
+            text += "\n"
+            continue
+        name = "".join(rng.choice(["a", "\n", '"', ",", "\n\n", "long " * 3]) for _ in range(rng.randint(1, 6)))
+        text += f'{i},"{name.replace(chr(34), chr(34) * 2)}",x\n'
+        want.append((number, str(i), name, "x"))
+    path, before = write(tmp_path, text), spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("128m", "512b"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "0")
+            rows = D.scan(spark, path, WIDE).orderBy("position").collect()
+            assert [(r["position"], r["id"], r["name"], r["No. x"]) for r in rows] == want
+            assert not any(r["_malformed"] for r in rows)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
