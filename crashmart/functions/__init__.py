@@ -1,9 +1,9 @@
 """Column functions. None of them needs a Python worker."""
 
 from .aggregates import (  # noqa: F401
-    absolute_delta_sum, count_where, distinct_extra, ordered_distinct_text, percentage, sum_where, token_sum,
+    absolute_delta_sum, count_where, distinct_extra, ordered_distinct_text, percentage, sum_where,
 )
-from .arrays import compact_texts, pairs, position_of, year_month_sequence  # noqa: F401
+from .arrays import position_of  # noqa: F401
 from .dates import date_precision, iso_date, month_id, month_number, month_of_id, year_of_id, year_token  # noqa: F401
 from .hashing import fingerprint, record_id  # noqa: F401
 from .locators import locator_order, locator_position  # noqa: F401

@@ -14,10 +14,6 @@ def sum_where(value: Column, condition: Column) -> Column:
     return F.sum(F.when(condition, value.cast("bigint")))
 
 
-def token_sum(value: Column) -> Column:
-    return F.sum(value.cast("bigint"))
-
-
 def distinct_extra(value: Column) -> Column:
     """Rows beyond the first of each value (NULLs count as extra rows)."""
     return F.count(F.lit(1)) - F.countDistinct(value)

@@ -1,28 +1,10 @@
-"""Array and sequence helpers."""
+"""Array helpers."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
 
-def compact_texts(*items: Column) -> Column:
-    """The non-NULL items in the given order."""
-    return F.array_compact(F.array(*items))
-
-
-def pairs(left: Column, right: Column) -> Column:
-    """Items of two arrays paired by position."""
-    return F.arrays_zip(left.alias("left"), right.alias("right"))
-
-
 def position_of(array: Column, item: object) -> Column:
     """1-based position, NULL when absent."""
     return F.nullif(F.array_position(array, item), F.lit(0).cast("bigint"))
-
-
-def year_month_sequence(year_from: int, year_to: int) -> Column:
-    """All year*100+month ids of a closed year range."""
-    return F.flatten(F.transform(
-        F.sequence(F.lit(year_from), F.lit(year_to)),
-        lambda y: F.transform(F.sequence(F.lit(1), F.lit(12)), lambda m: (y * 100 + m).cast("int")),
-    ))

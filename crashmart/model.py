@@ -78,13 +78,6 @@ def require_schema(df: DataFrame, schema: T.StructType, what: str) -> DataFrame:
     return df
 
 
-def positional(df: DataFrame, names: list[str]) -> DataFrame:
-    """Rename by position after checking the number of columns."""
-    if len(df.columns) != len(names):
-        raise ContractError("SHAPE", "unexpected number of columns", expected=len(names), actual=len(df.columns))
-    return df.toDF(*names)
-
-
 def file_frame(spark: SparkSession, manifest: Manifest) -> DataFrame:
     return contract_frame(spark, [
         (f.source_id, f.resource_id, f.file_sha256, f.parser_version, f.role, f.raw_count,

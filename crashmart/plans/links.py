@@ -187,11 +187,6 @@ def stacked(checks: LinkChecks) -> DataFrame:
     return (parent.unionByName(child, allowMissingColumns=True).unionByName(target, allowMissingColumns=True))
 
 
-def ordered(df: DataFrame) -> DataFrame:
-    """Report order: kind, resource, native position."""
-    return df.orderBy("kind", "resource_id", locator_order("row_locator"), "row_locator", "raw_record_id")
-
-
 def issue_counts(checks: LinkChecks) -> DataFrame:
     return (stacked(checks).select("kind", F.explode("issues").alias("issue")).groupBy("kind", "issue")
             .agg(F.count(F.lit(1)).alias("row_count")))

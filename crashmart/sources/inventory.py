@@ -8,7 +8,6 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..contracts import FileSpec
 
 CHUNK = 8 << 20
 
@@ -50,10 +49,3 @@ def file_summary(records: DataFrame, files: DataFrame) -> DataFrame:
     return (files.join(counts, ids, "left")
             .withColumn("actual_count", F.coalesce("actual_count", F.lit(0).cast("bigint")))
             .withColumn("count_match", F.col("actual_count").eqNullSafe(F.col("raw_count"))))
-
-
-def catalogue(spec: FileSpec, format_name: str = "csv") -> dict[str, object]:
-    """The declared side of one entry."""
-    return {"source_id": spec.source_id, "resource_id": spec.resource_id, "role": spec.role, "format": format_name,
-            "header": list(spec.header), "key_fields": list(spec.key_fields), "file_sha256": spec.file_sha256,
-            "parser_version": spec.parser_version, "raw_count": spec.raw_count}

@@ -52,9 +52,3 @@ def native_text(df: DataFrame) -> DataFrame:
                                 type=t.simpleString())
         out.append(text.alias(f.name))
     return df.select(*out)
-
-
-def payload_of(df: DataFrame) -> Column:
-    """All columns of a text frame as one payload map, in column order."""
-    names = df.columns
-    return F.map_from_arrays(F.array(*[F.lit(n) for n in names]), F.array(*[F.col(f"`{n}`") for n in names]))
