@@ -377,7 +377,8 @@ def test_bounds_hold():
 
 def test_tree_search_recall_and_ties(spark):
     rng = np.random.default_rng(11)
-    x = (rng.normal(size=(40, 16))[rng.integers(0, 40, 3000)] + 0.5 * rng.normal(size=(3000, 16))).astype(np.float32)
+    x = (rng.normal(size=(40, 16))[rng.integers(0, 40, 3000)] + 0.5 * rng.normal(size=(3000, 16)))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
     x[500:1500] = x[3]                        # a third are copies
     x[20] = 0
     rows = rows_of(spark, [*x.tolist(), None, [float("nan")] * 16, [1.0]], [*range(3000), 3000, 3020, 3040])
