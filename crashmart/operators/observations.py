@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.locators import locator_order
 from ..functions.numbers import SCALE7, decimal_token
+from ..session import materialize
 
 # The classes of one observation.
 TOKEN, INCOMPLETE = "invalid_coordinate_token", "incomplete_coordinate_observation"
@@ -78,7 +79,8 @@ def decide(groups: DataFrame, keys: list[str], crs_confirmed: bool) -> DataFrame
 
 def locate(targets: DataFrame, resolved: DataFrame, keys: list[str]) -> DataFrame:
     """Every target with its decision; a target without observations is kept as no_location."""
-    out = targets.join(resolved, keys, "left")
+    # Decisions are written first: joined to a plain table, a place that very many targets share can be split.
+    out = targets.join(materialize(resolved, "resolved"), keys, "left")
     none = F.col("observation_count").isNull()
     zero = F.lit(0).cast("bigint")
     return (out.withColumn("map_eligible", F.coalesce("map_eligible", F.lit(False)))
@@ -90,6 +92,7 @@ def locate(targets: DataFrame, resolved: DataFrame, keys: list[str]) -> DataFram
 
 def candidates(targets: DataFrame, observations: DataFrame, keys: list[str]) -> DataFrame:
     """Observations behind each unresolved target, one row each: the long form of a candidate list."""
-    open_targets = targets.filter(~F.col("map_eligible")).select(*keys, "reason_code")
+    # One row for each place, however many targets share it.
+    open_targets = materialize(targets.filter(~F.col("map_eligible")).select(*keys, "reason_code").distinct(), "open_targets")
     return observations.join(open_targets, keys).select(
         *keys, "reason_code", "raw_record_id", "file_sha256", "parser_version", "row_locator")

@@ -18,6 +18,7 @@ from ..functions.locators import locator_order
 from ..functions.numbers import count_token
 from ..functions.text import is_blank
 from ..operators.relations import attach, key_sizes
+from ..session import materialize
 from .project import c, native
 
 ROW = ["source_id", "resource_id", "row_locator", "raw_record_id"]
@@ -221,7 +222,7 @@ def mismatch_references(checks: LinkChecks, detail: DataFrame, r: LinkRules, kin
     Long form of an ordered reference list: sorting it by parent and order key yields the list without gathering it.
     """
     off = checks.parents.filter(F.coalesce(F.col("diagnostic_count_delta") != 0, F.lit(False))).select("source_id", r.parent)
-    return detail.join(off.distinct(), ["source_id", r.parent], "left_semi").select(
+    return detail.join(materialize(off.distinct(), "parents"), ["source_id", r.parent], "left_semi").select(
         "source_id", r.parent, F.lit(kind).alias("kind"), "resource_id", locator_order("row_locator").alias("position"),
         "row_locator", "raw_record_id")
 
@@ -244,7 +245,7 @@ def reference_states(children: DataFrame, targets: DataFrame, scopes: DataFrame,
     counted = children.groupBy(parent, target, *role).agg(F.count(F.lit(1)).alias("n"))
     known = targets.select(*on).distinct().withColumn("known", F.lit(True))
     state = F.when(is_blank(target), "blank").when(F.col("known"), "matched").otherwise("unmatched")
-    return (counted.join(known, on, "left").join(scopes, parent, "left")
+    return (counted.join(known, on, "left").join(materialize(scopes, "scopes"), parent, "left")
             .withColumn("scope", F.coalesce("scope", F.lit("no_parent"))).withColumn("reference", state)
             .groupBy(*role, "scope", "reference").agg(F.sum("n").alias("row_count")))
 
@@ -288,14 +289,14 @@ def missing_matches(parents: DataFrame, observed: DataFrame, key: str, item: str
     """Parents whose own (key, item) was never observed, with the number of other parents the item was observed under."""
     missing = parents.join(observed.select(key, item).distinct(), [key, item], "left_anti")
     others = observed.select(item, key).distinct().groupBy(item).agg(F.count(F.lit(1)).alias("n"))
-    return missing.join(others, item, "left").withColumn("same_item_other_parents", F.coalesce("n", F.lit(0).cast("bigint"))).drop("n")
+    return missing.join(materialize(others, "others"), item, "left").withColumn("same_item_other_parents", F.coalesce("n", F.lit(0).cast("bigint"))).drop("n")
 
 
 def other_item(parents: DataFrame, observed: DataFrame, key: str, item: str) -> DataFrame:
     """Observed groups whose item differs from the one their parent names: (key, expected, observed, rows)."""
     groups = observed.groupBy(key, item).agg(F.count(F.lit(1)).alias("row_count"))
     named = parents.groupBy(key).agg(F.min(item).alias("expected_item"))
-    return groups.join(named, key).filter(~F.col(item).eqNullSafe(F.col("expected_item")))
+    return groups.join(materialize(named, "named"), key).filter(~F.col(item).eqNullSafe(F.col("expected_item")))
 
 
 def union_findings(findings: dict[str, DataFrame], columns: list[str]) -> DataFrame:

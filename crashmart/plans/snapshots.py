@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.numbers import decimal_token
 from ..operators.compare import multiset_difference
 from ..operators.relations import key_sizes
+from ..session import materialize
 
 
 def row_differences(before: DataFrame, after: DataFrame, columns: list[str]) -> DataFrame:
@@ -16,8 +17,11 @@ def row_differences(before: DataFrame, after: DataFrame, columns: list[str]) ->
 
 
 def still_absent(references: DataFrame, current: DataFrame, on: list[str]) -> DataFrame:
-    """Earlier unmatched references with a flag telling whether the current snapshot still lacks the target."""
-    found = current.select(*on).distinct().withColumn("__found", F.lit(True))
+    """Earlier unmatched references with a flag telling whether the current snapshot still lacks the target.
+
+    The keys found are written first: joined to a plain table, a target that very many references name can be split.
+    """
+    found = materialize(current.select(*on).distinct().withColumn("__found", F.lit(True)), "found")
     return references.join(found, on, "left").withColumn("still_absent", F.col("__found").isNull()).drop("__found")
 
 

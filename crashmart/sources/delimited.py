@@ -139,7 +139,7 @@ def malformed(rows: DataFrame) -> DataFrame:
 def trim_trailing_blank(rows: DataFrame, columns: list[str]) -> DataFrame:
     """Drop all-NULL rows after the last row of each file that holds a value; keep the ones before it."""
     filled = F.greatest(*[F.col(f"`{c}`").isNotNull() for c in columns], F.lit(False))
-    last = rows.groupBy("file").agg(F.max(F.when(filled, F.col("position"))).alias("last"))
+    last = materialize(rows.groupBy("file").agg(F.max(F.when(filled, F.col("position"))).alias("last")), "last_rows")
     return rows.join(last, "file").filter(F.col("position") <= F.col("last")).drop("last")
 
 
