@@ -2,6 +2,7 @@
 
 A host's pages are its distinct texts, so copies of one page don't make its lines look like boilerplate. A line's ratio is the number of
 pages of the host that contain it over all pages of the host; lines above `ratio` that `least` pages contain are boilerplate there.
+Joins with the corpus are hinted to merge, so that plans and costs are of one kind at every size.
 """
 
 from __future__ import annotations
@@ -42,9 +43,9 @@ def drop_lines(docs: DataFrame, host: str = "source", text: str = "text", ratio:
     names = docs.columns
     known = materialize(boilerplate(docs, host, text, ratio, least).select("host", "line"), "boilerplate")
     lines = _pages(docs, host, text).select("host", "page", F.explode("lines").alias("line")).distinct()
-    hit = lines.alias("l").join(known.alias("k"), F.col("l.host").eqNullSafe(F.col("k.host")) & (F.col("l.line") == F.col("k.line")))
+    hit = lines.alias("l").join(known.hint("merge").alias("k"), F.col("l.host").eqNullSafe(F.col("k.host")) & (F.col("l.line") == F.col("k.line")))
     cuts = materialize(hit.groupBy("page").agg(F.collect_set("l.line").alias("__cut")).select(F.col("page.a").alias("__a"), F.col("page.b").alias("__b"), "__cut"), "cuts")
     key = text_key(F.col(host).cast("string"), F.col(text).cast("string"))
-    keyed = docs.withColumns({"__a": key["a"], "__b": key["b"]}).join(cuts, ["__a", "__b"], "left")
+    keyed = docs.withColumns({"__a": key["a"], "__b": key["b"]}).join(cuts.hint("merge"), ["__a", "__b"], "left")
     kept = F.filter(F.split(F.col(text), "\n", -1), lambda x: ~F.array_contains("__cut", F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(1), x).alias("b"))))
     return keyed.withColumn(text, F.when(F.col("__cut").isNull(), F.col(text)).otherwise(F.concat_ws("\n", kept))).select(*names)
