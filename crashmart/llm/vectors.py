@@ -23,11 +23,11 @@ def usable(rows: DataFrame, id_: str = "vec_id", vector: str = "embedding") -> D
 def lowest_of_each(rows: DataFrame, most: int) -> DataFrame:
     """rows (id, v, a, b) without copies that can be in no result: of equal vectors, (a, b) being their key, the `most` lowest ids stay.
 
-    With scores equal, ties go to the lower id, so a copy beyond these is never among the `most` best. Copies are dealt over salts
-    first, so no task sorts a whole group of copies.
+    With scores equal, ties go to the lower id, so a copy beyond these is never among the `most` best. A repeated row counts once. Copies
+    are dealt over salts first, so no task sorts a whole group of copies.
     """
     salt = F.pmod(F.xxhash64("id"), F.lit(SALTS))
-    part = rows.withColumn("salt", salt).withColumn("n", F.row_number().over(Window.partitionBy("a", "b", "salt").orderBy("id"))).where(F.col("n") <= most)
+    part = rows.dropDuplicates(["id", "a", "b"]).withColumn("salt", salt).withColumn("n", F.row_number().over(Window.partitionBy("a", "b", "salt").orderBy("id"))).where(F.col("n") <= most)
     return part.withColumn("n", F.row_number().over(Window.partitionBy("a", "b").orderBy("id"))).where(F.col("n") <= most).drop("n", "salt")
 
 

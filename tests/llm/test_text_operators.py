@@ -404,6 +404,27 @@ def test_lowest_of_each(spark):
     assert sorted(r["id"] for r in vectors.lowest_of_each(rows, 3).collect()) == [0, 1, 2, 3, 4, 5]
 
 
+def test_repeated_rows_take_no_places(spark):
+    """Every row twice and one 30 times: the same neighbours as without repeats."""
+    rows = spark.range(500).select("id", F.lit(1).alias("v"), (F.col("id") % 2).alias("a"), F.lit(0).alias("b"))
+    repeated = rows.union(rows).union(rows.where("id = 0").crossJoin(spark.range(28).select()))
+    assert sorted(r["id"] for r in vectors.lowest_of_each(repeated, 3).collect()) == [0, 1, 2, 3, 4, 5]
+    rng = np.random.default_rng(13)
+    x = rng.normal(size=(20, 8))[rng.integers(0, 20, 1500)] + 0.5 * rng.normal(size=(1500, 8))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    ids = [*range(1500), *range(1500), *[40] * 28]
+    got = defaultdict(set)
+    for r in tree_search.nearest_by_tree(rows_of(spark, x[ids].tolist(), ids)).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    wide, hits = x.astype(float), 0
+    for i in range(0, 1500, 20):
+        scores = wide @ wide[i]
+        scores[i] = -np.inf
+        assert len(got[i]) == 20
+        hits += len(got[i] & set(np.lexsort((np.arange(1500), -scores))[:20].tolist()))
+    assert hits / (20 * 75) >= 0.95
+
+
 # Separator scan
 
 def test_counts_over_block_edges(spark, monkeypatch):
