@@ -1,8 +1,9 @@
 """Licence recognition by sentence rules.
 
-A text is cut into sentences, these are normalised (lower case, only letters, digits, dots, pluses and hyphens between single blanks), and
+A text is cut into sentences over hard-wrapped lines, these are normalised (lower case, only letters, digits, dots, pluses and hyphens between single blanks), and
 each is mapped to a known licence-sentence identifier. The identifiers of a text in order, with one mark wherever other sentences stand
-between, are then matched against licence rules: identifier sequences tried in order, longer ones before the shorter ones they contain. A
+between, are then matched against licence rules: identifier sequences, with any other sentences between, tried in order, longer ones before the
+shorter ones they contain. A
 matched sequence is taken out, so that what is left of it cannot match again.
 """
 
@@ -77,11 +78,30 @@ HINTS = "licen|permission|copyright|redistribut|warrant|gnu|creative commons|cc0
 END = r"([.!?;:])\s+"
 
 
+# What ends a sentence of a text on hard-wrapped lines. GAP is anything between two words, comment marks of a next line included.
+GAP = r"[^a-zA-Z0-9]+"
+OPENINGS = ["permission is hereby granted", "permission to use copy", "the above copyright notice and", "(?:the|this) (?:software|program|work|library) is (?:provided|distributed)",
+            "redistribution and use", "redistributions (?:of|in)", "neither the name of", "you may obtain a copy", "unless required by applicable", "you should have received a copy", r"copyright (?:c )?[0-9]{4}"]
+STOP = rf"[.](?<!\bv[.])\s+|[!?:]\s+|;(?!{GAP}without{GAP}even)\s+"
+BLANK = r"\n[^a-zA-Z0-9\n]*\n"
+OPENING = rf"\n(?=[^a-zA-Z0-9\n]*(?:{'|'.join(OPENINGS).replace(' ', GAP)}))"
+CUT = f"(?i)(?:{STOP}|{BLANK}|{OPENING})"
+# The number of a list item: at the start of a line or after a sentence, but not that of a version.
+ITEM = r"((?:^|(?<!\b(?:version|v[.]))\n|[.](?<!\bv[.])\s|[!?;:]\s)[^a-zA-Z0-9(\n]*)\(?(?:[0-9]{1,3}|[a-zA-Z]|[ivxIVX]{2,4})[.)]\s+"
+MARK = "\u0001"
+
+
+def normal(sentence: Column) -> Column:
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(sentence), "[^a-z0-9.+-]+", " "), "[.]+( |$)", " "))
+
+
 def sentences(text: Column) -> Column:
-    """Normalised sentences of a text, those without letters or digits left out."""
-    cut = F.split(F.regexp_replace(F.coalesce(text, F.lit("")), END, "$1\n"), "\n", -1)
-    plain = F.transform(cut, lambda s: F.trim(F.regexp_replace(F.regexp_replace(F.lower(s), "[^a-z0-9.+-]+", " "), "[.]+( |$)", " ")))
-    return F.filter(plain, lambda s: s != "")
+    """Sentences of a text as they stand: they end at a sentence's end, a line without letters or digits, a list item or a known first line.
+
+    Other line feeds are those of hard-wrapped lines and stay inside.
+    """
+    lines = F.regexp_replace(F.coalesce(text, F.lit("")), r"\r\n?", "\n")
+    return F.split(F.regexp_replace(F.regexp_replace(lines, ITEM, f"$1{MARK}"), CUT, MARK), MARK, -1)
 
 
 def identify(sentence: Column) -> Column:
@@ -92,24 +112,38 @@ def identify(sentence: Column) -> Column:
     return F.when(sentence.rlike(HINTS), known).otherwise(F.lit("-"))
 
 
+def identifiers(text: Column) -> Column:
+    """The identifiers of a text's sentences in order, a hyphen for each other one; those without letters or digits are left out.
+
+    A sentence over several lines has the identifier of the joined lines and those that single lines have, each once.
+    """
+    plain = F.transform(sentences(text), lambda s: F.struct(normal(s).alias("all"), F.when(F.instr(s, "\n") > 0, F.split(s, "\n", -1)).alias("lines")))
+    plain = F.filter(plain, lambda s: s["all"] != "")
+    lines = lambda s: F.when(s["all"].rlike(HINTS), F.filter(F.transform(s["lines"], lambda x: identify(normal(x))), lambda x: x != "-"))
+    named = F.transform(plain, lambda s: F.struct(identify(s["all"]).alias("all"), F.coalesce(lines(s), F.array().cast("array<string>")).alias("lines")))
+    return F.flatten(F.transform(named, lambda s: F.when((F.size(s["lines"]) > 0) & ((s["all"] == "-") | F.array_contains(s["lines"], s["all"])), F.array_distinct(s["lines"]))
+                                 .otherwise(F.array_distinct(F.concat(F.array(s["all"]), s["lines"])))))
+
+
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_sentences (identified ones), sentence_ids, licences: names in order of the rules, each once, joined by commas.
 
-    sentence_ids joins the identifiers by blanks, a hyphen for each run of other sentences; it is empty without an identifier. A null or empty text has none, and licences is
-    then empty; null doc_ids and repeated rows keep rows of their own; other columns are ignored.
+    sentence_ids joins the identifiers by blanks, a hyphen for each run of other sentences; it is empty without an identifier. A rule's
+    identifiers may have other sentences between them. A null or empty text has none, and licences is then empty; null doc_ids and repeated
+    rows keep rows of their own; other columns are ignored.
     """
     own = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     # A text without any hint word has no identifier: its sentences are not looked at.
-    named = F.when(F.lower("text").rlike(HINTS), F.transform(sentences(F.col("text")), identify)).otherwise(F.array().cast("array<string>"))
+    named = F.when(F.lower("text").rlike(HINTS.replace(" ", GAP)), identifiers(F.col("text"))).otherwise(F.array().cast("array<string>"))
     found = own.select("doc_id", named.alias("ids"))
     line = F.regexp_replace(F.array_join("ids", " "), "-( -)+", "-")
     known = F.size(F.filter("ids", lambda s: s != "-")).cast("long")
     found = found.select("doc_id", known.alias("n_sentences"), F.when(known > 0, line).otherwise(F.lit("")).alias("sentence_ids"))
     rest, hits = F.concat(F.lit(" "), "sentence_ids", F.lit(" ")), []
     for name, rule in RULES:
-        wanted = f" {' '.join(rule)} "
-        hits.append(F.when(F.instr(rest, wanted) > 0, F.lit(name)))
-        rest = F.replace(rest, F.lit(wanted), F.lit(" - "))
+        wanted = f" {'(?: -)* '.join(rule)}(?= )"
+        hits.append(F.when(rest.rlike(wanted), F.lit(name)))
+        rest = F.regexp_replace(rest, wanted, " -")
     matched = F.when(F.col("n_sentences") > 0, F.array_join(F.array_distinct(F.array_compact(F.array(*hits))), ",")).otherwise(F.lit(""))
     return found.select("doc_id", "n_sentences", "sentence_ids", matched.alias("licences"))
 

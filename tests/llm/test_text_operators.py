@@ -467,3 +467,75 @@ def test_rules_need_their_sentences_in_order(spark):
              None, "", "nothing here", "Redistribution and use in source and binary forms are permitted. Redistributions of source code must retain this. Redistributions in binary form must reproduce it. Neither the name of X may be used."]
     got = {r["doc_id"]: (r["n_sentences"], r["licences"]) for r in licenses.scan(documents(spark, texts)).collect()}
     assert got == {0: (2, "MIT"), 1: (2, ""), 2: (1, "Apache-2.0"), 3: (2, "MIT,CC-BY-NC"), 4: (0, ""), 5: (0, ""), 6: (0, ""), 7: (4, "BSD-3-Clause")}
+
+
+MIT = """MIT License
+Copyright (c) 2020 A. Person
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY.
+"""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+APACHE = """Licensed under the Apache License, Version
+2.0 (the "License"); you may not use this file except in compliance with the
+License. You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS.
+"""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU {}General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the
+GNU {}General Public License for more details.
+
+You should have received a copy of the GNU {}General Public License
+along with this program. If not, see <https://www.gnu.org/licenses/>.
+"""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.
+"""
+
+
+def test_hard_wrapped_licence_texts(spark):
+    whole = [MIT, BSD, APACHE, GPL.format("", "", ""), GPL.format("Lesser ", "Lesser ", "Lesser "), MPL]
+    names = ["MIT", "BSD-3-Clause", "Apache-2.0", "GPL-3.0", "LGPL-3.0", "MPL-2.0"]
+    comments = ["".join(f" * {line}\n" for line in t.splitlines()) for t in whole]
+    unwrapped = [re.sub(r"(?<!\n)\n *(?![\n0-9])", " ", t.replace("MIT License\n", "")) for t in whole]
+    crlf = [t.replace("\n", "\r\n") for t in whole]
+    title = ["GNU GENERAL PUBLIC LICENSE\n      Version 3, 29 June 2007\n", "Text under CC BY-SA\nCopyright 2020 X\nAll rights reserved"]
+    texts = [*whole, *comments, *unwrapped, *crlf, *title]
+    got = {r["doc_id"]: (r["sentence_ids"], r["licences"]) for r in licenses.scan(documents(spark, texts)).collect()}
+    assert [got[i][1] for i in range(len(texts))] == [*names * 4, "GPL-3.0", "CC-BY-SA,All-Rights-Reserved"]
+    assert got[0][0] == "- Copyright - MitGrant MitNotice AsIs -"
+    assert "GplThree GplNone - GplCopy" in got[3][0]
