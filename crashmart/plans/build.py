@@ -74,9 +74,24 @@ def quality_results(raw: DataFrame, manifest: Manifest, crash: DataFrame, unit:
     return reduce(DataFrame.unionByName, [p for p in parts if p is not None])
 
 
+def verify_layers(raw: DataFrame, manifest: Manifest, crash: DataFrame, unit: DataFrame, fact: DataFrame, batch_id: str) -> None:
+    """Refuse stored layers that break the projection's rules, the dimension contracts, or differ from the facts of their crashes."""
+    spark = raw.sparkSession
+    found = {r["check"]: r["affected_count"] for r in Q.validate_projection(crash, unit, manifest, batch_id, Q.raw_keys(raw, manifest)).collect()}
+    found |= W.preflight(crash, W.dim_source(spark, manifest, batch_id), W.dim_severity(spark, manifest, batch_id), W.dim_month(spark, manifest)).first().asDict()
+    found["fact_differences"] = W.fact_verification(crash, fact).agg(F.coalesce(F.sum("difference_count"), F.lit(0))).first()[0]
+    broken = {k: n for k, n in found.items() if n}
+    if broken:
+        raise ContractError("LAYERS", "stored layers break their contracts", **broken)
+
+
 def build_batch(raw: DataFrame, manifest: Manifest, store: Store, batch_id: str, native: DataFrame | None = None,
-                deletions: DataFrame | None = None) -> str:
-    """Project, store, check and publish. Returns the batch id, or the current one when nothing changed."""
+                deletions: DataFrame | None = None, observed: DataFrame | None = None) -> str:
+    """Project, store, check and publish. Returns the batch id, or the current one when nothing changed.
+
+    native are the records of the files and observed their (resource_id, actual_sha256, actual_header, actual_count), both read anew.
+    Without them the stored records stand in, and QA01 and QA02 cannot see a file that has changed since it was loaded.
+    """
     spark = raw.sparkSession
     manifest.validate()
     log = store.log(spark)
@@ -91,13 +106,16 @@ def build_batch(raw: DataFrame, manifest: Manifest, store: Store, batch_id: str,
         projected = project_all(raw, manifest, batch_id)
         write_slices(projected.crash, store.path("crash"))
         write_slices(projected.unit, store.path("unit"))
+        if projected.candidates is not None:
+            write_slices(projected.candidates, store.path("candidates"))
         mine = F.col("batch_id") == batch_id
         crash = store.crash(spark).filter(mine)
         unit = store.unit(spark).filter(mine)
         write_slices(W.facts(crash), store.path("fact"))
         fact = store.fact(spark).filter(mine)
-        append_results(quality_results(raw, manifest, crash, unit, fact, batch_id, native, None, deletions), store.path("qa"))
+        append_results(quality_results(raw, manifest, crash, unit, fact, batch_id, native, observed, deletions), store.path("qa"))
         append_results(Q.summary_results(store.results(spark).filter(mine), batch_id), store.path("qa"))
+        verify_layers(raw, manifest, crash, unit, fact, batch_id)
         L.publish(store.results(spark), store.path("log"), batch_id, manifest)
     except Exception as exc:
         L.fail(spark, store.path("log"), batch_id, manifest, str(exc))

@@ -310,8 +310,11 @@ def project_all(raw: DataFrame, manifest: Manifest, batch_id: str) -> Projection
     """One projection per selected source, stacked. The manifest has already been checked for repeats and owners."""
     manifest.validate()
     parts = [project_source(raw, s, batch_id, manifest.year_from, manifest.year_to) for s in manifest.sources]
+    found = [p.candidates.withColumns({"batch_id": F.lit(batch_id), "source_id": F.lit(s.source_id), "release_scope": F.lit(s.release_scope)})
+             for p, s in zip(parts, manifest.sources, strict=True) if p.candidates is not None]
     return Projection(reduce(DataFrame.unionByName, [p.crash for p in parts]),
-                      reduce(DataFrame.unionByName, [p.unit for p in parts]))
+                      reduce(DataFrame.unionByName, [p.unit for p in parts]),
+                      reduce(DataFrame.unionByName, found) if found else None)
 
 
 def projection_counts(crash: DataFrame, unit: DataFrame) -> DataFrame:

@@ -164,6 +164,27 @@ def test_failed_build_is_logged(spark):
     assert L.log_errors(store.log(spark)).count() == 0
 
 
+def test_changed_file_is_refused(spark):
+    m, raw, store = small.manifest(), small.raw(spark), B.Store(scratch_path(spark, "store"))
+    observed = B.observed_inputs(raw, m)
+    changed = observed.withColumn("actual_header", F.when(F.col("resource_id") == "qld_crash", F.array(F.lit("x"))).otherwise(F.col("actual_header")))
+    with pytest.raises(ContractError) as e:
+        B.build_batch(raw, m, store, "b1", native=raw, observed=changed)
+    assert e.value.code == "PUBLICATION_QA"
+
+
+def test_build_verifies_layers_and_keeps_candidates(spark, built):
+    m, store = built
+    crash, unit, fact = (f.filter("batch_id = 'b1'") for f in (store.crash(spark), store.unit(spark), store.fact(spark)))
+    B.verify_layers(small.raw(spark), m, crash, unit, fact, "b1")
+    with pytest.raises(ContractError) as e:
+        B.verify_layers(small.raw(spark), m, crash, unit, fact.withColumn("fatality_count", F.lit(9)), "b1")
+    assert e.value.code == "LAYERS" and set(e.value.details) == {"fact_differences"}
+    stored = spark.read.parquet(store.path("candidates")).filter("batch_id = 'b1'")
+    expected = P.project_source(small.raw(spark), m.source("vic"), "b1", m.year_from, m.year_to).candidates
+    assert stored.count() == expected.count() > 0 and {r["source_id"] for r in stored.collect()} == {"vic"}
+
+
 def test_duplicate_crash(spark):
     rows = small.add("nsw_crash", small.ROWS["nsw_crash"][1][0])
     e = gate_error(spark, rows)
