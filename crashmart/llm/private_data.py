@@ -34,6 +34,7 @@ BASE = KINDS[:4]
 CREDENTIAL = re.compile(r"(?i)(?:token|secret|passw(?:or)?d|api[_-]?key|key)\s{0,3}[:=]\s{0,3}[\"']?([A-Za-z0-9_\-]{16,})")
 MARK = re.compile(r"[0-9@]")
 TOKEN = re.compile(r"[^\W_]+|[^\s\w]|_")
+RUN = re.compile(r"[\w+/=-]+")       # what no window cuts
 LONGEST = 12        # tokens of a span
 REACH = 40          # characters kept on either side of the marks
 WINDOWS = 500       # windows that the field is trained on
@@ -85,14 +86,26 @@ def ordered(spans: list[Span]) -> list[Span]:
 
 
 def windows(text: str) -> list[tuple[int, int]]:
-    """The parts of a text that entities can lie in: around digits and at signs, ends at white space where one is near."""
+    """The parts of a text that entities can lie in: around digits and at signs, widened to the ends of the runs of `RUN` they would cut."""
     out: list[list[int]] = []
     for m in MARK.finditer(text):
         if out and m.start() - out[-1][1] <= 2 * REACH:
             out[-1][1] = m.end()
         else:
             out.append([m.start(), m.end()])
-    return [(max(0, a - REACH), min(len(text), b + REACH)) for a, b in out]
+    wide: list[tuple[int, int]] = []
+    for a, b in out:
+        a, b, least = max(0, a - REACH), min(len(text), b + REACH), wide[-1][1] if wide else 0
+        if a > least and RUN.match(text[a]):
+            while a > least and RUN.match(text[a - 1]):
+                a -= 1
+        if b < len(text) and RUN.match(text[b - 1]):
+            b = m.end() if (m := RUN.match(text, b)) else b
+        if wide and a <= least:
+            wide[-1] = (wide[-1][0], max(b, least))
+        else:
+            wide.append((a, b))
+    return wide
 
 
 def shape(span: str) -> str:

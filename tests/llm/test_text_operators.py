@@ -326,6 +326,15 @@ def test_field_adds_spans_and_keeps_base_ones(spark):
     assert private_data.private_data(documents(spark, new).limit(0), private_data.fit(documents(spark, []))).count() == 0
 
 
+def test_windows_cut_no_run():
+    long = "a" * 70 + "7" + "b" * 90
+    assert [f"x {long} y"[a:b] for a, b in private_data.windows(f"x {long} y")] == [f"x {long} y"[2:-2]]
+    two = "c" * 60 + "1" + "d" * 100 + "2" + "e" * 60        # windows that meet become one
+    assert private_data.windows(two) == [(0, len(two))]
+    assert private_data.windows("1" + " ." * 100 + "2") == [(0, 41), (161, 202)]
+    assert private_data.windows("") == private_data.windows("no mark") == []
+
+
 def test_decoding_finds_the_best_segmentation():
     rng = np.random.default_rng(8)
     text = "a1 b2 c3 44 x@ d5"
