@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 
-__all__ = ["components", "materialize", "text_key"]
+__all__ = ["components", "materialize", "numbered", "text_key"]
 
 
 def text_key(*parts: Column) -> Column:
@@ -36,3 +36,20 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
         if not new.where("moved").limit(1).count():
             break
     return nodes.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
+
+
+def numbered(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """rows with their place (from 1) in a total order. `order` should end with a column without repeats, so that equal rows can part.
+
+    Range partitions are sorted and written with a counter in each; the driver reads one count for each partition, and the sums before
+    each are a broadcast of as many rows as there were shuffle partitions.
+    """
+    written = materialize(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(name, F.monotonically_increasing_id()), name)
+    part, within = F.shiftright(name, 33), F.col(name).bitwiseAND(F.lit((1 << 33) - 1))
+    before, total = [], 0
+    for row in written.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).orderBy("part").collect():
+        before.append((row["part"], total))
+        total += row["n"]
+    starts = rows.sparkSession.createDataFrame(before, f"{name}_part long, {name}_start long")
+    placed = written.join(F.broadcast(starts), part == F.col(f"{name}_part"))
+    return placed.select(*rows.columns, (within + F.col(f"{name}_start") + 1).alias(name))
