@@ -22,6 +22,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 from hashlib import sha256
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -136,7 +137,7 @@ def written_groups(found: Overlaps, one: Pair, ends: np.ndarray) -> list[str]:
     text[np.arange(len(a_group)) + before_b[a_group]] = one.a_text[found.a_id + a_last * len(one.a_bytes)]
     text[np.arange(len(b_group)) + before_a[b_group + 1]] = one.b_text[found.b_id + b_last * len(one.b_bytes)]
     edges = np.concatenate([[0], ends.sum(1)]).tolist()
-    return ["".join(text[s:e].tolist())[:-1] for s, e in zip(edges, edges[1:])]
+    return ["".join(text[s:e].tolist())[:-1] for s, e in pairwise(edges)]
 
 
 def aligned(texts: list[str | None], one: Pair) -> tuple[np.ndarray, list[str | None], np.ndarray]:
@@ -153,7 +154,7 @@ def aligned(texts: list[str | None], one: Pair) -> tuple[np.ndarray, list[str |
     a, b = found.links
     per_doc = np.diff(np.searchsorted(a, np.concatenate([[0], ends[:, 0]])))
     numbers[full] = np.column_stack([counts, per_doc, per_doc])       # one A and one B token end at each common end
-    for i, written in zip(full, written_groups(found, one, counts), strict=True):
+    for i, written in zip(full, written_groups(found, one, ends), strict=True):
         groups[i] = written
     return numbers, groups, a_id[a] * len(one.b_bytes) + b_id[b]
 

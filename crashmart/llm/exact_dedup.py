@@ -109,6 +109,11 @@ def normal(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), SPACE, "")
 
 
+def bucket_key(sha: Column) -> Column:
+    """What filters and buckets know of a digest; several digests may share a key."""
+    return F.xxhash64(sha)
+
+
 @dataclass(frozen=True)
 class Snapshot:
     """Classes of one batch (key, sha, members, best, row_a, row_b) and the filters of its keys, one row for each shard."""
@@ -158,7 +163,7 @@ def exact_dedup(docs: DataFrame, batch: Column | None = None, batches: int = 2,
     sha = F.sha2(normal(F.col("text")), 256)
     points = F.coalesce(F.length("text"), F.lit(0)).cast("long")
     rows = source.select("doc_id", "batch", "row_a", "row_b", points.alias("points"), sha.alias("sha"), F.monotonically_increasing_id().alias("row"))
-    rows = materialize(rows.withColumn("key", F.xxhash64("sha")), "digests")
+    rows = materialize(rows.withColumn("key", bucket_key(F.col("sha"))), "digests")
     best = F.struct((-F.col("points")).alias("short"), F.col("doc_id").isNull().alias("nameless"), "doc_id", "row")
     classes = materialize(rows.groupBy("batch", "key", "sha").agg(F.count(F.lit(1)).alias("members"), F.min(best).alias("best"),
                                                                  F.min(F.struct("row_a", "row_b")).alias("one")), "classes")
