@@ -19,23 +19,32 @@ def text_key(*parts: Column) -> Column:
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """(node, label): label is the smallest node reachable over links (a, b), read in both directions.
 
-    nodes: one column `node` (long, no repeats); nodes without a link keep themselves and take no part in the rounds. Each round
-    takes the smallest neighbouring label and then the label of that label, so chains shorten by half and a round costs two joins.
-    Labels and links are written each round, so that a hub's links are a plain join side that Spark may split.
+    nodes: one column `node` (long, no repeats); nodes without a link keep themselves and take no part in the rounds. Large star: each
+    node sends its greater neighbours to the smallest of its neighbourhood. Small star: each node sends its smaller neighbours, and
+    itself, to the smallest of them. Neither adds links, and repeats fall together, so that links shrink to one for each node; a
+    round without change leaves every node beside its smallest one. Links and the smallest neighbours are written first, so that a hub's
+    links are a plain join side that Spark may split.
     """
-    both = links.where("a <> b").select("a", "b")
-    both = materialize(both.union(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("label")), "labels")
-    while True:
-        seen = both.join(labels, both["a"] == labels["node"]).groupBy(F.col("b").alias("node")).agg(F.min("label").alias("seen"))
-        nearer = materialize(labels.join(seen, "node").select("node", F.least("label", "seen").alias("label"), (F.col("seen") < F.col("label")).alias("moved")), "labels")
-        up = nearer.select(F.col("node").alias("label"), F.col("label").alias("above"))
-        new = nearer.join(up, "label").select("node", F.col("above").alias("label"), (F.col("moved") | (F.col("above") < F.col("label"))).alias("moved"))
-        new = materialize(new, "labels")
-        labels = new.select("node", "label")
-        if not new.where("moved").limit(1).count():
+    def linked(rows: DataFrame) -> DataFrame:
+        """(u, v) with u > v, each once."""
+        return materialize(rows.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct(), "links")
+
+    def size(rows: DataFrame):
+        return rows.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+
+    now = linked(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    state = size(now)
+    while state[0]:
+        near = now.select(F.col("u").alias("node"), F.col("v").alias("low")).union(now.select(F.col("v").alias("node"), F.col("v").alias("low")))
+        lows = materialize(near.groupBy("node").agg(F.min("low").alias("low")), "lows")
+        large = linked(now.join(lows.hint("merge"), F.col("v") == F.col("node")).select("u", F.col("low").alias("v")))
+        lows = materialize(large.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("low")), "lows")
+        small = large.join(lows.hint("merge"), F.col("u") == F.col("node")).select(F.explode(F.array(F.struct("u", F.col("low").alias("v")), F.struct(F.col("v").alias("u"), F.col("low").alias("v")))).alias("x"))
+        now, before = linked(small.select("x.*")), state
+        state = size(now)
+        if state == before:
             break
-    return nodes.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
+    return nodes.join(now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("label")), "node", "left").select("node", F.coalesce("label", "node").alias("label"))
 
 
 def numbered(rows: DataFrame, order: list[Column], name: str) -> DataFrame:

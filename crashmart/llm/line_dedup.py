@@ -40,12 +40,13 @@ def drop_lines(docs: DataFrame, host: str = "source", text: str = "text", ratio:
 
     Blank lines are never boilerplate. Null texts stay null; a text of boilerplate alone becomes empty. Repeated rows are cut alike.
     """
-    names = docs.columns
     known = materialize(boilerplate(docs, host, text, ratio, least).select("host", "line"), "boilerplate")
     lines = _pages(docs, host, text).select("host", "page", F.explode("lines").alias("line")).distinct()
     hit = lines.alias("l").join(known.hint("merge").alias("k"), F.col("l.host").eqNullSafe(F.col("k.host")) & (F.col("l.line") == F.col("k.line")))
-    cuts = materialize(hit.groupBy("page").agg(F.collect_set("l.line").alias("__cut")).select(F.col("page.a").alias("__a"), F.col("page.b").alias("__b"), "__cut"), "cuts")
+    cuts = materialize(hit.groupBy("page").agg(F.collect_set("l.line").alias("cut")).select(F.col("page.a").alias("a"), F.col("page.b").alias("b"), "cut"), "cuts")
     key = text_key(F.col(host).cast("string"), F.col(text).cast("string"))
-    keyed = docs.withColumns({"__a": key["a"], "__b": key["b"]}).join(cuts.hint("merge"), ["__a", "__b"], "left")
-    kept = F.filter(F.split(F.col(text), "\n", -1), lambda x: ~F.array_contains("__cut", F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(1), x).alias("b"))))
-    return keyed.withColumn(text, F.when(F.col("__cut").isNull(), F.col(text)).otherwise(F.concat_ws("\n", kept))).select(*names)
+    keyed = docs.select(F.struct(*docs.columns).alias("whole"), key["a"].alias("a"), key["b"].alias("b")).join(cuts.hint("merge"), ["a", "b"], "left")
+    own = F.col("whole").getField(text)
+    kept = F.filter(F.split(own, "\n", -1), lambda x: ~F.array_contains("cut", F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(1), x).alias("b"))))
+    cut = F.when(F.col("cut").isNull(), own).otherwise(F.concat_ws("\n", kept))
+    return keyed.select(*[cut.alias(c) if c == text else F.col("whole").getField(c).alias(c) for c in docs.columns])

@@ -10,7 +10,8 @@ Steps, all on shuffles (joins with the corpus are hinted to merge, so that plans
 1. documents with equal sets become one node, so copies cost nothing afterwards;
 2. each key links its nodes to the one of them that shares most keys; pairs within the bound are confirmed on the sets; components follow;
 3. nodes of keys that hold more than one component are compared in full, in cells of bounded size, skipping pairs that are already
-   connected; what is confirmed is added. No link between different components is lost, and no group's pairs are written out.
+   connected; what is confirmed is added. No link between different components is lost, and no group's pairs are written out: a
+   cell confirms on the sets at once, and gives no link between nodes that it has connected.
 """
 
 from __future__ import annotations
@@ -170,13 +171,13 @@ def linked(x: bytes, y: bytes, percent: int) -> bool:
     return 100 * common >= percent * (len(both) - common)
 
 
-def cell_pairs(cell: dict[str, np.ndarray], near: Near, exact: bool) -> np.ndarray:
-    """Pairs of one comparison cell that are near, in different components, with sizes that can reach the threshold. With exact, those
-    alone that the full sets confirm; what a confirmed link connects needs no further pair here. Otherwise a pair is given under the
-    first key it shares only, so no other cell gives it again."""
+def cell_pairs(cell: dict[str, np.ndarray], near: Near) -> np.ndarray:
+    """Confirmed links of one comparison cell between nodes of different components. Only pairs with near signatures and sizes that can
+    reach the threshold are looked at; what a confirmed link connects needs no further one here, so a cell gives fewer links than it
+    has nodes. A pair is looked at under the first key it shares only, as every other cell would find it again."""
     left, right = np.flatnonzero(cell["side"] == 0), np.flatnonzero(cell["side"] == 1)
     sig, wide, comp, node, size, entry = cell["sig"], cell["wide"], cell["comp"], cell["node"], cell["n"], int(cell["entry"][0])
-    keys, out = plan(near.percent / 100, near.slots)[1], []
+    keys, out, root = plan(near.percent / 100, near.slots)[1], [], {}
     for at in range(0, len(left), step := max(1, 65_536 // max(1, len(right)))):
         some = left[at: at + step]
         x, y = np.nonzero((comp[some][:, None] != comp[right])
@@ -184,19 +185,15 @@ def cell_pairs(cell: dict[str, np.ndarray], near: Near, exact: bool) -> np.ndarr
         x, y = some[x], right[y]
         good = ~near.differ((sig[x], wide[x]), (sig[y], wide[y]))
         x, y = x[good], y[good]
-        if exact:
-            root = root if at else {}
-            for i, j in zip(x.tolist(), y.tolist(), strict=True):
-                a, b = (_root(root, int(comp[k])) for k in (i, j))
-                if a != b and linked(cell["s"][i], cell["s"][j], near.percent):
-                    root[a] = b
-                    out.append(np.sort(node[[i, j]])[None])
-            continue
         same = sig[x] == sig[y]
         first = np.ones(len(x), bool)
         for _, kept in keys[:entry]:
             first &= ~same[:, list(kept)].all(1)
-        out.append(np.sort(np.stack([node[x[first]], node[y[first]]], 1), 1))
+        for i, j in zip(x[first].tolist(), y[first].tolist(), strict=True):
+            a, b = (_root(root, int(comp[k])) for k in (i, j))
+            if a != b and linked(cell["s"][i], cell["s"][j], near.percent):
+                root[a] = b
+                out.append(np.sort(node[[i, j]])[None])
     return np.concatenate(out) if out else np.empty((0, 2), np.int64)
 
 
@@ -206,7 +203,7 @@ def _root(parents: dict[int, int], x: int) -> int:
     return x
 
 
-def _cells(near: Near, exact: bool):
+def _cells(near: Near):
     """Rows come sorted by cell; a cell has at most some CELL rows on each side, and may go on in the next batch."""
     names = ["key", "i", "j", "side", "node", "comp", "n", "entry"]
 
@@ -214,15 +211,13 @@ def _cells(near: Near, exact: bool):
         held: dict[str, np.ndarray] = {}
         for batch in _then_none(batches):
             if batch is not None and len(batch):
-                new = {c: batch[c].to_numpy() for c in names} | dict(zip(("sig", "wide"), near.read(batch["sig"]), strict=True))
-                if exact:
-                    new["s"] = batch["s"].to_numpy(object)
+                new = {c: batch[c].to_numpy() for c in names} | dict(zip(("sig", "wide"), near.read(batch["sig"]), strict=True)) | {"s": batch["s"].to_numpy(object)}
                 held = {c: np.concatenate([held[c], v]) for c, v in new.items()} if held else new
             if not held or not len(held["key"]):
                 continue
             turn = np.flatnonzero((held["key"][1:] != held["key"][:-1]) | (held["i"][1:] != held["i"][:-1]) | (held["j"][1:] != held["j"][:-1])) + 1
             edges = [0, *turn.tolist()] + ([len(held["key"])] if batch is None else [])
-            found = [cell_pairs({c: v[a:b] for c, v in held.items()}, near, exact) for a, b in pairwise(edges)]
+            found = [cell_pairs({c: v[a:b] for c, v in held.items()}, near) for a, b in pairwise(edges)]
             held = {c: v[edges[-1]:] for c, v in held.items()}
             pairs = np.concatenate(found) if found else np.empty((0, 2), np.int64)
             yield pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
@@ -272,17 +267,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, slots: i
     tried = (buckets.join(top.hint("merge"), "key").where("top <> node").select(F.least("top", "node").alias("a"), F.greatest("top", "node").alias("b")).distinct())
     near = (tried.join(signed.toDF("a", "sig_a").hint("merge"), "a").join(signed.toDF("b", "sig_b").hint("merge"), "b")
             .mapInPandas(_within(close), "a long, b long"))
-    tried = materialize(near, "pairs")
-    links = _confirmed(source, nodes, tried, words, percent)
+    links = _confirmed(source, nodes, materialize(near, "pairs"), words, percent)
     labels = materialize(components(nodes.select("node"), links), "components")
 
     # What the first links left apart although a key is shared: compared in full, whatever the size of the group.
     placed = buckets.join(labels.hint("merge"), "node")
-    mixed = materialize(placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("node").alias("first"))
-                        .where("low < high").select("key", "first"), "mixed")
-    open_ = materialize(placed.join(mixed.hint("merge"), "key").select("key", "entry", "node", "members", "first", F.col("label").alias("comp")), "open")
+    mixed = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
+    mixed = materialize(mixed.join(top.hint("merge"), "key"), "mixed")
+    open_ = materialize(placed.join(mixed.hint("merge"), "key").select("key", "entry", "node", "members", "top", F.col("label").alias("comp")), "open")
     if open_.limit(1).count():
-        rest = _rest(source, nodes, open_, tried, words, percent, close)
+        rest = _rest(source, nodes, open_, words, percent, close)
         if rest.limit(1).count():
             labels = materialize(components(nodes.select("node"), links.union(rest)), "components")
 
@@ -297,38 +291,41 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, slots: i
     return linked.union(empty)
 
 
-def _rest(source: DataFrame, nodes: DataFrame, open_: DataFrame, tried: DataFrame, words: int, percent: int, near: Near) -> DataFrame:
-    """Links between different components among the nodes of the open keys, tried pairs left out where that is free.
+def _rest(source: DataFrame, nodes: DataFrame, open_: DataFrame, words: int, percent: int, near: Near) -> DataFrame:
+    """Confirmed links between different components among the nodes of the open keys.
 
-    Nodes that open keys connect form a field. A field is compared as a whole where its square is no more than the squares of its keys
-    (many keys with the same nodes), and key by key elsewhere (few shared keys); both find every pair that is near.
+    Nodes that open keys connect form a field; each key links its nodes to the node that shares most keys, so the links of a group of
+    copies fall together. A field is compared as a whole where its square is no more than the squares of its keys (many keys with the
+    same nodes), and key by key elsewhere (few shared keys); both find every pair that is near.
     """
-    fields = materialize(components(open_.select("node").distinct(), open_.select(F.col("first").alias("a"), F.col("node").alias("b"))).toDF("node", "field"), "fields")
-    per_key = open_.where("node = first").join(fields, "node").groupBy("field").agg(F.sum(F.col("members").cast("double") * F.col("members")).alias("by_key"))
+    spokes = open_.where("top <> node").select(F.col("top").alias("a"), F.col("node").alias("b"))
+    fields = materialize(components(open_.select("node").distinct(), spokes).toDF("node", "field"), "fields")
+    per_key = open_.where("node = top").join(fields, "node").groupBy("field").agg(F.sum(F.col("members").cast("double") * F.col("members")).alias("by_key"))
     sizes = fields.groupBy("field").agg(F.count(F.lit(1)).alias("size"))
     ways = materialize(sizes.join(per_key, "field").select("field", (F.col("size").cast("double") * F.col("size") <= F.col("by_key")).alias("whole")), "ways")
     way = materialize(fields.join(ways, "field"), "way")
+    sets = _node_sets(source, nodes, way.select("node"), words)
 
-    whole = open_.select("node", "comp").distinct().join(way.where("whole").select("node", "field"), "node").join(nodes.select("node", "sig", "n"), "node")
-    sets = _node_sets(source, nodes, way.where("whole").select("node"), words)
-    blocks = whole.groupBy("field").agg(F.greatest(F.ceil(F.count(F.lit(1)) / CELL), F.ceil(F.sum("n") / CELL_SHINGLES)).cast("int").alias("blocks"))
-    cells = _gridded(whole.join(materialize(blocks, "blocks"), "field").withColumns({"key": F.col("field"), "entry": F.lit(0)})).join(sets, "node")
-    found = cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInPandas(_cells(near, True), "a long, b long")
+    whole = open_.select("node", "comp").distinct().join(way.where("whole").select("node", "field"), "node")
+    parted = open_.join(way.where("not whole").select("node"), "node").select("key", "entry", "node", "comp")
+    found = [_compared(group, nodes, sets, near) for group in (whole.select(F.col("field").alias("key"), F.lit(0).alias("entry"), "node", "comp"), parted)]
+    return materialize(found[0].union(found[1]).distinct(), "links")
 
-    parted = open_.join(way.where("not whole").select("node"), "node").join(nodes.select("node", "sig", "n"), "node")
-    cells = _gridded(parted.withColumn("blocks", F.ceil(F.col("members") / CELL).cast("int")).withColumn("s", F.lit(None).cast("binary")), "s")
-    pairs = cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInPandas(_cells(near, False), "a long, b long").distinct()
-    pairs = materialize(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-    found = materialize(found.distinct(), "links")
-    return found.union(_confirmed(source, nodes, pairs, words, percent)) if pairs.limit(1).count() else found
 
+def _compared(members: DataFrame, nodes: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
+    """Links among the members (key, entry, node, comp) of each key, in cells of bounded size."""
+    sized = members.join(nodes.select("node", "sig", "n"), "node")
+    blocks = sized.groupBy("key").agg(F.greatest(F.ceil(F.count(F.lit(1)) / CELL), F.ceil(F.sum("n") / CELL_SHINGLES)).cast("int").alias("blocks"))
+    cells = _gridded(sized.join(materialize(blocks, "blocks").hint("merge"), "key")).join(sets.hint("merge"), "node")
+    return cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInPandas(_cells(near), "a long, b long")
 
-def _gridded(members: DataFrame, *more: str) -> DataFrame:
+
+def _gridded(members: DataFrame) -> DataFrame:
     """Rows of a group (key, blocks) in every cell that compares their block with another or with itself; side 0 meets side 1."""
     placed = members.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    spread = placed.select("key", "entry", "node", "comp", "sig", "n", *more, "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
+    spread = placed.select("key", "entry", "node", "comp", "sig", "n", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
     sides = F.when(F.col("block") == F.col("with"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.when(F.col("block") < F.col("with"), 0).otherwise(1)))
-    return spread.select("key", "entry", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "node", "comp", "sig", "n", *more, F.explode(sides).alias("side"))
+    return spread.select("key", "entry", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "node", "comp", "sig", "n", F.explode(sides).alias("side"))
 
 
 def _node_sets(source: DataFrame, nodes: DataFrame, needed: DataFrame, words: int) -> DataFrame:
@@ -347,8 +344,8 @@ def _confirmed(source: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int
 
 
 def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """docs without all but one row of each near-duplicate group: the row of smallest doc_id stays, of repeated rows one."""
+    """docs without all but one row of each near-duplicate group: the row of smallest doc_id stays, of repeated rows one; all columns stay."""
     row = text_key(F.col("doc_id"), F.col("text"))
-    keyed = docs.withColumns({"__a": row["a"], "__b": row["b"]})
-    stay = materialize(near_duplicates(docs, words, percent).where("winner").select(F.col("row_a").alias("__a"), F.col("row_b").alias("__b")).distinct(), "stay")
-    return keyed.join(stay.hint("merge"), ["__a", "__b"]).dropDuplicates(["__a", "__b"]).select(*docs.columns)
+    keyed = docs.select(F.struct(*docs.columns).alias("whole"), row["a"].alias("row_a"), row["b"].alias("row_b"))
+    stay = materialize(near_duplicates(docs, words, percent).where("winner").select("row_a", "row_b").distinct(), "stay")
+    return keyed.join(stay.hint("merge"), ["row_a", "row_b"]).dropDuplicates(["row_a", "row_b"]).select("whole.*")

@@ -18,11 +18,11 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from crashmart.llm import alignment, exact_dedup, importance
-from crashmart.llm.frames import numbered
+from crashmart.llm import alignment, exact_dedup, importance, line_dedup, near_duplicates
+from crashmart.llm.frames import components, numbered
 from crashmart.llm.word_tokens import byte_letters
 
-from .test_text_operators import LONG, documents, sample
+from .test_text_operators import LONG, brute_components, documents, sample
 
 BYTES, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 ODD = [None, "", " \n ", "one", "One", LONG, "a b c d e", "a b c d e", "é 日本 🙂 ▁ x", None, "don't  stop,\n\nit's <s> <0x41> </s>\tnow ", "<|endoftext|> x y　z \x00  ",
@@ -228,3 +228,58 @@ def test_overlaps_are_all_pairs_that_share_a_byte(tokenizers, text):
     found = alignment.overlaps(*ids, one.a_size, one.b_size)
     want = [(i, j) for i, (_, s, e) in enumerate(both[0]) for j, (_, t, f) in enumerate(both[1]) if s < f and t < e]
     assert sorted(zip(found.a.tolist(), found.b.tolist(), strict=True)) == sorted(want)
+
+
+# Links of groups of copies, and columns that are named like the operators' own
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_links_of_near_copies_grow_with_the_rows(spark, monkeypatch, percent):
+    """Near copies of one text: links that enter and leave the label rounds are a small multiple of the copies."""
+    rng = random.Random(17)
+    words = ["".join(rng.choice("abcdefghilmnorst") for _ in range(6)) for _ in range(800)]
+    base = [rng.choice(words) for _ in range(150)]
+    seen = []
+    real = near_duplicates.components
+
+    def counted(nodes, links):
+        seen.append(links.distinct().count())
+        return real(nodes, links)
+
+    monkeypatch.setattr(near_duplicates, "components", counted)
+    per_copy = []
+    for n in (200, 400):
+        texts = []
+        for _ in range(n):
+            own = list(base)
+            for _ in range(rng.randint(1, 9)):
+                own[rng.randrange(len(own))] = rng.choice(words)
+            texts.append(" ".join(own))
+        seen.clear()
+        found = near_duplicates.near_duplicates(documents(spark, texts), 3, percent).collect()
+        assert {r["doc_id"]: r["component_id"] for r in found} == {i: c for i, (_, c) in brute_components(texts, list(range(n)), 3, percent).items()}
+        per_copy.append(max(seen) / n)
+    assert max(per_copy) < 12 and per_copy[1] < 1.5 * per_copy[0] + 1
+
+
+def test_components_of_chains_stars_and_cliques(spark):
+    rng = random.Random(2)
+    edges = [(i, i + 1) for i in range(100, 160)] + [(200, 200 + i) for i in range(1, 80)] + [(i, j) for i in range(300, 320) for j in range(300, i)] + [(5, 5)]
+    names = list(range(400))
+    rng.shuffle(names)
+    links = spark.createDataFrame([(names[a], names[b]) if rng.random() < 0.5 else (names[b], names[a]) for a, b in edges], "a long, b long")
+    got = {r["node"]: r["label"] for r in components(spark.range(400).withColumnRenamed("id", "node"), links).collect()}
+    for part in ([*range(100, 161)], [*range(200, 280)], [*range(300, 320)]):
+        assert {got[names[i]] for i in part} == {min(names[i] for i in part)}
+    assert all(got[names[i]] == names[i] for i in [*range(100), *range(161, 200), *range(280, 300), *range(320, 400)])
+    assert components(spark.range(3).withColumnRenamed("id", "node"), links.limit(0)).count() == 3
+
+
+def test_columns_named_like_the_operators_own_stay(spark):
+    names = ["a", "b", "row_a", "row_b", "__a", "__b", "__cut", "cut", "whole", "line", "host", "page"]
+    rows = [(i, "menu\nown line %d of this page" % i, "s", *range(len(names))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"{n} int" for n in names))
+    cut = line_dedup.drop_lines(docs, ratio=0.5)
+    assert cut.columns == docs.columns and {tuple(r)[3:] for r in cut.collect()} == {tuple(range(len(names)))}
+    assert all(r["text"] == f"own line {r['doc_id']} of this page" for r in cut.collect())
+    one = near_duplicates.one_of_each(docs)
+    assert one.columns == docs.columns and {tuple(r)[3:] for r in one.collect()} == {tuple(range(len(names)))}
