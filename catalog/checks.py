@@ -152,6 +152,31 @@ def lineage_check(spark, sf):
     return bad.select("source_id", F.regexp_replace("crash_key", r"\?\z", "").alias("crash_key"))
 
 
+@query("location_derivation", t.SQL_BASE + """, d AS (SELECT source_id, o_orderkey % 5 AS z, mapped, o_orderpriority = '4-NOT SPECIFIED' AS bare FROM crash)
+ SELECT source_id, field, count(*) AS n FROM (
+  SELECT source_id, 'latitude' AS field FROM d WHERE z = 0 AND mapped
+  UNION ALL SELECT source_id, unnest(['map_eligible', 'latitude', 'longitude', 'location_crs', 'location_record_id', 'location_note']) FROM d WHERE z = 1 AND mapped
+  UNION ALL SELECT source_id, 'location_note' FROM d WHERE z = 2 AND NOT mapped
+  UNION ALL SELECT source_id, CASE WHEN source_id = 'europe' THEN 'rule_note' ELSE 'field_notes' END FROM d WHERE z = 3 AND bare) GROUP BY ALL""")
+def location_derivation(spark, sf):
+    """Locations, reasons and notes of all sources against the second derivation: a last place moved, a point withheld, a wrong reason, a lost note."""
+    crash = t.crash(spark, sf)
+    z = F.get_json_object("crash_key", "$[0]").cast("long") % 5
+    mapped, notes = F.col("map_eligible"), F.col("quality_notes")
+    withheld = (z == 1) & mapped
+    odd = F.struct(F.lit("unmapped").alias("reason_code"), F.lit(None).cast("array<string>").alias("candidate_raw_record_ids"),
+                   F.lit("made up").alias("resolution"), F.lit("").alias("evidence_ref"))
+    bare = (z == 3) & ((F.col("severity_code") == "__MISSING__") | notes["severity_rule"].isNotNull())
+    kept = F.filter(notes["fields"], lambda x: x["field"] != "fatal_crash_eligible")
+    notes = (F.when(withheld | ((z == 2) & ~mapped), notes.withField("location", odd))
+             .when(bare, notes.withField("fields", F.when(F.size(kept) > 0, kept)).withField("severity_rule", F.lit(None))).otherwise(notes))
+    hide = {name: F.when(~withheld, F.col(name)) for name in ("longitude", "location_crs", "location_record_id")}
+    moved = F.when((z == 0) & mapped, F.col("latitude") + F.lit("0.0000001").cast("decimal(10,7)")).when(~withheld, F.col("latitude"))
+    crash = crash.withColumns({**hide, "latitude": moved.cast("decimal(10,7)"), "map_eligible": mapped & ~withheld, "quality_notes": notes})
+    found = Q.detail_differences(Q.expected_rows(t.raw(spark, sf), t.frozen(spark, sf))[0], crash)
+    return found.select("source_id", F.explode("mismatched_fields").alias("field")).groupBy("source_id", "field").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("location_check", t.SQL_BASE + """, g AS (SELECT source_id, y, count(*) AS n, count(*) FILTER (WHERE mapped) AS p,
    count(*) FILTER (WHERE mapped AND source_id = 'asia' AND sev = '1-URGENT') AS w FROM crash GROUP BY ALL)
  SELECT 'QA07_LOCATION' AS rule_id, 'source_year:' || source_id || ':' || y AS object_key, CASE WHEN w > 0 THEN 'block' WHEN n > p THEN 'limited' ELSE 'pass' END AS result,
@@ -162,7 +187,8 @@ def location_check(spark, sf):
     m, f = t.manifest(), t.fact(spark, sf)
     hit = (F.col("source_id") == "asia") & (F.col("severity_code") == "1-URGENT") & F.col("map_eligible")
     f = f.withColumn("latitude", F.when(hit, (F.col("latitude") + 1).cast("decimal(10,7)")).otherwise(F.col("latitude")))
-    metrics = Q.location_metrics(t.crash(spark, sf), f, W.dim_source(spark, m, t.BATCH), t.YEAR_FROM, t.YEAR_TO)
+    expected = Q.expected_locations(Q.expected_rows(t.raw(spark, sf), t.frozen(spark, sf))[0], t.BATCH)
+    metrics = Q.location_metrics(expected, f, W.dim_source(spark, m, t.BATCH), t.YEAR_FROM, t.YEAR_TO)
     return _flat(Q.location_results(metrics, t.BATCH))
 
 

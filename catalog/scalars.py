@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from crashmart import functions as fn
+from crashmart.operators.observations import resolve
 from crashmart.sources.native_text import native_text
 
 from . import tables as t
@@ -63,6 +64,23 @@ def coordinate_tokens(spark, sf):
                      fn.to_scale7(F.col("p.lon")).cast("string").alias("longitude"))
 
 
+# Digits beyond any decimal type: the SQL compares the text behind 34 places, which is the same for all rows but for its last digit.
+@query("long_tokens", """WITH x AS (SELECT event_id % 50 AS place, event_id % 3 AS d, event_id % 7 = 0 AS far FROM events)
+ SELECT place, count(*) AS observation_count, count(*) FILTER (WHERE far) > 0 AS out_of_range,
+ CASE WHEN count(*) FILTER (WHERE far) > 0 THEN 0 ELSE count(DISTINCT d) END AS coordinate_pair_count FROM x GROUP BY place""")
+def long_tokens(spark, sf):
+    """Coordinates that differ in place 40, written in two ways, and latitudes that pass 90 in place 40: exact conflicts and range."""
+    zeros = "0" * 39
+    near = F.concat(F.when(F.col("event_id") % 2 == 0, f"12.{zeros}").otherwise(f"+0.12{zeros}"), (F.col("event_id") % 3 + 1).cast("string"),
+                    F.when(F.col("event_id") % 2 == 0, "00").otherwise("e2"))
+    lat = F.when(F.col("event_id") % 7 == 0, f"-90.{zeros}1").otherwise(near)
+    rows = t.table(spark, sf, "events").select(
+        (F.col("event_id") % 50).alias("place"), lat.alias("lat_text"), F.lit("1").alias("lon_text"), F.col("event_id").cast("string").alias("raw_record_id"),
+        F.lit("f").alias("file_sha256"), F.lit("p").alias("parser_version"), F.concat(F.lit("csv:"), F.col("event_id") + 1).alias("row_locator"))
+    found = resolve(rows, ["place"], "lat_text", "lon_text", True)
+    return found.select("place", "observation_count", (F.col("resolution") == "latitude_out_of_range").alias("out_of_range"), "coordinate_pair_count")
+
+
 @query("calendar_tokens", """WITH x AS (SELECT o_orderkey, CAST(year(o_orderdate) AS VARCHAR) || '-' || CASE WHEN o_orderstatus = 'P' THEN CAST(month(o_orderdate) AS VARCHAR) ELSE lpad(CAST(month(o_orderdate) AS VARCHAR), 2, '0') END
   || '-' || lpad(CAST(o_orderkey % 32 AS VARCHAR), 2, '0') AS token, '  ' || monthname(o_orderdate) || ' ' AS name, o_orderdate FROM orders),
  d AS (SELECT *, CASE WHEN regexp_full_match(token, '[0-9]{4}-[0-9]{2}-[0-9]{2}') THEN TRY_CAST(token AS DATE) END AS dd FROM x)

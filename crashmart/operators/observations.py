@@ -1,7 +1,7 @@
 """Location from repeated observations of one (parent, place) key.
 
-Every observation of a group counts; none is dropped to make a location usable. Rows are first reduced to distinct exact
-pairs, then to groups, so a group of any size is combined before it is shuffled. The candidates behind an unresolved
+Every observation of a group counts; none is dropped to make a location usable. Rows are first reduced to distinct
+pairs by the normal form of their numbers, then to groups, so a group of any size is combined before it is shuffled. The candidates behind an unresolved
 location stay a table of their own instead of an array inside one row.
 """
 
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.locators import locator_order
-from ..functions.numbers import SCALE7, decimal_token
+from ..functions.numbers import NUMBER, SCALE7, decimal_token, normal_number, within
 from ..session import materialize
 
 # The classes of one observation.
@@ -25,18 +25,13 @@ def _absent(token: Column) -> Column:
     return token.isNull() | (token == "")
 
 
-# A finite number as it may be written, blanks around it allowed; casts alone also take type suffixes and hexadecimal forms.
-NUMBER = r"\A\s*[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?\s*\z"
-
-
 def classify(lat: Column, lon: Column) -> Column:
-    """NULL for a usable observation, else the first thing wrong with it. A magnitude the exact type cannot hold is a number, but out of range."""
-    la, lo = decimal_token(lat), decimal_token(lon)
+    """NULL for a usable observation, else the first thing wrong with it. A number of any length is a number, but may be out of range."""
     return (F.when(~_absent(lat) & ~lat.rlike(NUMBER), TOKEN)
             .when(~_absent(lon) & ~lon.rlike(NUMBER), TOKEN)
             .when(_absent(lat) | _absent(lon), INCOMPLETE)
-            .when(la.isNull() | ~la.between(-90, 90), LATITUDE)
-            .when(lo.isNull() | ~lo.between(-180, 180), LONGITUDE))
+            .when(~within(lat, 90), LATITUDE)
+            .when(~within(lon, 180), LONGITUDE))
 
 
 def resolve(observations: DataFrame, keys: list[str], latitude: str, longitude: str, crs_confirmed: bool) -> DataFrame:
@@ -44,11 +39,11 @@ def resolve(observations: DataFrame, keys: list[str], latitude: str, longitude:
     order = F.struct("file_sha256", "parser_version", locator_order("row_locator"), "raw_record_id")
     marked = observations.select(
         *keys, decimal_token(latitude).alias("lat"), decimal_token(longitude).alias("lon"),
+        normal_number(latitude).alias("lat_text"), normal_number(longitude).alias("lon_text"),
         classify(F.col(latitude), F.col(longitude)).alias("defect"), "raw_record_id", order.alias("ord"))
-    by_pair = (marked
-               .withColumn("lat", F.when(F.col("defect").isNull(), F.col("lat")))
-               .withColumn("lon", F.when(F.col("defect").isNull(), F.col("lon")))
-               .groupBy(*keys, "defect", "lat", "lon")
+    coordinates = ["lat_text", "lon_text", "lat", "lon"]
+    by_pair = (marked.withColumns({name: F.when(F.col("defect").isNull(), F.col(name)) for name in coordinates})
+               .groupBy(*keys, "defect", *coordinates)
                .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("ord", "raw_record_id")).alias("lowest")))
     usable = F.col("defect").isNull()
     groups = by_pair.groupBy(*keys).agg(

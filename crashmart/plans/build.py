@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..contracts import Manifest
 from ..errors import ContractError
 from ..model import BATCH_SCHEMA, CRASH_SCHEMA, FACT_SCHEMA, QA_SCHEMA, UNIT_SCHEMA, contract_frame
+from ..session import materialize
 from ..sources.sinks import _exists, append_results, read_slices, write_slices
 from . import links as K, quality as Q, registry as G, release as L, reports as R, warehouse as W
 from .project import check_source, project_all
@@ -58,6 +59,8 @@ def quality_results(raw: DataFrame, manifest: Manifest, crash: DataFrame, unit:
                     native: DataFrame | None = None, observed: DataFrame | None = None, deletions: DataFrame | None = None) -> DataFrame:
     """All concrete result objects of a batch. Frames hold this batch only; ``native`` defaults to the stored records."""
     spark = raw.sparkSession
+    # The second derivation serves three rules: it is made once and written.
+    expected = tuple(f if f is None else materialize(f, "expected") for f in Q.expected_rows(raw, manifest))
     sources, severities = W.dim_source(spark, manifest, batch_id), W.dim_severity(spark, manifest, batch_id)
     people = [K.link_counts(K.source_checks(raw, s, manifest.year_from, manifest.year_to), s.file("person_raw").resource_id)
               for s in manifest.sources if s.persons]
@@ -66,11 +69,11 @@ def quality_results(raw: DataFrame, manifest: Manifest, crash: DataFrame, unit:
     parts = [
         Q.input_results(observed if observed is not None else observed_inputs(raw, manifest), manifest, batch_id, deletions),
         Q.raw_results(G.replay_summary(G.replay_differences(native if native is not None else raw, raw)), manifest, batch_id),
-        Q.projection_results(raw, manifest, crash, unit, batch_id),
+        Q.projection_results(raw, manifest, crash, unit, batch_id, expected),
         Q.auxiliary_results(raw, manifest, batch_id, reduce(DataFrame.unionByName, people) if people else None),
-        Q.semantics_results(raw, manifest, crash, unit, batch_id),
+        Q.semantics_results(raw, manifest, crash, unit, batch_id, expected),
         Q.reconcile_results(Q.reconcile_metrics(reconciled, sources, manifest.year_from, manifest.year_to), batch_id),
-        Q.location_results(Q.location_metrics(crash, fact, sources, manifest.year_from, manifest.year_to), batch_id)]
+        Q.location_results(Q.location_metrics(Q.expected_locations(expected[0], batch_id), fact, sources, manifest.year_from, manifest.year_to), batch_id)]
     return reduce(DataFrame.unionByName, [p for p in parts if p is not None])
 
 

@@ -15,7 +15,7 @@ from ..contracts import CRS, MISSING_CODE, FileSpec, Manifest, Source
 from ..errors import ContractError
 from ..functions.dates import date_precision, iso_date, month_number, year_token
 from ..functions.notes import fields_note, location_note, quality_notes, severity_rule_note
-from ..functions.numbers import INT_MAX, SCALE7, count_token, decimal_token, guarded_cast, in_degrees, known_sum
+from ..functions.numbers import INT_MAX, SCALE7, count_token, decimal_token, guarded_cast, known_sum, within
 from ..functions.text import encode_key, is_blank, missing_token
 from ..model import UNIT_SCHEMA, contract_frame
 from ..operators import observations as obs
@@ -265,7 +265,7 @@ def _own_location(rows: DataFrame, source: Source, enabled: bool) -> DataFrame:
                 .withColumn("latitude", F.lit(None).cast(SCALE7)).withColumn("longitude", F.lit(None).cast(SCALE7))
                 .withColumn("location_record_id", F.lit(None).cast("string")))
     lat, lon = decimal_token(c(loc.latitude_field)), decimal_token(c(loc.longitude_field))
-    usable = F.lit(enabled) & in_degrees(lat, lon)
+    usable = F.lit(enabled) & F.coalesce(within(c(loc.latitude_field), 90) & within(c(loc.longitude_field), 180), F.lit(False))
     empty = lambda f: c(f).isNull() | (c(f) == "")
     reason = (F.when(F.lit(not enabled), loc.unconfirmed_reason)
               .when(empty(loc.latitude_field) | empty(loc.longitude_field), "missing").otherwise("invalid_coordinate"))

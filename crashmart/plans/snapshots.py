@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.numbers import decimal_token
+from ..functions.numbers import normal_number
 from ..operators.compare import multiset_difference
 from ..operators.relations import key_sizes
 from ..session import materialize
@@ -41,12 +41,12 @@ def numerically_equal(left: DataFrame, right: DataFrame, key: str, fields: list[
     """
     ranges = left.groupBy(key).agg(
         F.count(F.lit(1)).alias("matched_rows"),
-        *[x for f in fields for x in (F.min(decimal_token(f)).alias(f"lo_{f}"), F.max(decimal_token(f)).alias(f"hi_{f}"),
-                                      F.count_if(decimal_token(f).isNull()).alias(f"bad_{f}"))])
+        *[x for f in fields for x in (F.min(normal_number(f)).alias(f"lo_{f}"), F.max(normal_number(f)).alias(f"hi_{f}"),
+                                      F.count_if(normal_number(f).isNull()).alias(f"bad_{f}"))])
     joined = right.join(ranges, key, "left")
     same = F.lit(True)
     for f in fields:
-        v = decimal_token(f)
+        v = normal_number(f)
         same = same & (F.col(f"lo_{f}") == v) & (F.col(f"hi_{f}") == v) & (F.col(f"bad_{f}") == 0)
     return joined.select(key, F.coalesce("matched_rows", F.lit(0).cast("bigint")).alias("matched_rows"),
                          F.coalesce(same, F.lit(False)).alias("numerically_equal"))

@@ -1,4 +1,4 @@
-"""Whole batches over the hand-written snapshot: golden totals, faulty variants, history."""
+"""Whole batches over the invented snapshot: golden totals, faulty variants, history."""
 
 from __future__ import annotations
 
@@ -28,9 +28,9 @@ def batch(spark, built):
     return B.open_batch(spark, store, m, "b1")
 
 
-def projected(spark, rows=None, sa=False, m=None):
-    m = m or small.manifest(rows, sa)
-    p = P.project_all(small.raw(spark, rows, sa), m, "b")
+def projected(spark, rows=None, fourth=False, m=None):
+    m = m or small.manifest(rows, fourth)
+    p = P.project_all(small.raw(spark, rows, fourth), m, "b")
     return m, p.crash, p.unit
 
 
@@ -42,7 +42,7 @@ def results_of(spark, rows, *rules):
     make = {
         "QA03": lambda: Q.projection_results(raw, m, p.crash, p.unit, "b"),
         "QA04": lambda: Q.auxiliary_results(raw, m, "b", K.link_counts(
-            K.source_checks(raw, m.source("vic"), m.year_from, m.year_to), "vic_person_raw")),
+            K.source_checks(raw, m.source("ridge"), m.year_from, m.year_to), "ridge_person_raw")),
         "QA05": lambda: Q.semantics_results(raw, m, p.crash, p.unit, "b"),
         "QA07": lambda: Q.location_results(Q.location_metrics(p.crash, fact, W.dim_source(spark, m, "b"), m.year_from, m.year_to), "b")}
     return {(r["rule_id"], r["object_key"]): r for rule in rules for r in make[rule]().collect()}
@@ -55,8 +55,8 @@ def blocked(results):
 def test_golden_totals(spark, batch):
     totals = batch.fact.agg(
         F.count(F.lit(1)), F.count_if(F.col("is_fatal_crash")), F.sum("fatality_count"), F.sum("casualty_count"), F.count_if("map_eligible")).first()
-    assert tuple(totals) == (6, 2, 3, 7, 4)
-    assert batch.unit.count() == 6
+    assert tuple(totals) == (8, 3, 4, 16, 6)
+    assert batch.unit.count() == 8
 
 
 def test_results_and_summaries(spark, built):
@@ -69,13 +69,13 @@ def test_results_and_summaries(spark, built):
 
 
 def test_fourth_source(spark):
-    m, store = small.manifest(sa=True), B.Store(scratch_path(spark, "store"))
-    B.build_batch(small.raw(spark, sa=True), m, store, "b1")
+    m, store = small.manifest(fourth=True), B.Store(scratch_path(spark, "store"))
+    B.build_batch(small.raw(spark, fourth=True), m, store, "b1")
     b = B.open_batch(spark, store, m, "b1")
     totals = b.fact.agg(F.count(F.lit(1)), F.count_if("is_fatal_crash"), F.sum("fatality_count"), F.sum("casualty_count")).first()
-    assert tuple(totals) == (7, 3, 4, 8)
+    assert tuple(totals) == (9, 3, 4, 18)
     cover = R.map_coverage(b, Request("synthetic")).first()
-    assert (cover["crash_count"], cover["point_count"], float(cover["coverage_percentage"])) == (7, 5, 71.43)
+    assert (cover["crash_count"], cover["point_count"], float(cover["coverage_percentage"])) == (9, 7, 77.78)
     assert store.results(spark).count() == 77
 
 
@@ -83,36 +83,36 @@ def test_trend_golden(batch):
     years = R.trend(batch, Request("synthetic")).collect()
     months = R.trend(batch, Request("synthetic", grain="month")).collect()
     assert (len(years), len(months)) == (15, 180)
-    nsw = next(r for r in years if r["source_id"] == "nsw" and r["period_year"] == 2020)
-    assert (nsw["crash_count"], nsw["month_known_count"], nsw["excluded_unknown_month_count"]) == (2, 1, 0)
-    assert (nsw["fatality_count"], nsw["fatality_known_count"]) == (2, 1)
-    assert {r["excluded_unknown_month_count"] for r in months if r["source_id"] == "nsw" and r["period_year"] == 2020} == {1}
-    empty = next(r for r in years if r["source_id"] == "qld" and r["period_year"] == 2024)
+    ferry = {r["period_year"]: r for r in years if r["source_id"] == "ferry"}
+    assert [ferry[2022][c] for c in ("crash_count", "month_known_count", "excluded_unknown_month_count", "fatality_count", "fatality_known_count")] == [2, 2, 0, 1, 2]
+    assert [ferry[2023][c] for c in ("crash_count", "month_known_count", "excluded_unknown_month_count", "fatality_count", "fatality_known_count")] == [1, 0, 0, None, 0]
+    assert {r["excluded_unknown_month_count"] for r in months if r["source_id"] == "ferry" and r["period_year"] == 2023} == {1}
+    empty = next(r for r in years if r["source_id"] == "delta" and r["period_year"] == 2022)
     assert (empty["coverage_status"], empty["crash_count"], empty["fatality_count"], empty["fatality_known_count"]) == ("covered", 0, None, 0)
 
 
 def test_uncovered_year_is_unknown(batch):
-    row = R.trend(batch, Request("synthetic", ("nsw",), 2019, 2019)).first()
+    row = R.trend(batch, Request("synthetic", ("ferry",), 2019, 2019)).first()
     assert row["coverage_status"] == "not_covered" and row["covered_month_count"] == 0
     assert all(row[c] is None for c in ("crash_count", "month_known_count", "fatality_known_count", "casualty_count", "excluded_unknown_month_count"))
 
 
 def test_severity_groups(batch):
     got = {(r["source_id"], r["severity_code"]): r["crash_count"] for r in R.severity(batch, Request("synthetic")).collect()}
-    assert got == {("nsw", "F"): 1, ("nsw", "__MISSING__"): 1, ("qld", "I"): 1, ("qld", "N"): 1, ("vic", "F"): 1, ("vic", "I"): 1}
+    assert got == {("ferry", "K"): 1, ("ferry", "H"): 1, ("ferry", "__MISSING__"): 1, ("delta", "H"): 1, ("delta", "O"): 1, ("delta", "K"): 1, ("ridge", "K"): 1, ("ridge", "H"): 1}
 
 
 def test_map_and_units(batch):
     cover = R.map_coverage(batch, Request("synthetic"))
     points = R.map_points(batch, Request("synthetic"))
     R.check_map(points, cover)
-    assert float(cover.first()["coverage_percentage"]) == 66.67
-    vic = points.filter("source_id = 'vic'").first()
-    assert (str(vic["latitude"]), str(vic["longitude"])) == ("-37.8000000", "144.9000000")
-    for months in (None, (1,)):
+    assert float(cover.first()["coverage_percentage"]) == 75.0
+    ridge = points.filter("source_id = 'ridge'").first()
+    assert (str(ridge["latitude"]), str(ridge["longitude"])) == ("46.2500000", "7.5000000")
+    for months in (None, (3, 9)):
         a = R.unit_counts(batch, Request("synthetic", months=months)).collect()
         assert a == R.unit_counts_by_membership(batch, Request("synthetic", months=months)).collect()
-    assert {(r["source_id"], r["unit_count"]) for r in R.unit_counts(batch, Request("synthetic")).collect()} == {("nsw", 3), ("vic", 3)}
+    assert {(r["source_id"], r["unit_count"]) for r in R.unit_counts(batch, Request("synthetic")).collect()} == {("ferry", 5), ("ridge", 3)}
 
 
 def test_bundle_reads_one_batch(batch):
@@ -127,8 +127,8 @@ def test_bundle_reads_one_batch(batch):
     (Request("other"), "DATASET_KIND"), (Request("official"), "BATCH_MODE"), (Request("synthetic", grain="day"), "GRAIN"),
     (Request("synthetic", year_from=2024, year_to=2020), "YEAR_RANGE"), (Request("synthetic", year_from=0), "YEAR_RANGE"),
     (Request("synthetic", months=()), "MONTHS"), (Request("synthetic", months=(1, 1)), "MONTHS"), (Request("synthetic", months=(13,)), "MONTHS"),
-    (Request("synthetic", ()), "SOURCES"), (Request("synthetic", ("nsw", "nsw")), "SOURCES"), (Request("synthetic", (" ",)), "SOURCES"),
-    (Request("synthetic", ("wa",)), "SOURCE")])
+    (Request("synthetic", ()), "SOURCES"), (Request("synthetic", ("ferry", "ferry")), "SOURCES"), (Request("synthetic", (" ",)), "SOURCES"),
+    (Request("synthetic", ("lagoon",)), "SOURCE")])
 def test_request_rules(batch, request_, code):
     with pytest.raises(ContractError) as e:
         R.trend(batch, request_)
@@ -156,7 +156,7 @@ def gate_error(spark, rows):
 
 
 def test_failed_build_is_logged(spark):
-    rows = small.edit("nsw_crash", 0, No_killed="-1")
+    rows = small.edit("ferry_crash", 0, Dead="-1")
     store = B.Store(scratch_path(spark, "store"))
     with pytest.raises(ContractError):
         B.build_batch(small.raw(spark, rows), small.manifest(rows), store, "b1")
@@ -167,7 +167,7 @@ def test_failed_build_is_logged(spark):
 def test_changed_file_is_refused(spark):
     m, raw, store = small.manifest(), small.raw(spark), B.Store(scratch_path(spark, "store"))
     observed = B.observed_inputs(raw, m)
-    changed = observed.withColumn("actual_header", F.when(F.col("resource_id") == "qld_crash", F.array(F.lit("x"))).otherwise(F.col("actual_header")))
+    changed = observed.withColumn("actual_header", F.when(F.col("resource_id") == "delta_crash", F.array(F.lit("x"))).otherwise(F.col("actual_header")))
     with pytest.raises(ContractError) as e:
         B.build_batch(raw, m, store, "b1", native=raw, observed=changed)
     assert e.value.code == "PUBLICATION_QA"
@@ -181,77 +181,77 @@ def test_build_verifies_layers_and_keeps_candidates(spark, built):
         B.verify_layers(small.raw(spark), m, crash, unit, fact.withColumn("fatality_count", F.lit(9)), "b1")
     assert e.value.code == "LAYERS" and set(e.value.details) == {"fact_differences"}
     stored = spark.read.parquet(store.path("candidates")).filter("batch_id = 'b1'")
-    expected = P.project_source(small.raw(spark), m.source("vic"), "b1", m.year_from, m.year_to).candidates
-    assert stored.count() == expected.count() > 0 and {r["source_id"] for r in stored.collect()} == {"vic"}
+    expected = P.project_source(small.raw(spark), m.source("ridge"), "b1", m.year_from, m.year_to).candidates
+    assert stored.count() == expected.count() > 0 and {r["source_id"] for r in stored.collect()} == {"ridge"}
 
 
 def test_duplicate_crash(spark):
-    rows = small.add("nsw_crash", small.ROWS["nsw_crash"][1][0])
+    rows = small.add("ferry_crash", small.ROWS["ferry_crash"][1][0])
     e = gate_error(spark, rows)
     assert e.code == "RELATIONSHIPS" and e.details["crash_duplicate_key_count"] == 1
-    hit = results_of(spark, rows, "QA03")[("QA03_PROJECTED", "resource:nsw_crash")]
+    hit = results_of(spark, rows, "QA03")[("QA03_PROJECTED", "resource:ferry_crash")]
     assert hit["result"] == "block" and hit["actual"]["metrics"]["duplicate_key_count"] == 1
 
 
 def test_orphan_unit_is_found_before_the_year_filter(spark):
-    rows = small.add("vic_unit", ("9999", "01", "CAR"))
+    rows = small.add("ridge_unit", ("R77", "A", "BOAT"))
     assert gate_error(spark, rows).details["orphan_unit_count"] == 1
     got = results_of(spark, rows, "QA03", "QA04")
-    assert {("QA03_PROJECTED", "resource:vic_unit"), ("QA04_AUXILIARY", "resource:vic_unit")} <= blocked(got)
+    assert {("QA03_PROJECTED", "resource:ridge_unit"), ("QA04_AUXILIARY", "resource:ridge_unit")} <= blocked(got)
 
 
 def test_unmatched_person_reference(spark):
-    got = results_of(spark, small.edit("vic_person_raw", 0, VEHICLE_ID="99"), "QA03", "QA04")
-    assert blocked(got) == {("QA04_AUXILIARY", "resource:vic_person_raw")}
-    assert got[("QA04_AUXILIARY", "resource:vic_person_raw")]["actual"]["metrics"]["nonblank_unmatched_count"] == 1
+    got = results_of(spark, small.edit("ridge_person_raw", 0, SLED="Z"), "QA03", "QA04")
+    assert blocked(got) == {("QA04_AUXILIARY", "resource:ridge_person_raw")}
+    assert got[("QA04_AUXILIARY", "resource:ridge_person_raw")]["actual"]["metrics"]["nonblank_unmatched_count"] == 1
 
 
 def test_invalid_date(spark):
-    assert gate_error(spark, small.edit("vic_crash", 1, ACCIDENT_DATE="2021-02-30")).details["invalid_year_count"] == 1
+    assert gate_error(spark, small.edit("ridge_crash", 1, DAY="2021-02-30")).details["invalid_year_count"] == 1
 
 
 def test_negative_count(spark):
-    assert gate_error(spark, small.edit("nsw_crash", 0, No_killed="-1")).details["invalid_count_token_count"] == 1
+    assert gate_error(spark, small.edit("ferry_crash", 0, Dead="-1")).details["invalid_count_token_count"] == 1
 
 
 def test_undefined_category(spark):
-    rows = small.edit("qld_crash", 0, Crash_Severity="X")
+    rows = small.edit("delta_crash", 0, Harm="X")
     assert gate_error(spark, rows).details["undefined_category_count"] == 1
-    assert ("QA05_SEMANTICS", "source:qld") in blocked(results_of(spark, rows, "QA05"))
+    assert ("QA05_SEMANTICS", "source:delta") in blocked(results_of(spark, rows, "QA05"))
 
 
 def test_overflow_and_component_mismatch(spark):
-    big = small.edit("nsw_crash", 0, No_killed="2147483647", No_seriously_injured="1")
+    big = small.edit("ferry_crash", 0, Dead="2147483647", Badly_hurt="1")
     assert gate_error(spark, big).details["count_overflow_count"] == 1
-    assert gate_error(spark, small.edit("qld_crash", 0, Total="5")).details["component_total_mismatch_count"] == 1
+    assert gate_error(spark, small.edit("delta_crash", 0, All="5")).details["component_total_mismatch_count"] == 1
 
 
 def test_invalid_coordinate_blanks_the_location_only(spark):
-    rows = small.edit("qld_crash", 0, Crash_Latitude="-91")
+    rows = small.edit("delta_crash", 0, Lat="-91")
     m, crash, _ = projected(spark, rows)
-    row = crash.filter("source_id = 'qld' and crash_key = '[\"0001\"]'").first()
+    row = crash.filter("source_id = 'delta' and crash_key = '[\"D-3\"]'").first()
     assert not row["map_eligible"] and row["latitude"] is None and row["location_crs"] is None
     assert row["quality_notes"]["location"]["reason_code"] == "invalid_coordinate"
-    assert crash.count() == 6
+    assert crash.count() == 8
     got = results_of(spark, rows, "QA07")
-    assert not blocked(got) and got[("QA07_LOCATION", "source_year:qld:2020")]["result"] == "limited"
+    assert not blocked(got) and got[("QA07_LOCATION", "source_year:delta:2021")]["result"] == "limited"
 
 
 def test_unknown_crs(spark):
-    m = small.without_crs(small.manifest(), "qld")
+    m = small.without_crs(small.manifest(), "delta")
     _, crash, _ = projected(spark, m=m)
-    reasons = {r["quality_notes"]["location"]["reason_code"] for r in crash.filter("source_id = 'qld'").collect()}
+    reasons = {r["quality_notes"]["location"]["reason_code"] for r in crash.filter("source_id = 'delta'").collect()}
     assert reasons == {"definition_unconfirmed"}
 
 
 def test_revised_batch_keeps_history(spark, built):
     m1, store = built
     assert B.build_batch(small.raw(spark), m1, store, "b2") == "b1"          # nothing changed
-    rows = small.edit("nsw_crash", 0, No_killed="3")
+    rows = small.edit("ferry_crash", 0, Dead="3")
     m2 = replace(small.manifest(rows), producer_version="v2")
     assert B.build_batch(small.raw(spark, rows), m2, store, "b3") == "b3"
     total = lambda b, m: tuple(B.open_batch(spark, store, m, b).fact.agg(F.sum("fatality_count"), F.sum("casualty_count")).first())
-    assert total("b1", m1) == (3, 7) and total("b3", m2) == (4, 8)
+    assert total("b1", m1) == (4, 16) and total("b3", m2) == (6, 18)
     from crashmart.sources.sinks import current_pointer
     assert current_pointer(L.latest_status(store.log(spark))).first()["batch_id"] == "b3"
     with pytest.raises(ContractError) as e:
@@ -260,28 +260,28 @@ def test_revised_batch_keeps_history(spark, built):
 
 
 def test_deletion_needs_an_explanation(spark):
-    before = small.raw(spark).filter("resource_id = 'qld_crash'").select("resource_id", F.col("payload")["Ref"].alias("key"))
-    after = before.filter("key <> '0002'")
+    before = small.raw(spark).filter("resource_id = 'delta_crash'").select("resource_id", F.col("payload")["No"].alias("key"))
+    after = before.filter("key <> 'D-4'")
     lost = Q.snapshot_deletions(before, after, ["resource_id", "key"])
-    assert [(r["key"], r["unexplained_count"]) for r in lost.collect()] == [("0002", 1)]
-    explained = before.filter("key = '0002'")
+    assert [(r["key"], r["unexplained_count"]) for r in lost.collect()] == [("D-4", 1)]
+    explained = before.filter("key = 'D-4'")
     assert Q.snapshot_deletions(before, after, ["resource_id", "key"], explained).count() == 0
     m = small.manifest()
     raw = small.raw(spark)
     got = {r["object_key"].split(":")[1]: r for r in Q.input_results(B.observed_inputs(raw, m), m, "b", lost).collect()}
-    assert got["qld_crash"]["result"] == "block" and got["nsw_crash"]["result"] == "pass"
+    assert got["delta_crash"]["result"] == "block" and got["ferry_crash"]["result"] == "pass"
 
 
 def test_declared_meaning_of_missing_severity(spark):
     """A rule-only rebuild: one more known crash, the same totals."""
     m = small.manifest()
-    known = Category("N", "no injury", False, "nobody was hurt")
-    m = replace(m, sources=tuple(replace(s, severity=replace(s.severity, missing_override=known)) if s.source_id == "nsw" else s for s in m.sources))
+    known = Category("O", "no harm", False, "things alone were damaged")
+    m = replace(m, sources=tuple(replace(s, severity=replace(s.severity, missing_override=known)) if s.source_id == "ferry" else s for s in m.sources))
     _, crash, _ = projected(spark, m=m)
     row = crash.agg(F.count_if("fatal_crash_eligible"), F.count_if("is_fatal_crash"), F.sum("fatality_count"), F.sum("casualty_count")).first()
-    assert tuple(row) == (6, 2, 3, 7)
+    assert tuple(row) == (8, 3, 4, 16)
     ruled = crash.filter("quality_notes.severity_rule is not null").collect()
-    assert [r["crash_key"] for r in ruled] == ['["0002"]']
+    assert [r["crash_key"] for r in ruled] == ['["F-18"]']
 
 
 def test_gate_finds_missing_extra_duplicate_and_limited(spark, built):
@@ -289,13 +289,13 @@ def test_gate_finds_missing_extra_duplicate_and_limited(spark, built):
     rows = store.results(spark).filter("batch_id = 'b1'")
     need = L.required_objects(spark, m)
     assert L.gate_findings(rows, need).count() == 0
-    some = rows.filter("not (rule_id = 'QA06_RECONCILIATION' and object_key = 'source_year:vic:2022')")
+    some = rows.filter("not (rule_id = 'QA06_RECONCILIATION' and object_key = 'source_year:ridge:2022')")
     assert [r["reason"] for r in L.gate_findings(some, need).collect()] == ["missing"]
     extra = rows.unionByName(rows.filter("rule_id = 'QA01_INPUT'").limit(1).withColumn("object_key", F.lit("file:other")))
     assert [r["reason"] for r in L.gate_findings(extra, need).collect()] == ["extra"]
-    one = rows.filter("rule_id = 'QA05_SEMANTICS' and object_key = 'source:nsw'")
+    one = rows.filter("rule_id = 'QA05_SEMANTICS' and object_key = 'source:ferry'")
     assert [r["reason"] for r in L.gate_findings(rows.unionByName(one), need).collect()] == ["duplicate"]
-    limited = rows.withColumn("result", F.when(F.col("object_key") == "source:nsw", "limited").otherwise(F.col("result")))
+    limited = rows.withColumn("result", F.when(F.col("object_key") == "source:ferry", "limited").otherwise(F.col("result")))
     assert "limited_not_allowed" in {r["reason"] for r in L.gate_findings(limited, need).collect()}
     assert L.summary_differences(rows).count() == 0
     assert L.summary_differences(limited).count() == 1
