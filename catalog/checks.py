@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from crashmart.model import CRASH_ID, contract_frame
 from crashmart.plans.build import quality_results
+from crashmart.plans.native import read_file
+from crashmart.session import scratch_path
 from crashmart.plans import expectation as E, quality as Q, registry as G, release as L, vault as V, warehouse as W
 from crashmart.sources import sinks
 
@@ -323,8 +325,12 @@ def input_check(spark, sf):
 
 def all_results(spark, sf) -> DataFrame:
     """Every result object of the batch, as a build stores them (written once per application)."""
+    raw, m = t.raw(spark, sf), t.frozen(spark, sf)
+    # These rows were made from the tables and never were files: the records stand in for them here; native_reread reads real ones.
+    stated = contract_frame(spark, [(f.resource_id, f.file_sha256, list(f.header)) for f in m.files()], "resource_id string, actual_sha256 string, actual_header array<string>")
+    observed = stated.join(raw.groupBy("resource_id").agg(F.count(F.lit(1)).alias("actual_count")), "resource_id")
     return t.staged(spark, sf, "results", lambda: quality_results(
-        t.raw(spark, sf), t.frozen(spark, sf), t.crash(spark, sf), t.unit(spark, sf), t.fact(spark, sf), t.BATCH), ["rule_id"])
+        raw, m, t.crash(spark, sf), t.unit(spark, sf), t.fact(spark, sf), t.BATCH, raw, observed), ["rule_id"])
 
 
 ROLL = t.SQL_BASE + f""", yr AS (SELECT source_id, y, count(*) FILTER (WHERE NOT mapped) AS u FROM crash GROUP BY ALL),
@@ -355,6 +361,47 @@ def publication_gate(spark, sf):
     return g.groupBy("rule_id", reason.alias("reason")).agg(F.count(F.lit(1)).alias("finding_count"))
 
 
+@query("recomputed_expectations", t.SQL_BASE + """, y AS (SELECT source_id, y, count(*) FILTER (WHERE mapped) AS m FROM crash GROUP BY ALL)
+ SELECT source_id, count(*) AS edited_count, CAST(count(*) FILTER (WHERE m > 0) AS BIGINT) AS refused_count FROM y GROUP BY source_id""")
+def recomputed_expectations(spark, sf):
+    """Location results of all sources whose map_count was set to zero in what was expected and in what was found: the layers refuse them."""
+    rows = all_results(spark, sf).filter("rule_id = 'QA07_LOCATION'")
+    zero = F.create_map(F.lit("map_count"), F.lit(0).cast("bigint"))
+    edit = lambda side: F.col(side).withField("metrics", F.map_concat(F.map_filter(f"{side}.metrics", lambda k, v: k != "map_count"), zero))
+    edited = rows.withColumns({"expected": edit("expected"), "actual": edit("actual")})
+    found = L.expectation_findings(edited, L.recomputed(spark, t.frozen(spark, sf), t.crash(spark, sf), t.unit(spark, sf))).withColumn("refused", F.lit(True))
+    return (edited.join(found, ["rule_id", "object_key"], "left").groupBy(F.split("object_key", ":")[1].alias("source_id"))
+            .agg(F.count(F.lit(1)).alias("edited_count"), F.count("refused").alias("refused_count")))
+
+
+def _changed(field: str) -> Column:
+    return F.map_concat(F.map_filter("payload", lambda k, v: k != field), F.create_map(F.lit(field), F.lit("changed")))
+
+
+@query("native_reread", t.SQL_BASE + """, f AS (SELECT source_id, row_number() OVER (PARTITION BY source_id ORDER BY o_orderkey) AS p, o_orderkey AS k FROM crash)
+ SELECT source_id, count(*) AS actual_count, true AS header_match, count(*) FILTER (WHERE k % 7 = 0) AS missing_count, count(*) FILTER (WHERE k % 7 = 1) AS payload_mismatch_count,
+ CAST(1 AS BIGINT) AS extra_count FROM f GROUP BY source_id""")
+def native_reread(spark, sf):
+    """Crash files of all sources written as text and read anew, against stored records of which some were lost, changed or added."""
+    out, m = [], t.manifest()
+    for s in m.sources:
+        spec = s.file("crash")
+        rows = t.raw(spark, sf).filter((F.col("source_id") == s.source_id) & (F.col("resource_id") == spec.resource_id))
+        path = scratch_path(spark, spec.resource_id)
+        # One native file for each source, as a publisher would give it.
+        cells = rows.select(*[F.col("payload")[h].alias(h) for h in spec.header])
+        cells.repartition(1).write.option("header", "true").option("emptyValue", "").option("nullValue", "").csv(path)
+        observed, native = read_file(spark, path + "/*.csv", spec)
+        number = F.col("payload")[spec.key_fields[0]].cast("long") % 7
+        stored = native.filter(number != 0).withColumn("payload", F.when(number == 1, _changed(spec.header[-1])).otherwise(F.col("payload")))
+        stored = stored.unionByName(native.filter("row_locator = 'csv:1'").withColumn("row_locator", F.lit("csv:999999999999")))
+        counts = G.replay_summary(G.replay_differences(native, stored)).select("resource_id", "missing_count", "payload_mismatch_count", "extra_count")
+        out.append(observed.join(counts, "resource_id").select(
+            F.lit(s.source_id).alias("source_id"), "actual_count", (F.col("actual_header") == F.array(*[F.lit(h) for h in spec.header])).alias("header_match"),
+            "missing_count", "payload_mismatch_count", "extra_count"))
+    return reduce(DataFrame.unionByName, out)
+
+
 @query("location_count_differences", t.SQL_BASE + f""", z AS ({DAMAGE}) SELECT source_id, y AS occurrence_year, count(*) FILTER (WHERE lost) - count(*) FILTER (WHERE doubled) AS row_delta,
  count(*) FILTER (WHERE lost AND mapped) - count(*) FILTER (WHERE doubled AND mapped) AS map_delta FROM z GROUP BY ALL HAVING row_delta <> 0 OR map_delta <> 0""")
 def location_count_differences(spark, sf):

@@ -6,6 +6,7 @@ only the running stage. The log row is written last.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import dataclass
 from functools import reduce
 
@@ -13,10 +14,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..contracts import Manifest
 from ..errors import ContractError
-from ..model import BATCH_SCHEMA, CRASH_SCHEMA, FACT_SCHEMA, QA_SCHEMA, UNIT_SCHEMA, contract_frame
+from ..model import BATCH_SCHEMA, CRASH_SCHEMA, FACT_SCHEMA, QA_SCHEMA, UNIT_SCHEMA
 from ..session import materialize
 from ..sources.sinks import _exists, append_results, read_slices, write_slices
 from . import links as K, quality as Q, registry as G, release as L, reports as R, warehouse as W
+from .native import read_native
 from .project import check_source, project_all
 
 
@@ -47,17 +49,9 @@ class Store:
         return spark.read.schema(BATCH_SCHEMA).parquet(self.path("log"))
 
 
-def observed_inputs(raw: DataFrame, manifest: Manifest) -> DataFrame:
-    """What the stored records say about their files, for inputs whose native files are no longer at hand."""
-    stated = contract_frame(raw.sparkSession, [(f.resource_id, f.file_sha256, list(f.header)) for f in manifest.files()],
-                            "resource_id string, actual_sha256 string, actual_header array<string>")
-    counts = raw.groupBy("resource_id", F.col("file_sha256").alias("actual_sha256")).agg(F.count(F.lit(1)).alias("actual_count"))
-    return stated.join(counts, ["resource_id", "actual_sha256"])
-
-
 def quality_results(raw: DataFrame, manifest: Manifest, crash: DataFrame, unit: DataFrame, fact: DataFrame, batch_id: str,
-                    native: DataFrame | None = None, observed: DataFrame | None = None, deletions: DataFrame | None = None) -> DataFrame:
-    """All concrete result objects of a batch. Frames hold this batch only; ``native`` defaults to the stored records."""
+                    native: DataFrame, observed: DataFrame, deletions: DataFrame | None = None) -> DataFrame:
+    """All concrete result objects of a batch. Frames hold this batch only; native and observed are what native.read_native gives."""
     spark = raw.sparkSession
     # The second derivation serves three rules: it is made once and written.
     expected = tuple(f if f is None else materialize(f, "expected") for f in Q.expected_rows(raw, manifest))
@@ -67,8 +61,8 @@ def quality_results(raw: DataFrame, manifest: Manifest, crash: DataFrame, unit:
     lineage = Q.lineage_errors(crash, Q.raw_keys(raw, manifest))
     reconciled = Q.reconcile_rows(crash, fact, sources, severities, lineage)
     parts = [
-        Q.input_results(observed if observed is not None else observed_inputs(raw, manifest), manifest, batch_id, deletions),
-        Q.raw_results(G.replay_summary(G.replay_differences(native if native is not None else raw, raw)), manifest, batch_id),
+        Q.input_results(observed, manifest, batch_id, deletions),
+        Q.raw_results(G.replay_summary(G.replay_differences(native, raw)), manifest, batch_id),
         Q.projection_results(raw, manifest, crash, unit, batch_id, expected),
         Q.auxiliary_results(raw, manifest, batch_id, reduce(DataFrame.unionByName, people) if people else None),
         Q.semantics_results(raw, manifest, crash, unit, batch_id, expected),
@@ -88,12 +82,11 @@ def verify_layers(raw: DataFrame, manifest: Manifest, crash: DataFrame, unit: Da
         raise ContractError("LAYERS", "stored layers break their contracts", **broken)
 
 
-def build_batch(raw: DataFrame, manifest: Manifest, store: Store, batch_id: str, native: DataFrame | None = None,
-                deletions: DataFrame | None = None, observed: DataFrame | None = None) -> str:
+def build_batch(raw: DataFrame, manifest: Manifest, store: Store, batch_id: str, files: Mapping[str, str], deletions: DataFrame | None = None) -> str:
     """Project, store, check and publish. Returns the batch id, or the current one when nothing changed.
 
-    native are the records of the files and observed their (resource_id, actual_sha256, actual_header, actual_count), both read anew.
-    Without them the stored records stand in, and QA01 and QA02 cannot see a file that has changed since it was loaded.
+    files: the path of every declared native file. They are read anew, so that a file that was changed since it was loaded, and a stored
+    record that the files don't hold or hold otherwise, refuse the batch.
     """
     spark = raw.sparkSession
     manifest.validate()
@@ -116,10 +109,11 @@ def build_batch(raw: DataFrame, manifest: Manifest, store: Store, batch_id: str,
         unit = store.unit(spark).filter(mine)
         write_slices(W.facts(crash), store.path("fact"))
         fact = store.fact(spark).filter(mine)
+        observed, native = read_native(spark, manifest, files)
         append_results(quality_results(raw, manifest, crash, unit, fact, batch_id, native, observed, deletions), store.path("qa"))
         append_results(Q.summary_results(store.results(spark).filter(mine), batch_id), store.path("qa"))
         verify_layers(raw, manifest, crash, unit, fact, batch_id)
-        L.publish(store.results(spark), store.path("log"), batch_id, manifest)
+        L.publish(store.results(spark), store.path("log"), batch_id, manifest, crash, unit)
     except Exception as exc:
         L.fail(spark, store.path("log"), batch_id, manifest, str(exc))
         raise

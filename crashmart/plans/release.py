@@ -35,6 +35,47 @@ def required_objects(spark: SparkSession, manifest: Manifest) -> DataFrame:
     return contract_frame(spark, rows, "rule_id string, object_key string")
 
 
+def recomputed(spark: SparkSession, manifest: Manifest, crash: DataFrame, unit: DataFrame) -> DataFrame:
+    """(rule_id, object_key, metric, value): what contract and layers demand of a publishable batch, without a look at stored results.
+
+    Row counts of files come from the contract, counts of typed and mapped rows from one grouped pass over each layer, and
+    everything that must not occur is zero.
+    """
+    fixed, layered, zeros = [], [], {rule: [(rule, k, 0) for k in METRICS[rule]] for rule in ("QA05_SEMANTICS", "QA06_RECONCILIATION")}
+    for f in manifest.files():
+        name = f"file:{f.resource_id}:{f.file_sha256}:{f.parser_version}"
+        fixed += [("QA01_INPUT", name, k, 1) for k in METRICS["QA01_INPUT"]]
+        fixed += [("QA02_RAW", name, k, v) for k, v in (("raw_count", f.raw_count), ("distinct_locator_count", f.raw_count), ("payload_mismatch_count", 0))]
+        if f.role in ("crash", "unit"):
+            key = f"resource:{f.resource_id}"
+            fixed += [("QA03_PROJECTED", key, k, v) for k, v in (("input_count", f.raw_count), ("duplicate_key_count", 0), ("orphan_count", 0), ("invalid_value_count", 0))]
+            layered.append((f.role, f.source_id, key))
+    years = [(s.source_id, y) for s in manifest.sources for y in range(manifest.year_from, manifest.year_to + 1)]
+    fixed += [(rule, f"source:{s.source_id}", k, v) for s in manifest.sources for rule, k, v in zeros["QA05_SEMANTICS"]]
+    fixed += [(rule, f"source_year:{s}:{y}", k, v) for s, y in years for rule, k, v in zeros["QA06_RECONCILIATION"]]
+    form = "rule_id string, object_key string, metric string, value bigint"
+    zero = F.lit(0).cast("bigint")
+    rows = (crash.groupBy("source_id").agg(F.count(F.lit(1)).alias("n")).withColumn("role", F.lit("crash"))
+            .unionByName(unit.groupBy("source_id").agg(F.count(F.lit(1)).alias("n")).withColumn("role", F.lit("unit"))))
+    files = contract_frame(spark, layered, "role string, source_id string, object_key string").join(rows, ["role", "source_id"], "left")
+    projected = files.select(F.lit("QA03_PROJECTED").alias("rule_id"), "object_key", F.lit("projected_count").alias("metric"), F.coalesce("n", zero).alias("value"))
+    mapped = crash.groupBy("source_id", "occurrence_year").agg(F.count(F.lit(1)).alias("n"), F.count_if("map_eligible").alias("m"))
+    spine = contract_frame(spark, years, "source_id string, occurrence_year int").join(mapped, ["source_id", "occurrence_year"], "left")
+    n, m = F.coalesce("n", zero), F.coalesce("m", zero)
+    values = F.array(*[F.struct(F.lit(k).alias("metric"), v.alias("value")) for k, v in (("crash_count", n), ("map_count", m), ("unmapped_count", n - m), ("invalid_eligible_count", zero))])
+    located = spine.select(F.lit("QA07_LOCATION").alias("rule_id"), F.concat_ws(":", F.lit("source_year"), "source_id", "occurrence_year").alias("object_key"), F.explode(values).alias("v"))
+    return contract_frame(spark, fixed, form).unionByName(projected).unionByName(located.select("rule_id", "object_key", "v.metric", "v.value"))
+
+
+def expectation_findings(results: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Objects whose stored expectation or stored count of some metric is not the recomputed one, in the form of gate_findings."""
+    keys = ["rule_id", "object_key"]
+    stored = results.select(*keys, F.col("expected.metrics").alias("e"), F.col("actual.metrics").alias("a"))
+    held = wanted.join(stored, keys)
+    off = lambda side: F.try_element_at(side, F.col("metric")).isNotNull() & (F.try_element_at(side, F.col("metric")) != F.col("value"))
+    return held.filter(off("e") | off("a")).select(*keys, F.lit("expectation").alias("reason")).distinct()
+
+
 def gate_findings(results: DataFrame, required: DataFrame) -> DataFrame:
     """Why a batch may not be published, one row per reason; empty means it may."""
     keys = ["rule_id", "object_key"]
@@ -107,14 +148,16 @@ def latest_status(log: DataFrame) -> DataFrame:
     return log.groupBy("batch_id").agg(picked).select("batch_id", "last.*")
 
 
-def publish(results: DataFrame, log_path: str, batch_id: str, manifest: Manifest) -> None:
+def publish(results: DataFrame, log_path: str, batch_id: str, manifest: Manifest, crash: DataFrame, unit: DataFrame) -> None:
     """Check the gate, then append the succeeded row. The pointer is the latest such row, so history stays readable.
 
+    crash and unit are the batch's layers: expectations are made again from them and the contract, so a stored row cannot vouch for itself.
+
     All findings of a refused batch are written beside the log, in a folder of their own; the message names it and shows the first.
     """
     spark = results.sparkSession
     mine = results.filter(F.col("batch_id") == batch_id)
-    findings = gate_findings(mine, required_objects(spark, manifest))
+    findings = gate_findings(mine, required_objects(spark, manifest)).unionByName(expectation_findings(mine, recomputed(spark, manifest, crash, unit)))
     first = findings.orderBy("rule_id", "object_key", "reason").limit(5).collect()   # examples for the message only
     if first:
         kept = f"{log_path.rstrip('/')}-findings/{batch_id}"

@@ -18,17 +18,15 @@ CORRUPT, VALID = "_malformed", "_valid_utf8"
 BOM = "\ufeff"
 
 
-def read_header(spark: SparkSession, path: str) -> list[tuple[str, list[str]]]:
-    """(file, header cells) of every file. Reads only the first line of each file's first split."""
+def headers(spark: SparkSession, path: str) -> DataFrame:
+    """(file, cells) of every file. Reads only the first line of each file's first split."""
     first = (spark.read.option("lineSep", "\n").text(path)
              .select(F.col("_metadata.file_path").alias("file"), "value",
                      F.col("_metadata.file_block_start").alias("start"), _row_in_task().alias("row"))
              .filter("start = 0"))
     # The lowest row id of a file's first split is its first line.
     lines = first.groupBy("file").agg(F.min_by("value", "row").alias("line"))
-    parsed = lines.select("file", _cells(F.regexp_replace("line", rf"\A{BOM}|\r\z", "")).alias("cells"))
-    # One row per file, header cells only.
-    return [(r["file"], list(r["cells"])) for r in parsed.toLocalIterator()]
+    return lines.select("file", _cells(F.regexp_replace("line", rf"\A{BOM}|\r\z", "")).alias("cells"))
 
 
 def _cells(line: Column) -> Column:
@@ -40,15 +38,19 @@ def _cells(line: Column) -> Column:
 
 def check_headers(spark: SparkSession, path: str, spec: FileSpec) -> None:
     """Complete ordered header, no duplicates, in every file of the set."""
-    found = read_header(spark, path)
+    wanted, example = F.array(*[F.lit(h) for h in spec.header]), F.min(F.struct("file", "cells"))
+    twice = F.size(F.array_distinct("cells")) != F.size("cells")
+    found = (headers(spark, path).withColumns({"twice": twice, "other": F.col("cells") != wanted}).groupBy("twice", "other")
+             .agg(F.count(F.lit(1)).alias("n"), example.alias("example")).collect())      # four groups at most, one example of each
     if not found:
         raise ContractError("MISSING_HEADER", "the input has no header", resource_id=spec.resource_id)
-    for file, cells in found:
-        if len(set(cells)) != len(cells):
-            raise ContractError("DUPLICATE_HEADER", "duplicate header cells", file=file, actual=cells)
-        if cells != list(spec.header):
+    for row in sorted(found, key=lambda r: r["example"]["file"]):
+        file, cells = row["example"]
+        if row["twice"]:
+            raise ContractError("DUPLICATE_HEADER", "duplicate header cells", file=file, actual=list(cells))
+        if row["other"]:
             raise ContractError("HEADER_MISMATCH", "header differs from the contract", file=file,
-                                expected=list(spec.header), actual=cells)
+                                expected=list(spec.header), actual=list(cells))
 
 
 def _row_in_task() -> Column:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import csv
 import hashlib
+import io
 from dataclasses import replace
 
 from crashmart.contracts import (
@@ -24,7 +26,7 @@ ATOLL_CRASH = ("ID", "Y", "M", "HARM", "DEAD", "HURT_ALL", "LAT", "LON")
 ROWS = {
     "ferry_crash": (FERRY_CRASH, [
         ("F-17", "K", "2022", "March", "51.4012000", "-2.5100000", "3", "1", "2", "1", "0"),
-        ("F-18", None, "2023", None, None, None, "1", None, None, None, None),
+        ("F-18", "", "2023", "", "", "", "1", "", "", "", ""),
         ("F-19", "H", "2022", "November", "51.5", "-2.25", "1", "0", "0", "3", "1")]),
     "ferry_unit": (FERRY_UNIT, [("F-17", "1", "BOAT"), ("F-17", "2", "BOAT"), ("F-17", "3", "BOAT"), ("F-18", "1", "BOAT"), ("F-19", "1", "BOAT")]),
     "ridge_crash": (RIDGE_CRASH, [
@@ -46,9 +48,24 @@ MISSING = Category(MISSING_CODE, "unknown", None, "not stated")
 COVER = (Coverage(2020, 2024, tuple(range(1, 13)), "made up"),)
 
 
+def file_text(table: tuple) -> bytes:
+    """The native file of some rows."""
+    out = io.StringIO()
+    csv.writer(out, lineterminator="\n").writerows([table[0], *table[1]])
+    return out.getvalue().encode()
+
+
+def files(folder, rows: dict | None = None, fourth: bool = False) -> dict[str, str]:
+    """Writes the native files and gives the path of each."""
+    tables = {**(rows or ROWS), **(ATOLL_ROWS if fourth else {})}
+    for name, table in tables.items():
+        (folder / f"{name}.csv").write_bytes(file_text(table))
+    return {name: f"file://{folder}/{name}.csv" for name in tables}
+
+
 def spec(name: str, rows: dict, keys, parent=(), crash=()) -> FileSpec:
     source, role = name.split("_", 1)
-    return FileSpec(name, source, role, rows[name][0], keys, hashlib.sha256(name.encode()).hexdigest(), raw_count=len(rows[name][1]),
+    return FileSpec(name, source, role, rows[name][0], keys, hashlib.sha256(file_text(rows[name])).hexdigest(), raw_count=len(rows[name][1]),
                     parent_resource_id=f"{source}_crash" if parent else None, parent_fields=parent, parent_crash_fields=crash or parent)
 
 

@@ -10,15 +10,22 @@ from pyspark.sql import functions as F
 from crashmart.contracts import Category
 from crashmart.errors import ContractError
 from crashmart.plans import build as B, links as K, project as P, quality as Q, release as L, reports as R, warehouse as W
+from crashmart.plans.native import read_native
 from crashmart.plans.reports import Request
 from crashmart.session import scratch_path
 from tests import small
 
 
 @pytest.fixture(scope="module")
-def built(spark):
+def native(tmp_path_factory):
+    """Writes the native files of some rows into a folder of their own."""
+    return lambda rows=None, fourth=False: small.files(tmp_path_factory.mktemp("native"), rows, fourth)
+
+
+@pytest.fixture(scope="module")
+def built(spark, native):
     m, store = small.manifest(), B.Store(scratch_path(spark, "store"))
-    B.build_batch(small.raw(spark), m, store, "b1")
+    B.build_batch(small.raw(spark), m, store, "b1", native())
     return m, store
 
 
@@ -68,9 +75,9 @@ def test_results_and_summaries(spark, built):
     assert set(states.values()) == {"pass"}
 
 
-def test_fourth_source(spark):
+def test_fourth_source(spark, native):
     m, store = small.manifest(fourth=True), B.Store(scratch_path(spark, "store"))
-    B.build_batch(small.raw(spark, fourth=True), m, store, "b1")
+    B.build_batch(small.raw(spark, fourth=True), m, store, "b1", native(fourth=True))
     b = B.open_batch(spark, store, m, "b1")
     totals = b.fact.agg(F.count(F.lit(1)), F.count_if("is_fatal_crash"), F.sum("fatality_count"), F.sum("casualty_count")).first()
     assert tuple(totals) == (9, 3, 4, 18)
@@ -155,22 +162,90 @@ def gate_error(spark, rows):
     return e.value
 
 
-def test_failed_build_is_logged(spark):
+def test_failed_build_is_logged(spark, native):
     rows = small.edit("ferry_crash", 0, Dead="-1")
     store = B.Store(scratch_path(spark, "store"))
     with pytest.raises(ContractError):
-        B.build_batch(small.raw(spark, rows), small.manifest(rows), store, "b1")
+        B.build_batch(small.raw(spark, rows), small.manifest(rows), store, "b1", native(rows))
     assert [r["status"] for r in store.log(spark).collect()] == ["failed"]
     assert L.log_errors(store.log(spark)).count() == 0
 
 
-def test_changed_file_is_refused(spark):
-    m, raw, store = small.manifest(), small.raw(spark), B.Store(scratch_path(spark, "store"))
-    observed = B.observed_inputs(raw, m)
-    changed = observed.withColumn("actual_header", F.when(F.col("resource_id") == "delta_crash", F.array(F.lit("x"))).otherwise(F.col("actual_header")))
+@pytest.mark.parametrize(("change", "found"), [
+    ("header", {("QA01_INPUT", "block"), ("QA02_RAW", "block")}), ("missing row", {("QA01_INPUT", "block"), ("QA02_RAW", "block")}),
+    ("extra row", {("QA01_INPUT", "block"), ("QA02_RAW", "block")}), ("changed cell", {("QA01_INPUT", "block"), ("QA02_RAW", "block")})])
+def test_a_file_changed_after_it_was_loaded_refuses_the_batch(spark, native, change, found):
+    """Stored records and contract agree with each other; only the file tells."""
+    m, raw, store, paths = small.manifest(), small.raw(spark), B.Store(scratch_path(spark, "store")), native()
+    name = paths["delta_crash"].removeprefix("file://")
+    lines = open(name).read().splitlines()
+    lines = {"header": [lines[0].replace("All", "Sum"), *lines[1:]], "missing row": lines[:-1], "extra row": [*lines, lines[-1].replace("D-5", "D-6")],
+             "changed cell": [*lines[:-1], lines[-1].replace("May", "June")]}[change]
+    with open(name, "w") as out:
+        out.write("\n".join(lines) + "\n")
     with pytest.raises(ContractError) as e:
-        B.build_batch(raw, m, store, "b1", native=raw, observed=changed)
+        B.build_batch(raw, m, store, "b1", paths)
     assert e.value.code == "PUBLICATION_QA"
+    refused = {(r["rule_id"], r["reason"]) for r in spark.read.parquet(e.value.details["table"]).filter("object_key <> 'batch'").collect()}
+    assert (found if change != "header" else {("QA01_INPUT", "block")}) <= refused
+
+
+def test_files_that_are_no_records(spark, tmp_path):
+    m, paths = small.manifest(), small.files(tmp_path)
+    with pytest.raises(ContractError) as e:
+        read_native(spark, m, {k: v for k, v in paths.items() if k != "ridge_unit"})
+    assert e.value.code == "NATIVE_FILE" and e.value.details["resource_ids"] == ["ridge_unit"]
+    with open(tmp_path / "ridge_unit.csv", "a") as out:
+        out.write("R6,C\n")
+    with pytest.raises(ContractError) as e:
+        read_native(spark, m, paths)
+    assert e.value.code == "NATIVE_FORMAT" and e.value.details["row_width_mismatch"] == 1
+
+
+def test_stored_rows_cannot_vouch_for_themselves(spark, built):
+    """Expectation and count edited alike pass the row's own comparison; the recomputed expectation refuses them."""
+    m, store = built
+    rows = store.results(spark).filter("batch_id = 'b1'")
+    crash, unit = store.crash(spark).filter("batch_id = 'b1'"), store.unit(spark).filter("batch_id = 'b1'")
+    wanted = L.recomputed(spark, m, crash, unit)
+    assert L.expectation_findings(rows, wanted).count() == 0
+    for rule, key, metric in (("QA07_LOCATION", "source_year:delta:2021", "crash_count"), ("QA03_PROJECTED", "resource:ferry_unit", "projected_count"),
+                              ("QA02_RAW", None, "raw_count")):
+        hit = (F.col("rule_id") == rule) & (F.col("object_key") == key if key else F.col("object_key").contains("ridge_node_raw"))
+        put = lambda side: F.col(side).withField("metrics", F.map_concat(F.map_filter(f"{side}.metrics", lambda k, v: k != metric), F.create_map(F.lit(metric), F.lit(9).cast("bigint"))))
+        edited = rows.withColumns({side: F.when(hit, put(side)).otherwise(F.col(side)) for side in ("expected", "actual")})
+        assert L.gate_findings(edited, L.required_objects(spark, m)).count() == 0
+        assert [r["rule_id"] for r in L.expectation_findings(edited, wanted).collect()] == [rule]
+
+
+def test_damaged_locations_reasons_and_notes(spark):
+    """Each damage is made in the stored layer, past the projection; the second derivation tells it."""
+    m, raw = small.manifest(), small.raw(spark)
+    p = P.project_all(raw, m, "b")
+    ridge, bare = F.col("source_id") == "ridge", F.col("crash_key") == '["F-18"]'
+    moved = p.crash.withColumn("latitude", F.when(ridge, F.col("latitude") + F.lit("0.0000001").cast("decimal(10,7)")).otherwise(F.col("latitude")).cast("decimal(10,7)"))
+    keys = lambda rows, rule: {r["object_key"] for r in rows.collect() if r["rule_id"] == rule and r["result"] == "block"}
+    assert keys(Q.projection_results(raw, m, moved, p.unit, "b"), "QA03_PROJECTED") == {"resource:ridge_crash"}
+    reason = F.when(bare, F.col("quality_notes").withField("location.reason_code", F.lit("unmapped"))).otherwise(F.col("quality_notes"))
+    other = p.crash.withColumn("quality_notes", reason)
+    assert keys(Q.projection_results(raw, m, other, p.unit, "b"), "QA03_PROJECTED") == set()
+    assert keys(Q.semantics_results(raw, m, other, p.unit, "b"), "QA05_SEMANTICS") == {"source:ferry"}
+    expected = Q.expected_locations(Q.expected_rows(raw, m)[0], "b")
+    of = lambda crash: Q.location_results(Q.location_metrics(expected, W.facts(crash), W.dim_source(spark, m, "b"), 2020, 2024), "b")
+    assert keys(of(p.crash), "QA07_LOCATION") == set()
+    assert keys(of(moved), "QA07_LOCATION") == {"source_year:ridge:2021"}
+
+
+def test_observations_that_differ_in_the_fortieth_place(spark):
+    """Written alike they agree; one digit apart, far beyond any decimal type, they contradict each other in both derivations."""
+    long = "46." + "0" * 39
+    for second, place in ((f"0.46{'0' * 39}1e2", True), (f"{long}2", False)):
+        rows = {**small.ROWS, "ridge_node_raw": (small.RIDGE_NODE, [("R5", "S9", f"{long}1", "7"), ("R5", "S9", second, "+7.0")])}
+        m, raw = small.manifest(rows), small.raw(spark, rows)
+        p = P.project_all(raw, m, "b")
+        row = p.crash.filter("crash_key = '[\"R5\"]'").first()
+        assert row["map_eligible"] is place
+        assert Q.detail_differences(Q.expected_rows(raw, m)[0], p.crash).count() == 0
 
 
 def test_build_verifies_layers_and_keeps_candidates(spark, built):
@@ -244,22 +319,22 @@ def test_unknown_crs(spark):
     assert reasons == {"definition_unconfirmed"}
 
 
-def test_revised_batch_keeps_history(spark, built):
+def test_revised_batch_keeps_history(spark, built, native):
     m1, store = built
-    assert B.build_batch(small.raw(spark), m1, store, "b2") == "b1"          # nothing changed
+    assert B.build_batch(small.raw(spark), m1, store, "b2", native()) == "b1"          # nothing changed
     rows = small.edit("ferry_crash", 0, Dead="3")
     m2 = replace(small.manifest(rows), producer_version="v2")
-    assert B.build_batch(small.raw(spark, rows), m2, store, "b3") == "b3"
+    assert B.build_batch(small.raw(spark, rows), m2, store, "b3", native(rows)) == "b3"
     total = lambda b, m: tuple(B.open_batch(spark, store, m, b).fact.agg(F.sum("fatality_count"), F.sum("casualty_count")).first())
     assert total("b1", m1) == (4, 16) and total("b3", m2) == (6, 18)
     from crashmart.sources.sinks import current_pointer
     assert current_pointer(L.latest_status(store.log(spark))).first()["batch_id"] == "b3"
     with pytest.raises(ContractError) as e:
-        B.build_batch(small.raw(spark), m1, store, "b1")
+        B.build_batch(small.raw(spark), m1, store, "b1", native())
     assert e.value.code == "BATCH_EXISTS"
 
 
-def test_deletion_needs_an_explanation(spark):
+def test_deletion_needs_an_explanation(spark, native):
     before = small.raw(spark).filter("resource_id = 'delta_crash'").select("resource_id", F.col("payload")["No"].alias("key"))
     after = before.filter("key <> 'D-4'")
     lost = Q.snapshot_deletions(before, after, ["resource_id", "key"])
@@ -267,8 +342,7 @@ def test_deletion_needs_an_explanation(spark):
     explained = before.filter("key = 'D-4'")
     assert Q.snapshot_deletions(before, after, ["resource_id", "key"], explained).count() == 0
     m = small.manifest()
-    raw = small.raw(spark)
-    got = {r["object_key"].split(":")[1]: r for r in Q.input_results(B.observed_inputs(raw, m), m, "b", lost).collect()}
+    got = {r["object_key"].split(":")[1]: r for r in Q.input_results(read_native(spark, m, native())[0], m, "b", lost).collect()}
     assert got["delta_crash"]["result"] == "block" and got["ferry_crash"]["result"] == "pass"
 
 
