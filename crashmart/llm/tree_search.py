@@ -3,14 +3,19 @@
 Largest inner product becomes smallest distance by one more component, the root of (largest squared norm - own squared norm), zero for
 queries. The tree is fitted on a bounded sample (`SAMPLE` rows, those of lowest hashed id), every row is put into a leaf, and a query
 visits leaves in the order of a priority queue over the distances to the centres of the branches it has not taken. How many leaves
-are visited is calibrated: it doubles until the exact neighbours of `TRIALS` queries are found with the wanted recall. Scores are exact.
+are visited is calibrated: the fewest that hold the wanted share of the exact neighbours of `TRIALS` queries. Scores are exact.
+
+The first few leaves of a query give it the score that a row has to reach; its other leaves send only rows that reach it, so what is
+shuffled grows with the results and not with the leaves visited.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -20,8 +25,9 @@ from pyspark.sql import functions as F
 from .frames import materialize
 from .vectors import best, lowest_of_each, meet, usable
 
-SAMPLE, BRANCHES, LEAF = 20_000, 8, 100
+SAMPLE, BRANCHES, LEAF = 20_000, 8, 8
 TRIALS, RECALL = 200, 0.97
+FIRST = 8      # leaves at least that are searched before a bound on the score is known
 ROWS, QUERIES = 4096, 1024      # of a block
 
 
@@ -101,40 +107,96 @@ def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return out
 
 
+def _near_ties(scores: np.ndarray) -> np.ndarray:
+    """What another order of additions may make of a score, at least."""
+    return np.where(np.isfinite(scores), scores - 1e-9 * (np.abs(scores) + 1), scores)
+
+
 def _best_of_block(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> pd.DataFrame:
+    """The k best rows of each query, and those level with them."""
     scores = q @ x.T
-    if len(ids) > k:
-        least = np.partition(scores, len(ids) - k, axis=1)[:, len(ids) - k]
-        rows, cols = np.nonzero(scores >= (least - 1e-9 * (np.abs(least) + 1))[:, None])
-    else:
-        rows, cols = np.nonzero(np.ones_like(scores, bool))
+    least = np.partition(scores, len(ids) - k, axis=1)[:, len(ids) - k] if len(ids) > k else np.full(len(q), -np.inf)
+    rows, cols = np.nonzero(scores >= _near_ties(least)[:, None])
     return pd.DataFrame({"query": q_ids[rows], "id": ids[cols], "score": products(q[rows], x[cols])})
 
 
-def _block(k: int):
+def _ranks(query: np.ndarray, *order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows sorted by query and then by order (the last counts most), and the place of each in its query, from 0."""
+    at = np.lexsort((*order, query))
+    new = np.flatnonzero(np.diff(query[at], prepend=-1))
+    return at, np.arange(len(at)) - np.repeat(new, np.diff(new, append=len(at)))
+
+
+def best_of_page(left: pd.DataFrame, right: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The k best rows of each query (id, v, leaves, least) among the rows (id, v, leaf) of its leaves that reach its `least`."""
+    leaf_order, wanted = np.argsort(right["leaf"].to_numpy(), kind="stable"), np.concatenate(left["leaves"].tolist())
+    x, ids, leaf = np.stack(right["v"])[leaf_order], right["id"].to_numpy()[leaf_order], right["leaf"].to_numpy()[leaf_order]
+    who, by_leaf = np.repeat(np.arange(len(left)), [len(v) for v in left["leaves"]]), np.argsort(wanted, kind="stable")
+    who, wanted, q, floor = who[by_leaf], wanted[by_leaf], np.stack(left["v"]), _near_ties(left["least"].to_numpy())
+    rows, cols, about = [], [], []
+    for own in np.unique(leaf):
+        (a, b), (c, d) = np.searchsorted(leaf, [own, own + 1]), np.searchsorted(wanted, [own, own + 1])
+        if c == d:
+            continue
+        scores, least = q[who[c:d]] @ x[a:b].T, floor[who[c:d]]
+        if b - a > k:
+            least = np.maximum(least, _near_ties(np.partition(scores, b - a - k, axis=1)[:, b - a - k]))
+        i, j = np.nonzero(scores >= least[:, None])
+        rows.append(who[c:d][i])
+        cols.append(a + j)
+        about.append(scores[i, j])
+    rows, cols, about = (np.concatenate([np.empty(0, t), *v]) for t, v in ((np.int64, rows), (np.int64, cols), (float, about)))
+    at, place = _ranks(rows, -about)
+    last = np.full(len(left), -np.inf)
+    last[rows[at[place == k - 1]]] = about[at[place == k - 1]]
+    fine = about >= _near_ties(last)[rows]
+    rows, cols = rows[fine], cols[fine]
+    score = products(q[rows], x[cols])
+    at, place = _ranks(rows, ids[cols], -score)
+    at = at[place < k]
+    return pd.DataFrame({"query": left["id"].to_numpy()[rows[at]], "id": ids[cols[at]], "score": score[at]})
+
+
+def _page(k: int):
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame({"query": np.empty(0, np.int64), "id": np.empty(0, np.int64), "score": np.empty(0)})
-        return _best_of_block(np.stack(left["v"]), left["id"].to_numpy(), np.stack(right["v"]), right["id"].to_numpy(), k)
+        return best_of_page(left, right, k)
+    return run
+
+
+def _paged(first: int, last: int | None, per_page: int):
+    """Queries with some of their leaves, in one row for each page of leaves."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for id_, v, least, leaves in zip(batch["id"], batch["v"], batch["least"], batch["leaves"], strict=True):
+                some = np.sort(leaves[first:last])
+                turns = np.flatnonzero(np.diff(some // per_page)) + 1
+                rows += [(id_, v, least, int(part[0]) // per_page, part) for part in np.split(some, turns) if len(part)]
+            yield pd.DataFrame(rows, columns=["id", "v", "least", "page", "leaves"]).astype({"id": "int64", "least": "float64", "page": "int32"})
     return run
 
 
 def nearest_by_tree(vectors: DataFrame, every: int = 20, k: int = 20, recall: float = RECALL) -> DataFrame:
-    """(query_id, rank, vec_id, score): of each vector whose id `every` divides, the k found with largest inner product, itself left out.
+    """(query_id, rank, vec_id, score, scored): of each vector whose id `every` divides, the k found with largest inner product, itself left out.
 
-    vectors has vec_id and embedding. Rows without an id, and null, empty, zero or non-finite vectors, take no part; vectors of another
-    length than the commonest take none either. A repeated id is a candidate once for each distinct vector. Equal vectors are searched
-    once: ties go to the lower id, so only the k + 1 lowest ids of a vector can be found.
+    vectors has vec_id and embedding. Rows without an id, and null, empty, zero or non-finite vectors, take no part. Vectors of each
+    length have a tree of their own and meet no others; a length without a query is not looked at. A repeated id is a candidate once for each distinct
+    vector. Equal vectors are searched once: ties go to the lower id, so only the k + 1 lowest ids of a vector can be found. scored is
+    the number of indexed rows whose product was taken for the query; other columns of vectors are ignored.
     """
-    rows = usable(vectors).where(F.exists("v", lambda x: x != 0))
-    lengths = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    schema = "query_id long, rank int, vec_id long, score double"
-    if not lengths:
-        return vectors.sparkSession.createDataFrame([], schema)
-    keyed = rows.where(F.size("v") == lengths[0]["n"]).select("id", "v", F.xxhash64("v").alias("a"), F.xxhash64(F.lit(1), "v").alias("b"))
+    rows = usable(vectors).where(F.exists("v", lambda x: x != 0)).withColumn("n", F.size("v"))
+    asked = rows.where(F.col("id") % every == 0).select("n").distinct().orderBy("n").collect()      # one row for each length of a vector
+    empty = vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double, scored long")
+    return reduce(DataFrame.union, [_of_one_length(rows.where(F.col("n") == r["n"]).drop("n"), every, k, recall) for r in asked] or [empty])
+
+
+def _of_one_length(rows: DataFrame, every: int, k: int, recall: float) -> DataFrame:
+    keyed = rows.select("id", "v", F.xxhash64("v").alias("a"), F.xxhash64(F.lit(1), "v").alias("b"))
     kept = materialize(lowest_of_each(keyed, k + 1), "vectors")
     norm = F.aggregate("v", F.lit(0.0), lambda acc, x: acc + x * x)
-    longest = kept.agg(F.max(norm)).first()[0]
+    total, longest = kept.agg(F.count(F.lit(1)), F.max(norm)).first()
     sample = np.array([r["v"] for r in kept.orderBy(F.xxhash64("id"), "id").select("v").limit(SAMPLE).collect()])
     lift = lambda x: np.concatenate([x, np.sqrt(np.maximum(0, longest - (x * x).sum(1)))[:, None]], 1)
     tree = grow(lift(sample))
@@ -142,30 +204,42 @@ def nearest_by_tree(vectors: DataFrame, every: int = 20, k: int = 20, recall: fl
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
-                yield batch.assign(leaf=tree.place(lift(np.stack(batch["v"]))))
+                leaf = tree.place(lift(np.stack(batch["v"])))
+                yield batch.assign(leaf=leaf, page=leaf // per_page)
 
-    index = materialize(kept.select("id", "v").mapInPandas(place, "id long, v array<double>, leaf int"), "index")
+    # Leaves beside each other in the tree share a page of some ROWS rows, and a query is sent once to each page.
+    per_page = max(1, tree.leaves * ROWS // total)
+    index = materialize(kept.select("id", "v").mapInPandas(place, "id long, v array<double>, leaf int, page int"), "index")
     asked = keyed.where(F.col("id") % every == 0)
     # One search for each distinct vector asked for, named by its lowest id.
     classes = materialize(asked.groupBy("a", "b").agg(F.min("id").alias("id"), F.max("v").alias("v")), "asked")
     visits = _calibrated(index, classes, tree, k, recall)
+    first = min(visits, max(FIRST, -(-4 * (k + 1) * tree.leaves // total)))      # leaves that hold some four times the rows wanted
 
     def order(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            leaves = [tree.visit(np.append(v, 0.0), visits) for v in batch["v"]]
-            yield batch.assign(leaves=leaves)
+            yield batch.assign(leaves=[tree.visit(np.append(v, 0.0), visits) for v in batch["v"]])
+
+    ordered = materialize(classes.select("id", "v").mapInPandas(order, "id long, v array<double>, leaves array<int>"), "visits")
+
+    def searched(some: DataFrame, since: int, until: int | None) -> DataFrame:
+        paged = materialize(some.mapInPandas(_paged(since, until, per_page), "id long, v array<double>, least double, page int, leaves array<int>"), "paged")
+        return materialize(meet(paged, index, "page", _page(k + 1), "query long, id long, score double", QUERIES, ROWS).distinct(), "found")
 
-    asked_leaves = classes.select("id", "v").mapInPandas(order, "id long, v array<double>, leaves array<int>").select("id", "v", F.explode("leaves").alias("leaf"))
-    asked_leaves = materialize(asked_leaves, "visits")
-    found = meet(asked_leaves, index, "leaf", _block(k + 1), "query long, id long, score double", QUERIES, ROWS)
-    top = materialize(best(found.distinct(), k + 1).select("query", "id", "score"), "found")
+    opening = searched(ordered.withColumn("least", F.lit(float("-inf"))), 0, first)
+    reached = materialize(best(opening, k + 1).where(F.col("rank") == k + 1).select(F.col("query").alias("id"), F.col("score").alias("least")), "reached")
+    later = ordered.join(reached, "id", "left").withColumn("least", F.coalesce("least", F.lit(float("-inf"))))
+    found = opening.union(searched(later, first, None)) if visits > first else opening
+    top = materialize(best(found, k + 1).select("query", "id", "score"), "best")
+    leaf_rows = materialize(index.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")), "leaf_rows")
+    scored = ordered.select(F.col("id").alias("query"), F.explode("leaves").alias("leaf")).join(leaf_rows, "leaf").groupBy("query").agg(F.sum("n").alias("scored"))
     named = asked.join(classes.select("a", "b", F.col("id").alias("query")), ["a", "b"]).select(F.col("id").alias("query_id"), "query").distinct()
-    mine = named.join(top, "query").where("id <> query_id").select(F.col("query_id"), "id", "score")
-    return best(mine, k, "query_id").select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+    mine = named.join(top, "query").join(materialize(scored, "scored"), "query").where("id <> query_id").select("query_id", "id", "score", "scored")
+    return best(mine, k, "query_id").select("query_id", "rank", F.col("id").alias("vec_id"), "score", "scored")
 
 
 def _calibrated(index: DataFrame, classes: DataFrame, tree: Tree, k: int, recall: float) -> int:
-    """The number of leaves to visit: doubled until the exact k best of some queries are found with the wanted recall."""
+    """The number of leaves to visit: the fewest among whose rows are the wanted share of the exact k best of some queries."""
     trials = classes.orderBy(F.xxhash64("id"), "id").limit(TRIALS).select("id", "v").collect()
     if not trials:
         return 1
@@ -180,8 +254,5 @@ def _calibrated(index: DataFrame, classes: DataFrame, tree: Tree, k: int, recall
 
     truth = best(index.mapInPandas(exact, "query long, id long, score double, leaf int"), k).select("query", "leaf").collect()      # at most TRIALS * k rows
     orders = {int(i): {leaf: n for n, leaf in enumerate(tree.visit(np.append(v, 0.0), tree.leaves))} for i, v in zip(q_ids, q, strict=True)}
-    needed = np.array([orders[r["query"]][r["leaf"]] for r in truth])
-    visits = 1
-    while visits < tree.leaves and (needed < visits).mean() < recall:
-        visits *= 2
-    return min(visits, tree.leaves)
+    needed = np.sort([orders[r["query"]][r["leaf"]] for r in truth])
+    return int(needed[math.ceil(recall * len(needed)) - 1]) + 1

@@ -18,7 +18,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from crashmart.llm import alignment, exact_dedup, importance, line_dedup, near_duplicates
+from crashmart.llm import alignment, exact_dedup, importance, line_dedup, near_duplicates, tree_search
 from crashmart.llm.frames import components, numbered
 from crashmart.llm.word_tokens import byte_letters
 
@@ -283,3 +283,37 @@ def test_columns_named_like_the_operators_own_stay(spark):
     assert all(r["text"] == f"own line {r['doc_id']} of this page" for r in cut.collect())
     one = near_duplicates.one_of_each(docs)
     assert one.columns == docs.columns and {tuple(r)[3:] for r in one.collect()} == {tuple(range(len(names)))}
+
+
+# Tree search
+
+def _vectors(spark, x, ids):
+    return spark.createDataFrame([(int(i), [float(c) for c in v], -1, "x") for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<float>, least int, leaf string")
+
+
+def test_tree_search_skips_most_rows(spark):
+    """Recall of at least 0.9 with under half of the rows scored; columns named like the operator's own do not disturb."""
+    rng = np.random.default_rng(17)
+    x = (rng.normal(size=(40, 16))[rng.integers(0, 40, 4000)] + 0.6 * rng.normal(size=(4000, 16))).astype(np.float32)
+    got = defaultdict(dict)
+    rows = tree_search.nearest_by_tree(_vectors(spark, x, range(4000))).collect()
+    for r in rows:
+        got[r["query_id"]][r["rank"]] = r
+    wide, hits = x.astype(float), 0
+    for i in range(0, 4000, 20):
+        scores = wide @ wide[i]
+        scores[i] = -np.inf
+        assert sorted(got[i]) == list(range(1, 21))
+        order = [(-r["score"], r["vec_id"]) for _, r in sorted(got[i].items())]
+        assert order == sorted(order)
+        assert all(abs(r["score"] - scores[r["vec_id"]]) < 1e-9 for r in got[i].values())
+        hits += len({r["vec_id"] for r in got[i].values()} & set(np.argsort(-scores)[:20].tolist()))
+    assert hits / (20 * 200) >= 0.9
+    assert np.mean([r["scored"] for r in rows]) < 0.5 * 4000
+
+
+def test_tree_search_by_length(spark):
+    """Vectors of each length meet their own kind only; few rows are all found, in order."""
+    x = [[1.0, 0.0], [0.5, 0.5], [0.0, 1.0], [2.0], [1.0], [-1.0], [3.0, 0.0, 0.0]]
+    got = tree_search.nearest_by_tree(_vectors(spark, x, [0, 1, 2, 20, 21, 22, 23]), k=2).collect()
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == [(0, 1, 1, 0.5), (0, 2, 2, 0.0), (20, 1, 21, 2.0), (20, 2, 22, -2.0)]
