@@ -3,10 +3,15 @@
 Only the number of pieces of each length reaches the driver (at most `capacity` rows). The plan is made on those counts:
 
 1. large lengths, sorted, fall into groups of equal cardinality and are rounded up to the largest of their group;
-2. how often to use each configuration of the few rounded sizes is optimised by column generation; whole uses are kept, what the
-   rounding down leaves over is packed by decreasing size;
+2. how often to use each configuration of the few rounded sizes is optimised by column generation; whole uses are kept;
 3. actual lengths take the places of the rounded ones, group by group, which gives runs of sequences with equal free space;
-4. small lengths, largest first, go where they fit best, on whole runs at once; what fits nowhere opens new sequences.
+4. small lengths and the large ones that whole uses leave over, largest first, go where they fit best, on whole runs at once; what fits
+   nowhere opens new sequences.
+
+Rounding up leaves some of the substituted sequences loose. Their pieces can go back to step 4, so steps 3 and 4 are done for several bounds
+on the free space of a sequence that is kept (`LOOSE`), and for each number of groups in `GROUPS`; the plan with the fewest sequences is
+taken, the first of equal ones, and a plan that needs no more than the tokens fill ends the search. With every sequence sent back the plan is
+best fit of all lengths, so there are never more sequences than that has.
 
 The plan says which ranks of a length go to which sequence, and its size depends on the lengths, not on the number of pieces. Each
 piece then finds its place from its rank among the pieces of its length; ranks come from counts of written partitions.
@@ -29,7 +34,9 @@ from .frames import materialize
 from .word_tokens import chunks
 
 END = 1
-GROUPS = 48
+GROUPS = (48, 96)
+LOOSE = (1, 1 / 64, 1 / 256, 1 / 1024, 0, -1)      # shares of the capacity
+GAIN = 1e-4      # a configuration has to be worth that much more than one sequence
 
 
 def _price(sizes: list[int], worth: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
@@ -52,13 +59,13 @@ def _price(sizes: list[int], worth: np.ndarray, capacity: int) -> tuple[float, n
 
 
 def configurations(sizes: list[int], demand: list[int], capacity: int) -> list[tuple[np.ndarray, int]]:
-    """Configurations with their whole numbers of uses, which together cover the demand for each size."""
+    """Configurations with their whole numbers of uses, which together cover the demand for each size but for what rounding down leaves."""
     need = np.array(demand, float)
     basis = np.diag([float(capacity // s) for s in sizes])
     for _ in range(40 * len(sizes)):
         duals = np.linalg.solve(basis.T, np.ones(len(sizes)))
         value, new = _price(sizes, duals, capacity)
-        if value <= 1 + 1e-7:
+        if value <= 1 + GAIN:
             break
         uses, change = np.linalg.solve(basis, need), np.linalg.solve(basis, new.astype(float))
         ratio = np.where(change > 1e-9, uses / np.where(change > 1e-9, change, 1), np.inf)
@@ -69,25 +76,50 @@ def configurations(sizes: list[int], demand: list[int], capacity: int) -> list[t
         if n > 0:
             out.append((column, n))
             left = left - n * column
-    open_: list[tuple[int, int]] = []           # (free, number) of the sequences of the remainder
-    rest: list[np.ndarray] = []
-    for i in np.argsort([-s for s in sizes]):
-        for _ in range(left[i]):
-            at = bisect_left(open_, (sizes[i], -1))
-            if at < len(open_):
-                free, number = open_.pop(at)
-            else:
-                free, number = capacity, len(rest)
-                rest.append(np.zeros(len(sizes), int))
-            rest[number][i] += 1
-            insort(open_, (free - sizes[i], number))
-    return out + [(r, 1) for r in rest]
-
-
-def make_plan(counts: dict[int, int], capacity: int, groups: int = GROUPS) -> tuple[list[tuple[int, int, int, int, int, int]], int]:
-    """Entries (length, first rank, pieces, first sequence, pieces of it in a sequence, offset), and the number of sequences."""
-    entries: list[tuple[int, int, int, int, int, int]] = []
-    used, runs, sequences = Counter(), [], 0
+    return out
+
+
+Entry = tuple[int, int, int, int, int, int]      # length, first rank, pieces, first sequence, pieces of it in a sequence, offset
+
+
+def make_plan(counts: dict[int, int], capacity: int, groups: tuple[int, ...] = GROUPS) -> tuple[list[Entry], int]:
+    """Entries, and the number of sequences."""
+    best, least = None, -(-sum(length * n for length, n in counts.items()) // capacity)
+    for some in groups:
+        bins, uses = grouped(counts, capacity, some)
+        for loose in LOOSE:
+            found = substituted(counts, capacity, bins, uses, int(loose * capacity))
+            best = found if best is None or found[1] < best[1] else best
+            if best[1] <= least:
+                return best
+    return best or ([], 0)
+
+
+def grouped(counts: dict[int, int], capacity: int, groups: int) -> tuple[list[list[list[int]]], list[tuple[np.ndarray, int]]]:
+    """Groups of the large lengths, each a list of [length, pieces] from the largest on, and the configurations of their largest lengths."""
+    large = sorted((length for length in counts if capacity // 8 < length < capacity and counts[length]), reverse=True)
+    size, bins, seen = -(-sum(counts[length] for length in large) // groups), [], 0
+    for length in large:
+        n = counts[length]
+        while n:
+            if seen % size == 0:
+                bins.append([])
+            took = min(n, size - seen % size)
+            bins[-1].append([length, took])
+            seen, n = seen + took, n - took
+    merged: list[list[list[int]]] = []
+    for b in bins:
+        if merged and merged[-1][0][0] == b[0][0]:
+            merged[-1] += b
+        else:
+            merged.append(b)
+    return merged, configurations([b[0][0] for b in merged], [sum(n for _, n in b) for b in merged], capacity) if merged else []
+
+
+def substituted(counts: dict[int, int], capacity: int, bins: list[list[list[int]]], uses: list[tuple[np.ndarray, int]], loose: int) -> tuple[list[Entry], int]:
+    """Actual lengths in the places of the configurations, sequences with more than `loose` free left out, then best fit of all others."""
+    entries: list[Entry] = []
+    used, runs, sequences = Counter(), [], 0      # runs: (free, first sequence, sequences)
 
     def place(length: int, n: int, base: int, each: int, offset: int) -> None:
         entries.append((length, used[length], n, base, each, offset))
@@ -97,53 +129,37 @@ def make_plan(counts: dict[int, int], capacity: int, groups: int = GROUPS) -> tu
     if whole:
         place(capacity, whole, 0, 1, 0)
         sequences = whole
-    large = sorted((length for length in counts if capacity // 8 < length < capacity and counts[length]), reverse=True)
-    total = sum(counts[length] for length in large)
-    if total:
-        size, bins, seen = -(-total // groups), [], 0
-        for length in large:
-            n = counts[length]
-            while n:
-                if seen % size == 0:
-                    bins.append([])
-                took = min(n, size - seen % size)
-                bins[-1].append([length, took])
-                seen, n = seen + took, n - took
-        merged: list[list[list[int]]] = []
-        for b in bins:
-            if merged and merged[-1][0][0] == b[0][0]:
-                merged[-1] += b
-            else:
-                merged.append(b)
-        supply = [list(reversed(b)) for b in merged]
-        for column, times in configurations([b[0][0] for b in merged], [sum(n for _, n in b) for b in merged], capacity):
-            slots = [i for i in np.flatnonzero(column) for _ in range(column[i])]
-            filled: list[list[list[int]]] = []      # for each slot, the lengths its sequences get, in order
-            for i in slots:
-                want, got = times, []
-                while want and supply[i]:
-                    length, n = supply[i][-1]
-                    took = min(n, want)
-                    got.append([length, took])
-                    want -= took
-                    supply[i][-1][1] -= took
-                    if not supply[i][-1][1]:
-                        supply[i].pop()
-                filled.append(got)
-            done = 0
-            while done < times:
-                heads = [s[0] for s in filled if s]
-                step = min([times - done, *(h[1] for h in heads)])
-                offset = 0
-                for head in heads:
+    supply = [[list(some) for some in reversed(b)] for b in bins]
+    for column, times in uses:
+        filled: list[list[list[int]]] = []      # for each slot, the lengths its sequences get, in order
+        for i in (i for i in np.flatnonzero(column) for _ in range(column[i])):
+            want, got = times, []
+            while want and supply[i]:
+                length, n = supply[i][-1]
+                took = min(n, want)
+                got.append([length, took])
+                want -= took
+                supply[i][-1][1] -= took
+                if not supply[i][-1][1]:
+                    supply[i].pop()
+            filled.append(got)
+        done = 0
+        while done < times:
+            heads = [s[0] for s in filled if s]
+            step = min([times - done, *(h[1] for h in heads)])
+            kept, offset = capacity - sum(h[0] for h in heads) <= loose, 0
+            for head in heads:
+                if kept:
                     place(head[0], step, sequences, 1, offset)
-                    offset += head[0]
-                    head[1] -= step
-                filled = [s[1:] if s and not s[0][1] else s for s in filled]
+                offset += head[0]
+                head[1] -= step
+            filled = [s[1:] if s and not s[0][1] else s for s in filled]
+            done += step
+            if kept:
                 insort(runs, (capacity - offset, sequences, step))
-                sequences, done = sequences + step, done + step
-    for length in sorted((x for x in counts if x <= capacity // 8 and counts[x]), reverse=True):
-        n = counts[length]
+                sequences += step
+    for length in sorted((x for x in counts if counts[x] and x < capacity), reverse=True):
+        n = counts[length] - used[length]
         while n:
             at = bisect_left(runs, (length, -1, -1))
             if at == len(runs):
@@ -195,7 +211,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, doc_id: str =
     return materialize(cut, "pieces")
 
 
-def pack(cut: DataFrame, capacity: int = 4096, groups: int = GROUPS) -> DataFrame:
+def pack(cut: DataFrame, capacity: int = 4096, groups: tuple[int, ...] = GROUPS) -> DataFrame:
     """The rows of `cut` (as `pieces` returns them) with sequence_id and offset; sequences have no gaps and no overlap."""
     tallies = cut.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -213,5 +229,5 @@ def pack(cut: DataFrame, capacity: int = 4096, groups: int = GROUPS) -> DataFram
             out = batch[["doc_id", "piece", "start", "length", "ids_crc32"]].astype({"doc_id": "Int64"})
             yield out.assign(sequence_id=hit[:, 3] + inside // hit[:, 4], offset=hit[:, 5] + inside % hit[:, 4] * length)
 
-    ranked = cut.join(first.select("length", "part", "first"), ["length", "part"])
+    ranked = cut.join(first.select("length", "part", "first").hint("merge"), ["length", "part"])      # grows with the partitions
     return ranked.mapInPandas(places, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

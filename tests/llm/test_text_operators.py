@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import random
 import re
@@ -132,7 +133,7 @@ def test_line_dedup_matches_plain_python(spark):
 @given(st.dictionaries(st.integers(1, 64), st.integers(1, 200), min_size=1, max_size=20))
 @settings(max_examples=60, deadline=None)
 def test_plan_places_every_piece_once(counts):
-    entries, sequences = packing.make_plan(counts, 64, 6)
+    entries, sequences = packing.make_plan(counts, 64, (6,))
     placed, ranks = defaultdict(list), Counter()
     for length, first, n, base, each, offset in sorted(entries):
         assert first == ranks[length]
@@ -146,8 +147,29 @@ def test_plan_places_every_piece_once(counts):
             assert offset == at
             at += length
         assert at <= 64
-    total = sum(k * v for k, v in counts.items())
-    assert sequences <= 2 * -(-total // 64)
+    assert -(-sum(k * v for k, v in counts.items()) // 64) <= sequences <= best_fit(counts, 64)
+
+
+def best_fit(counts, capacity):
+    """Sequences of plain best fit by decreasing length, one piece at a time."""
+    free, sequences = [], 0
+    for length in sorted((k for k, v in counts.items() for _ in range(v)), reverse=True):
+        at = bisect.bisect_left(free, length)
+        sequences += at == len(free)
+        bisect.insort(free, (free.pop(at) if at < len(free) else capacity) - length)
+    return sequences
+
+
+def test_plans_against_best_fit_and_the_lower_bound():
+    """Lengths of several kinds: never more sequences than best fit, and fewer where grouping helps."""
+    rng = np.random.default_rng(29)
+    kinds = {"small": rng.exponential(900, 3000), "even": rng.integers(1, 4097, 1500), "middle": rng.normal(1300, 300, 2000), "third": rng.normal(1500, 150, 2000)}
+    for kind, lengths in kinds.items():
+        counts = dict(Counter(lengths.clip(1, 4096).astype(int).tolist()))
+        plain, found = best_fit(counts, 4096), packing.make_plan(counts, 4096, (48,))[1]
+        assert -(-sum(k * v for k, v in counts.items()) // 4096) <= found <= plain, kind
+        assert found < plain or kind in ("small", "even")
+    assert packing.make_plan({}, 4096) == ([], 0)
 
 
 def test_packing_of_odd_rows(spark, odd):
