@@ -29,6 +29,7 @@ SAMPLE, BRANCHES, LEAF = 20_000, 8, 8
 TRIALS, RECALL = 200, 0.97
 FIRST = 8      # leaves at least that are searched before a bound on the score is known
 ROWS, QUERIES = 4096, 1024      # of a block
+WALKS = 256                     # queries of a task that walks the tree
 
 
 @dataclass
@@ -218,9 +219,15 @@ def _of_one_length(rows: DataFrame, every: int, k: int, recall: float) -> DataFr
 
     def order(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield batch.assign(leaves=[tree.visit(np.append(v, 0.0), visits) for v in batch["v"]])
+            leaves = [tree.visit(np.append(v, 0.0), visits) for v in batch["v"]]
+            yield batch.assign(leaves=leaves, scored=np.array([sizes[some].sum() for some in leaves], np.int64))
 
-    ordered = materialize(classes.select("id", "v").mapInPandas(order, "id long, v array<double>, leaves array<int>"), "visits")
+    sizes = np.zeros(tree.leaves, np.int64)
+    for r in index.groupBy("leaf").count().collect():      # fewer rows than the sample has
+        sizes[r["leaf"]] = r["count"]
+    # Walking the tree is the work here, so the tasks are cut by the number of queries, not by their bytes.
+    dealt = classes.select("id", "v").repartition(-(-classes.count() // WALKS), "id")
+    ordered = materialize(dealt.mapInPandas(order, "id long, v array<double>, leaves array<int>, scored long"), "visits")
 
     def searched(some: DataFrame, since: int, until: int | None) -> DataFrame:
         paged = materialize(some.mapInPandas(_paged(since, until, per_page), "id long, v array<double>, least double, page int, leaves array<int>"), "paged")
@@ -231,10 +238,8 @@ def _of_one_length(rows: DataFrame, every: int, k: int, recall: float) -> DataFr
     later = ordered.join(reached, "id", "left").withColumn("least", F.coalesce("least", F.lit(float("-inf"))))
     found = opening.union(searched(later, first, None)) if visits > first else opening
     top = materialize(best(found, k + 1).select("query", "id", "score"), "best")
-    leaf_rows = materialize(index.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")), "leaf_rows")
-    scored = ordered.select(F.col("id").alias("query"), F.explode("leaves").alias("leaf")).join(leaf_rows, "leaf").groupBy("query").agg(F.sum("n").alias("scored"))
     named = asked.join(classes.select("a", "b", F.col("id").alias("query")), ["a", "b"]).select(F.col("id").alias("query_id"), "query").distinct()
-    mine = named.join(top, "query").join(materialize(scored, "scored"), "query").where("id <> query_id").select("query_id", "id", "score", "scored")
+    mine = named.join(top, "query").join(ordered.select(F.col("id").alias("query"), "scored"), "query").where("id <> query_id").select("query_id", "id", "score", "scored")
     return best(mine, k, "query_id").select("query_id", "rank", F.col("id").alias("vec_id"), "score", "scored")
 
 
