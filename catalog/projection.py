@@ -145,11 +145,12 @@ def value_gate(spark, sf):
     return P.value_counts(_spoiled(spark, sf), t.manifest().source("asia"))
 
 
-@query("unit_type_gate", t.SQL_BASE + """SELECT CAST(0 AS BIGINT) AS undefined_unit_type_count, CAST(0 AS BIGINT) AS invalid_declared_unit_count,
- count(*) AS unit_count FROM unit WHERE source_id = 'africa'""")
+@query("unit_type_gate", t.SQL_BASE + """SELECT source_id, CAST(0 AS BIGINT) AS undefined_unit_type_count, CAST(0 AS BIGINT) AS invalid_declared_unit_count,
+ count(*) AS unit_count FROM unit GROUP BY source_id""")
 def unit_type_gate(spark, sf):
-    s, raw = t.manifest().source("africa"), t.raw(spark, sf)
-    return P.unit_type_counts(raw, s).crossJoin(P.unit_rows(raw, s).agg(F.count(F.lit(1)).alias("unit_count")))
+    raw = t.raw(spark, sf)
+    return _stack([P.unit_type_counts(raw, s).crossJoin(P.unit_rows(raw, s).agg(F.count(F.lit(1)).alias("unit_count"))).withColumn("source_id", F.lit(s.source_id))
+                   for s in t.manifest().sources if s.units])      # one row beside one row, for each source with units
 
 
 @query("projection_self_check", t.SQL_BASE + """SELECT count(*) AS crash_count, count(*) FILTER (WHERE fatal) AS fatal_crash_count,
@@ -190,27 +191,31 @@ def payload_shape(spark, sf):
         "event_id", F.array_join("missing_fields", ",").alias("missing_fields"), F.array_join("extra_fields", ",").alias("extra_fields"))
 
 
+def _native_year():
+    """The year as the crash files of the four native forms hold it."""
+    return F.coalesce(*[F.try_element_at("payload", F.lit(f)) for f in ("Year of crash", "Crash_Year", "YEAR")], F.substring(F.try_element_at("payload", F.lit("ACC_DATE")), 1, 4))
+
+
 def _two_loads(spark, sf):
     """What was stored before and what arrives now: years up to 1997 are known, those of 1995 changed meanwhile."""
-    raw = t.raw(spark, sf).filter(F.col("resource_id") == "africa_crash")
-    year = F.col("payload")["Year of crash"]
-    changed = F.map_concat(F.map_filter("payload", lambda k, v: k != "Degree"), F.create_map(F.lit("Degree"), F.lit("changed")))
+    raw = t.raw(spark, sf).filter(F.col("resource_id").endswith("_crash"))
+    year = _native_year()
+    changed = F.transform_values("payload", lambda k, v: F.when(k.isin("Degree", "SEVERITY", "Crash_Severity"), F.lit("changed")).otherwise(v))
     return raw.filter(year <= "1997"), raw.withColumn("payload", F.when(year == "1995", changed).otherwise(F.col("payload")))
 
 
-@query("raw_load_states", t.SQL_BASE + """SELECT CASE WHEN y = 1995 THEN 'conflict' WHEN y <= 1997 THEN 'reuse' ELSE 'insert' END AS state,
- count(*) AS row_count FROM crash WHERE source_id = 'africa' GROUP BY ALL""")
+@query("raw_load_states", t.SQL_BASE + """SELECT source_id, CASE WHEN y = 1995 THEN 'conflict' WHEN y <= 1997 THEN 'reuse' ELSE 'insert' END AS state,
+ count(*) AS row_count FROM crash GROUP BY ALL""")
 def raw_load_states(spark, sf):
     stored, incoming = _two_loads(spark, sf)
-    return G.load_states(stored, incoming).groupBy("state").agg(F.count(F.lit(1)).alias("row_count"))
+    return G.load_states(stored, incoming).groupBy("source_id", "state").agg(F.count(F.lit(1)).alias("row_count"))
 
 
-@query("raw_rows_to_insert", t.SQL_BASE + """SELECT CAST(o_orderkey AS VARCHAR) AS crash_id, CAST(y AS VARCHAR) AS year_text FROM crash
- WHERE source_id = 'africa' AND y > 1997""")
+@query("raw_rows_to_insert", t.SQL_BASE + """SELECT source_id, CAST(o_orderkey AS VARCHAR) AS crash_id, CAST(y AS VARCHAR) AS year_text FROM crash WHERE y > 1997""")
 def raw_rows_to_insert(spark, sf):
     stored, incoming = _two_loads(spark, sf)
-    p = F.col("payload")
-    return G.rows_to_insert(stored, incoming).select(p["Crash ID"].alias("crash_id"), p["Year of crash"].alias("year_text"))
+    key = F.coalesce(*[F.try_element_at("payload", F.lit(f)) for f in ("Crash ID", "ACC_NO", "Ref_Number", "CRASH_ID")])
+    return G.rows_to_insert(stored, incoming).select("source_id", key.alias("crash_id"), _native_year().alias("year_text"))
 
 
 @query("source_registration", """SELECT lower(replace(r_name, ' ', '_')) AS source_id, r_name AS source_name FROM region WHERE r_regionkey >= 2""")
@@ -246,12 +251,12 @@ def vault_round_trip(spark, sf):
         F.countDistinct("quality_notes.location.reason_code").alias("reason_count"))
 
 
-@query("link_conflicts", t.SQL_BASE + """SELECT source_id, unit_key, crash_key FROM (SELECT DISTINCT source_id, unit_key, crash_key FROM unit WHERE kind_raw = 'R')""")
+@query("link_conflicts", t.SQL_BASE + """SELECT DISTINCT source_id, unit_key, crash_key FROM unit""")
 def link_conflicts(spark, sf):
-    """Units whose stored parent disagrees with the link (links of one unit type were moved). Repeated keys are reduced first."""
+    """Units whose stored parent disagrees with the link (all links were moved). Repeated keys are reduced first."""
     unit = t.unit(spark, sf)
-    sat = V.unit_satellite(unit.filter("unit_type_raw = 'R'").dropDuplicates(UNIT_ID))
-    link = V.links(unit.filter("unit_type_raw = 'R'").dropDuplicates(UNIT_ID)).withColumn("crash_key", F.lit('["moved"]'))
+    sat = V.unit_satellite(unit.dropDuplicates(UNIT_ID))
+    link = V.links(unit.dropDuplicates(UNIT_ID)).withColumn("crash_key", F.lit('["moved"]'))
     return V.link_conflicts(sat, link).select("source_id", "unit_key", "crash_key")
 
 

@@ -76,14 +76,16 @@ def record_round_trip(spark, sf):
     return records.record_checks(back, file_frame(spark, t.frozen(spark, sf))).drop("last_position", *[c for c in FILE_IDENTITY if c != "resource_id"])
 
 
-@query("record_payloads", t.SQL_BASE + """SELECT source_id, count(*) AS row_count, CAST(0 AS BIGINT) AS changed_count FROM crash GROUP BY ALL""")
+@query("record_payloads", t.SQL_BASE + """SELECT resource_id, row_count, CAST(0 AS BIGINT) AS changed_count FROM (
+ SELECT source_id || '_crash' AS resource_id, count(*) AS row_count FROM crash GROUP BY source_id UNION ALL SELECT source_id || '_unit', count(*) FROM unit GROUP BY source_id
+ UNION ALL SELECT 'america_node_raw', count(*) FROM seen)""")
 def record_payloads(spark, sf):
-    """Payloads after a JSON round trip against the ones before, for all crash files."""
+    """Payloads after a JSON round trip against the ones before, for all files."""
     path = scratch_path(spark, "records")
-    raw = t.raw(spark, sf).filter(F.col("resource_id").endswith("_crash"))
+    raw = t.raw(spark, sf)
     records.write_records(raw, path)
     d = G.replay_differences(raw, records.read_records(spark, path))
-    return d.groupBy(F.regexp_replace("resource_id", "_crash$", "").alias("source_id")).agg(
+    return d.groupBy("resource_id").agg(
         F.sum("native_count").alias("row_count"), F.count_if(F.size("reason_codes") > 0).alias("changed_count"))
 
 
