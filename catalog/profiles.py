@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from crashmart.model import contract_frame
@@ -72,10 +74,9 @@ def profile_coordinates(spark, sf):
     return R.coordinate_presence(_native(spark, sf), "Crash_Latitude", "Crash_Longitude", "GDA2020", "definition_unconfirmed")
 
 
-@query("profile_boundary", ASIA + """SELECT count(*) AS crash_count, count(*) FILTER (WHERE mapped) AS published_map_count, count(*) FILTER (WHERE NOT mapped) AS published_unmapped_count, CAST(0 AS BIGINT) AS canonical_unit_count FROM n""")
+@query("profile_boundary", t.SQL_BASE + """SELECT count(*) AS crash_count, count(*) FILTER (WHERE mapped) AS published_map_count, count(*) FILTER (WHERE NOT mapped) AS published_unmapped_count, (SELECT count(*) FROM unit) AS canonical_unit_count FROM crash""")
 def profile_boundary(spark, sf):
-    own = F.col("source_id") == "asia"
-    return R.published_boundary(t.crash(spark, sf).filter(own), t.unit(spark, sf).filter(own))
+    return R.published_boundary(t.crash(spark, sf), t.unit(spark, sf))
 
 
 @query("file_key_stats", """SELECT 'lineitem' AS file, count(*) AS row_count, CAST(0 AS BIGINT) AS blank_key_rows, count(DISTINCT (l_orderkey, l_linenumber)) AS distinct_key_count,
@@ -113,12 +114,15 @@ def token_histogram(spark, sf):
     return R.token_histogram(t.table(spark, sf, "lineitem"), ["l_returnflag", "l_linestatus", "l_linenumber"])
 
 
-@query("component_mismatches", t.SQL_BASE + """SELECT CAST(o_orderkey AS VARCHAR) AS crash_id FROM base WHERE source_id = 'africa' AND fa + fn <> o_orderkey % 8""")
+@query("component_mismatches", t.SQL_BASE + """SELECT source_id, CAST(o_orderkey AS VARCHAR) AS crash_id FROM base WHERE source_id IN ('africa', 'america', 'middle_east') AND fa + fn <> o_orderkey % 8""")
 def component_mismatches(spark, sf):
-    spec = t.manifest().source("africa").file("crash")
-    p = lambda f: F.try_element_at("payload", F.lit(f))
-    df = select_file(t.raw(spark, sf), spec).select(p("Crash ID").alias("crash_id"), p("No. killed").alias("a"), p("No. serious").alias("b"), p("No. of units").alias("total"))
-    return R.component_mismatches(df, ["a", "b"], "total").select("crash_id")
+    """Killed and serious against the declared number of units, in every source that declares one."""
+    p = lambda *names: F.coalesce(*[F.try_element_at("payload", F.lit(f)) for f in names])
+    specs = [s.file("crash") for s in t.manifest().sources if s.units]
+    df = reduce(DataFrame.unionByName, [select_file(t.raw(spark, sf), spec) for spec in specs]).select(
+        "source_id", p("Crash ID", "ACC_NO").alias("crash_id"), p("No. killed", "KILLED").alias("a"), p("No. serious", "INJ_2").alias("b"),
+        p("No. of units", "NO_OF_VEHICLES").alias("total"))
+    return R.component_mismatches(df, ["a", "b"], "total").select("source_id", "crash_id")
 
 
 @query("coordinate_groups", t.SQL_BASE + """, g AS (SELECT k, count(*) AS n, count(*) FILTER (WHERE NOT ok) AS bad, count(DISTINCT CASE WHEN ok THEN (la, lo) END) AS p
