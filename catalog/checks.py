@@ -277,20 +277,19 @@ def unselected_rows(spark, sf):
 
 
 def _replayed(spark, sf):
-    """Stored records against native ones: some missing, some changed, some foreign."""
-    native = t.raw(spark, sf).filter(F.col("resource_id") == "europe_crash")
-    p = F.col("payload")
-    stored = native.filter(p["YEAR"] != "1995")
-    stored = stored.withColumn("payload", F.when(p["SEVERITY"] == "2-HIGH", F.map_concat(
-        F.map_filter("payload", lambda k, v: k != "MONTH"), F.create_map(F.lit("MONTH"), F.lit("13")))).otherwise(p))
-    extra = native.filter(p["YEAR"] == "2001").withColumn("row_locator", F.concat("row_locator", F.lit("0000000")))
+    """Stored records of all crash files against native ones: some missing, some changed, some foreign."""
+    from .projection import _native_year
+    native, year = t.raw(spark, sf).filter(F.col("resource_id").endswith("_crash")), _native_year()
+    stored = native.filter(year != "1995").withColumn("payload", F.transform_values(
+        "payload", lambda k, v: F.when(k.isin("Degree", "SEVERITY", "Crash_Severity") & (v == "2-HIGH"), F.lit("changed")).otherwise(v)))
+    extra = native.filter(year == "2001").withColumn("row_locator", F.concat("row_locator", F.lit("0000000")))
     return native, stored.unionByName(extra)
 
 
-@query("raw_replay", t.SQL_BASE + """SELECT 'europe_crash' AS resource_id, count(*) AS native_count, count(*) FILTER (WHERE y <> 1995) + count(*) FILTER (WHERE y = 2001) AS raw_count,
+@query("raw_replay", t.SQL_BASE + """SELECT source_id || '_crash' AS resource_id, count(*) AS native_count, count(*) FILTER (WHERE y <> 1995) + count(*) FILTER (WHERE y = 2001) AS raw_count,
  count(*) FILTER (WHERE y <> 1995) + count(*) FILTER (WHERE y = 2001) AS distinct_locator_count, count(*) FILTER (WHERE y <> 1995 AND o_orderpriority = '2-HIGH') AS payload_mismatch_count,
  count(*) FILTER (WHERE y = 1995) AS missing_count, count(*) FILTER (WHERE y = 2001) AS extra_count, CAST(0 AS BIGINT) AS duplicate_count,
- count(*) FILTER (WHERE y = 1995 OR o_orderpriority = '2-HIGH') + count(*) FILTER (WHERE y = 2001) AS affected_count FROM crash WHERE source_id = 'europe'""")
+ count(*) FILTER (WHERE y = 1995 OR o_orderpriority = '2-HIGH') + count(*) FILTER (WHERE y = 2001) AS affected_count FROM crash GROUP BY source_id""")
 def raw_replay(spark, sf):
     native, stored = _replayed(spark, sf)
     return G.replay_summary(G.replay_differences(native, stored)).drop("file_sha256", "parser_version")

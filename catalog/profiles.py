@@ -6,6 +6,8 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
+from crashmart.contracts import Source
+from crashmart.functions.dates import month_number
 from crashmart.model import contract_frame
 from crashmart.plans import profiles as R
 from crashmart.plans.links import union_findings
@@ -14,64 +16,101 @@ from crashmart.sources.records import select_file
 from . import tables as t
 from .registry import query
 
+# By the key field of the crash file: parts, total and category of the four native forms.
+PARTS = {"Crash ID": ("No. killed", "No. serious"), "ACC_NO": ("KILLED", "INJ_2"), "Ref_Number": ("Count_Fatality", "Count_Hospitalised", "Count_Minor"), "CRASH_ID": ("FATALITIES",)}
+TOTAL = {"Crash ID": "No. of units", "ACC_NO": "NO_OF_VEHICLES", "Ref_Number": "Count_Total", "CRASH_ID": "CASUALTIES"}
+WIDE = {"Crash ID": ("No. killed", "No. serious", "No. minor"), "ACC_NO": ("KILLED", "INJ_2", "INJ_3"),
+        "Ref_Number": ("Count_Fatality", "Count_Hospitalised", "Count_Minor"), "CRASH_ID": ("FATALITIES", "CASUALTIES")}
+CATEGORY = {"Crash ID": "Degree", "ACC_NO": "SEVERITY", "Ref_Number": "Crash_Severity", "CRASH_ID": "SEVERITY"}
 
-def _native(spark, sf) -> DataFrame:
-    """The asia crash file as text columns with year and month numbers, all years."""
-    spec = t.manifest().source("asia").file("crash")
-    df = select_file(t.raw(spark, sf), spec).select(
-        "row_locator", *[F.try_element_at("payload", F.lit(h)).alias(h) for h in spec.header])
-    from crashmart.functions.dates import month_number
-    return df.withColumn("year_no", F.col("Crash_Year").try_cast("int")).withColumn("month_no", month_number("Crash_Month"))
 
+def _file(spark, sf, source: Source, role: str) -> DataFrame:
+    """One native file as text columns."""
+    spec = source.file(role)
+    return select_file(t.raw(spark, sf), spec).select("row_locator", *[F.try_element_at("payload", F.lit(h)).alias(h) for h in spec.header])
 
-ASIA = t.SQL_BASE + ", n AS (SELECT *, y BETWEEN 1996 AND 2000 AS inside FROM crash WHERE source_id = 'asia')\n"
 
+def _native(spark, sf, source: Source) -> DataFrame:
+    """A crash file as text columns with year and month numbers, all years."""
+    df, form = _file(spark, sf, source, "crash"), source.file("crash").header[0]
+    year, month = {
+        "Crash ID": lambda: (F.col("`Year of crash`"), month_number("`Month of crash`")),
+        "ACC_NO": lambda: (F.substring("ACC_DATE", 1, 4), F.substring("ACC_DATE", 6, 2).try_cast("int")),
+        "Ref_Number": lambda: (F.col("Crash_Year"), month_number("Crash_Month")),
+        "CRASH_ID": lambda: (F.col("YEAR"), F.col("MONTH").try_cast("int"))}[form]()
+    return df.withColumn("year_no", year.try_cast("int")).withColumn("month_no", month)
 
-@query("profile_grain", ASIA + """SELECT count(*) AS full_source_rows, CAST(0 AS BIGINT) AS blank_keys, count(*) AS distinct_nonblank_keys, CAST(0 AS BIGINT) AS duplicate_or_blank_keys,
- count(*) FILTER (WHERE inside) AS analysis_rows FROM n""")
+
+def _each(profile) -> DataFrame:
+    """A profile of every source, stacked. profile(source, key field of its crash file)"""
+    parts = [profile(s, s.file("crash").header[0]).withColumn("source_id", F.lit(s.source_id)) for s in t.manifest().sources]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _inside():
+    return F.col("year_no").between(1996, 2000)
+
+
+ALL = t.SQL_BASE + """, n AS (SELECT *, y BETWEEN 1996 AND 2000 AS inside, CASE WHEN o_orderpriority <> '4-NOT SPECIFIED' THEN o_orderpriority ELSE '__MISSING__' END AS native_sev,
+  fa IS NULL OR (source_id = 'asia' AND o_orderpriority = '5-LOW') AS unknown, CASE source_id WHEN 'asia' THEN fa + fn + fr WHEN 'europe' THEN fa ELSE fa + fn END AS parts,
+  CASE WHEN source_id IN ('asia', 'europe') THEN fa + fn + fr ELSE o_orderkey % 8 END AS total FROM crash)
+"""
+
+
+@query("profile_grain", ALL + """SELECT source_id, count(*) AS full_source_rows, CAST(0 AS BIGINT) AS blank_keys, count(*) AS distinct_nonblank_keys, CAST(0 AS BIGINT) AS duplicate_or_blank_keys,
+ count(*) FILTER (WHERE inside) AS analysis_rows FROM n GROUP BY source_id""")
 def profile_grain(spark, sf):
-    return R.grain(_native(spark, sf), "Ref_Number", F.col("year_no").between(1996, 2000))
+    return _each(lambda s, key: R.grain(_native(spark, sf, s), key, _inside()))
 
 
-@query("profile_key_examples", ASIA + """SELECT CAST(o_orderkey AS VARCHAR) AS "Ref_Number", CAST(y AS VARCHAR) AS "Crash_Year" FROM n WHERE inside ORDER BY o_orderkey LIMIT 5""")
+@query("profile_key_examples", ALL + """SELECT source_id, CAST(o_orderkey AS VARCHAR) AS crash_id, year_no FROM (
+ SELECT source_id, o_orderkey, y AS year_no, row_number() OVER (PARTITION BY source_id ORDER BY o_orderkey) AS rn FROM n WHERE inside) WHERE rn <= 5""")
 def profile_key_examples(spark, sf):
-    """First five rows in native order (a top-k report)."""
+    """First five rows of every source in native order (a top-k report)."""
     from crashmart.functions.locators import locator_order
-    df = _native(spark, sf).filter(F.col("year_no").between(1996, 2000))
-    return R.key_examples(df, [locator_order("row_locator")], ["Ref_Number", "Crash_Year"])
+    return _each(lambda s, key: R.key_examples(_native(spark, sf, s).filter(_inside()).withColumn("crash_id", F.col(f"`{key}`")),
+                                               [locator_order("row_locator")], ["crash_id", "year_no"]))
 
 
-@query("profile_months", ASIA + "SELECT y AS year_no, m AS month_no, count(*) AS row_count FROM n WHERE inside GROUP BY ALL")
+@query("profile_months", ALL + "SELECT source_id, y AS year_no, m AS month_no, count(*) AS row_count FROM n WHERE inside GROUP BY ALL")
 def profile_months(spark, sf):
-    return R.month_coverage(_native(spark, sf).filter(F.col("year_no").between(1996, 2000)), "year_no", "month_no")
+    return _each(lambda s, key: R.month_coverage(_native(spark, sf, s).filter(_inside()), "year_no", "month_no"))
 
 
-@query("profile_categories", ASIA + """SELECT c.native_value, c.display_order, count(o_orderkey) AS row_count FROM (VALUES ('1-URGENT', 1), ('2-HIGH', 2), ('3-MEDIUM', 3), ('5-LOW', 4), ('6-NONE', 5), ('__MISSING__', 6)) c(native_value, display_order)
- LEFT JOIN n ON n.sev = c.native_value GROUP BY ALL""")
+@query("profile_categories", ALL + """SELECT s.source_id, c.native_value, c.display_order, count(o_orderkey) AS row_count FROM (SELECT DISTINCT source_id FROM n) s
+ CROSS JOIN (VALUES ('1-URGENT', 1), ('2-HIGH', 2), ('3-MEDIUM', 3), ('5-LOW', 4), ('6-NONE', 5), ('__MISSING__', 6)) c(native_value, display_order)
+ LEFT JOIN n ON n.source_id = s.source_id AND native_sev = c.native_value GROUP BY ALL""")
 def profile_categories(spark, sf):
     cats = contract_frame(spark, [(v, i) for i, v in enumerate(("1-URGENT", "2-HIGH", "3-MEDIUM", "5-LOW", "6-NONE", "__MISSING__"), 1)], "native_value string, display_order int")
-    return R.category_counts(_native(spark, sf), "Crash_Severity", cats, "__MISSING__")
+    return _each(lambda s, key: R.category_counts(_native(spark, sf, s), CATEGORY[key], cats, "__MISSING__"))
 
 
-@query("profile_count_quality", ASIA + """SELECT count(*) FILTER (WHERE fa IS NULL OR o_orderpriority = '5-LOW') AS rows_with_missing_count,
- count(*) FILTER (WHERE fa IS NULL OR o_orderpriority = '5-LOW') AS rows_with_invalid_count, CAST(0 AS BIGINT) AS component_mismatch_rows,
- CAST(sum(fa) FILTER (WHERE o_orderpriority <> '5-LOW') AS BIGINT) AS first_part_sum, CAST(sum(fa + fn + fr) FILTER (WHERE o_orderpriority <> '5-LOW') AS BIGINT) AS total_sum FROM n""")
+@query("profile_count_quality", ALL + """SELECT source_id, count(*) FILTER (WHERE unknown) AS rows_with_missing_count, count(*) FILTER (WHERE unknown) AS rows_with_invalid_count,
+ count(*) FILTER (WHERE NOT unknown AND parts <> total) AS component_mismatch_rows, CAST(sum(fa) FILTER (WHERE NOT unknown) AS BIGINT) AS first_part_sum,
+ CAST(sum(total) FILTER (WHERE NOT unknown) AS BIGINT) AS total_sum FROM n GROUP BY source_id""")
 def profile_count_quality(spark, sf):
-    """Unknown, invalid and inconsistent counts; an empty token is both missing and no number."""
-    return R.count_quality(_native(spark, sf), ["Count_Fatality", "Count_Hospitalised", "Count_Minor"], "Count_Total", "Count_Fatality")
+    """Unknown, invalid and inconsistent counts of every source; an empty token is both missing and no number."""
+    return _each(lambda s, key: R.count_quality(_native(spark, sf, s), list(PARTS[key]), TOTAL[key], PARTS[key][0]))
 
 
-@query("profile_wide_totals", ASIA + """, l AS (SELECT unnest(['Count_Fatality', 'Count_Hospitalised', 'Count_Minor']) AS category, unnest([fa, fn, CASE WHEN o_orderpriority <> '5-LOW' THEN fr END]) AS v FROM n)
- SELECT category, count(*) FILTER (WHERE v IS NULL) AS missing_rows, count(*) FILTER (WHERE v IS NULL) AS invalid_rows, CAST(sum(v) AS BIGINT) AS aggregate_sum,
+@query("profile_wide_totals", ALL + """, l AS (SELECT source_id, unnest(CASE source_id WHEN 'asia' THEN ['Count_Fatality', 'Count_Hospitalised', 'Count_Minor'] WHEN 'america' THEN ['KILLED', 'INJ_2', 'INJ_3']
+   WHEN 'europe' THEN ['FATALITIES', 'CASUALTIES'] ELSE ['No. killed', 'No. serious', 'No. minor'] END) AS category,
+  unnest(CASE source_id WHEN 'asia' THEN [fa, fn, CASE WHEN o_orderpriority <> '5-LOW' THEN fr END] WHEN 'europe' THEN [fa, fa + fn + fr] ELSE [fa, fn, fr] END) AS v FROM n)
+ SELECT source_id, category, count(*) FILTER (WHERE v IS NULL) AS missing_rows, count(*) FILTER (WHERE v IS NULL) AS invalid_rows, CAST(sum(v) AS BIGINT) AS aggregate_sum,
  count(*) FILTER (WHERE v > 0) AS rows_above_zero FROM l GROUP BY ALL""")
 def profile_wide_totals(spark, sf):
-    return R.wide_totals(_native(spark, sf), ["Count_Fatality", "Count_Hospitalised", "Count_Minor"])
+    return _each(lambda s, key: R.wide_totals(_native(spark, sf, s), list(WIDE[key])))
 
 
-@query("profile_coordinates", ASIA + """SELECT count(*) AS analysis_rows, count(*) FILTER (WHERE reason IS DISTINCT FROM 'missing') AS native_coordinate_rows,
- count(*) FILTER (WHERE reason = 'missing') AS missing_coordinate_rows, 'GDA2020' AS source_crs, false AS published_map_available, 'definition_unconfirmed' AS reason_code FROM n""")
+@query("profile_coordinates", ALL + """SELECT source_id, count(*) AS analysis_rows, count(*) FILTER (WHERE there) AS native_coordinate_rows, count(*) FILTER (WHERE NOT there) AS missing_coordinate_rows,
+ 'GDA2020' AS source_crs, false AS published_map_available, 'definition_unconfirmed' AS reason_code FROM (
+  SELECT source_id, NOT (o_orderstatus = 'F' AND o_orderpriority = '5-LOW') AS there FROM n WHERE source_id <> 'america' UNION ALL SELECT 'america', true FROM seen) GROUP BY source_id""")
 def profile_coordinates(spark, sf):
-    return R.coordinate_presence(_native(spark, sf), "Crash_Latitude", "Crash_Longitude", "GDA2020", "definition_unconfirmed")
+    """Native coordinates of every source, from the file that holds them: crash rows, or observations where a source has such a file."""
+    def one(s: Source, key: str) -> DataFrame:
+        df = _file(spark, sf, s, "node_raw" if s.location.style == "observations" else "crash")
+        return R.coordinate_presence(df, s.location.latitude_field, s.location.longitude_field, "GDA2020", "definition_unconfirmed")
+    return _each(one)
 
 
 @query("profile_boundary", t.SQL_BASE + """SELECT count(*) AS crash_count, count(*) FILTER (WHERE mapped) AS published_map_count, count(*) FILTER (WHERE NOT mapped) AS published_unmapped_count, (SELECT count(*) FROM unit) AS canonical_unit_count FROM crash""")

@@ -98,14 +98,23 @@ def multiset_difference(spark, sf):
     return C.multiset_difference(li.filter("l_linestatus = 'F'"), li.filter("l_linestatus = 'O'"), ["l_suppkey", "l_returnflag"])
 
 
-@query("snapshot_rows", SNAP + """SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, CAST(cents AS VARCHAR) AS cents, side, CAST(1 AS BIGINT) AS extra_count FROM (
+SNAPSHOT_ROWS = SNAP + """SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, CAST(cents AS VARCHAR) AS cents, side, CAST(1 AS BIGINT) AS extra_count FROM (
  SELECT *, 'left' AS side FROM (SELECT o_orderkey, cents FROM b EXCEPT ALL SELECT o_orderkey, cents FROM a)
- UNION ALL SELECT *, 'right' FROM (SELECT o_orderkey, cents FROM a EXCEPT ALL SELECT o_orderkey, cents FROM b))""")
+ UNION ALL SELECT *, 'right' FROM (SELECT o_orderkey, cents FROM a EXCEPT ALL SELECT o_orderkey, cents FROM b))"""
+
+
+@query("snapshot_rows", SNAPSHOT_ROWS)
 def snapshot_rows(spark, sf):
     before, after = _snapshots(spark, sf)
     return S.row_differences(before, after, ["o_orderkey", "cents"])
 
 
+@query("snapshot_digest_rows", SNAPSHOT_ROWS)
+def snapshot_digest_rows(spark, sf):
+    """The same rows, found by digests of buckets first."""
+    return S.changed_rows(*_snapshots(spark, sf), ["o_orderkey", "cents"])
+
+
 @query("snapshot_deletions", SNAP + """SELECT o_orderkey, CAST(1 AS BIGINT) AS unexplained_count FROM b WHERE o_orderkey NOT IN (SELECT o_orderkey FROM a) AND o_orderpriority <> '2-HIGH'""")
 def snapshot_deletions(spark, sf):
     """Keys that disappeared, except those a declared change names (here: all of one category)."""

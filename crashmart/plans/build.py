@@ -6,6 +6,7 @@ only the running stage. The log row is written last.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Mapping
 from dataclasses import dataclass
 from functools import reduce
@@ -14,12 +15,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..contracts import Manifest
 from ..errors import ContractError
-from ..model import BATCH_SCHEMA, CRASH_SCHEMA, FACT_SCHEMA, QA_SCHEMA, UNIT_SCHEMA
+from ..model import BATCH_SCHEMA, FACT_SCHEMA, QA_SCHEMA
 from ..session import materialize
+from ..sources.commits import claim, last_number
 from ..sources.sinks import _exists, append_results, read_slices, write_slices
 from . import links as K, quality as Q, registry as G, release as L, reports as R, warehouse as W
+from .load import Vault, load_batch
 from .native import read_native
-from .project import check_source, project_all
 
 
 @dataclass(frozen=True)
@@ -31,11 +33,15 @@ class Store:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def crash(self, spark: SparkSession) -> DataFrame:
-        return read_slices(spark, self.path("crash"), CRASH_SCHEMA)
+    @property
+    def vault(self) -> Vault:
+        return Vault(self.path("vault"))
 
-    def unit(self, spark: SparkSession) -> DataFrame:
-        return read_slices(spark, self.path("unit"), UNIT_SCHEMA)
+    def crash(self, spark: SparkSession, batch_id: str) -> DataFrame:
+        return self.vault.crash(spark, batch_id)
+
+    def unit(self, spark: SparkSession, batch_id: str) -> DataFrame:
+        return self.vault.unit(spark, batch_id)
 
     def fact(self, spark: SparkSession) -> DataFrame:
         return read_slices(spark, self.path("fact"), FACT_SCHEMA)
@@ -86,34 +92,29 @@ def build_batch(raw: DataFrame, manifest: Manifest, store: Store, batch_id: str,
     """Project, store, check and publish. Returns the batch id, or the current one when nothing changed.
 
     files: the path of every declared native file. They are read anew, so that a file that was changed since it was loaded, and a stored
-    record that the files don't hold or hold otherwise, refuse the batch.
+    record that the files don't hold or hold otherwise, refuse the batch. Only sources whose records or contract changed since their last load
+    are projected (plans/load.py). Of builds that started from the same release one publishes; the others fail with PUBLICATION_CONFLICT.
     """
     spark = raw.sparkSession
     manifest.validate()
+    seen = last_number(spark, L.commits(store.path("log")))
     log = store.log(spark)
     same = L.unchanged(log, manifest)
     if same:
         return same
-    if log.filter(F.col("batch_id") == batch_id).limit(1).count():
+    if log.filter(F.col("batch_id") == batch_id).limit(1).count() or not claim(spark, store.path("attempts"), hashlib.sha256(batch_id.encode()).hexdigest()):
         raise ContractError("BATCH_EXISTS", "every attempt needs its own batch id", batch_id=batch_id)
     try:
-        for s in manifest.sources:
-            check_source(raw, s)
-        projected = project_all(raw, manifest, batch_id)
-        write_slices(projected.crash, store.path("crash"))
-        write_slices(projected.unit, store.path("unit"))
-        if projected.candidates is not None:
-            write_slices(projected.candidates, store.path("candidates"))
+        load_batch(raw, manifest, store.vault, batch_id)
         mine = F.col("batch_id") == batch_id
-        crash = store.crash(spark).filter(mine)
-        unit = store.unit(spark).filter(mine)
+        crash, unit = store.crash(spark, batch_id), materialize(store.unit(spark, batch_id), "unit")
         write_slices(W.facts(crash), store.path("fact"))
         fact = store.fact(spark).filter(mine)
         observed, native = read_native(spark, manifest, files)
         append_results(quality_results(raw, manifest, crash, unit, fact, batch_id, native, observed, deletions), store.path("qa"))
         append_results(Q.summary_results(store.results(spark).filter(mine), batch_id), store.path("qa"))
         verify_layers(raw, manifest, crash, unit, fact, batch_id)
-        L.publish(store.results(spark), store.path("log"), batch_id, manifest, crash, unit)
+        L.publish(store.results(spark), store.path("log"), batch_id, manifest, crash, unit, seen)
     except Exception as exc:
         L.fail(spark, store.path("log"), batch_id, manifest, str(exc))
         raise
@@ -126,5 +127,5 @@ def open_batch(spark: SparkSession, store: Store, manifest: Manifest, batch_id:
     if row is None:
         return None
     mine = F.col("batch_id") == batch_id
-    return R.Batch(batch_id, row["dataset_kind"], row["status"], manifest, store.fact(spark).filter(mine), store.unit(spark).filter(mine),
+    return R.Batch(batch_id, row["dataset_kind"], row["status"], manifest, store.fact(spark).filter(mine), store.unit(spark, batch_id),
                    W.dim_source(spark, manifest, batch_id), W.dim_severity(spark, manifest, batch_id))

@@ -16,9 +16,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..contracts import Manifest
 from ..errors import ContractError
-from ..model import CRASH_ID, CRASH_SCHEMA, FILE_IDENTITY, RAW_SCHEMA, UNIT_ID, UNIT_SCHEMA, file_frame
+from ..model import CRASH_SCHEMA, FILE_IDENTITY, RAW_SCHEMA, UNIT_ID, UNIT_SCHEMA, file_frame
 from ..operators.digests import group_digests
-from ..operators.filters import attributes_of
 from ..operators.relations import no_rows
 from ..session import materialize
 from ..sources.records import PARTITIONS, write_records
@@ -54,13 +53,17 @@ class Vault:
         return self._read(spark, "ledger", LEDGER)
 
     def slices(self, spark: SparkSession, name: str, batch_id: str) -> DataFrame:
-        """Stored rows of a batch, wherever they were written, under its own batch id. One literal filter per slice prunes the folders."""
+        """Stored rows of a batch, wherever they were written, under its own batch id; none for a batch whose load is not complete.
+
+        One literal filter per slice prunes the folders.
+        """
         refs = self.ledger(spark).filter(F.col("batch_id") == batch_id).select("source_id", "release_scope", "data_batch_id").collect()   # one row per source
+        reader = spark.read if name == "candidates" else spark.read.schema(_stored_schema(name))
         if not refs:
-            raise ContractError("LOAD_UNKNOWN", "no load of this batch is complete", batch_id=batch_id)
+            return reader.parquet(self.path(name)).limit(0) if _exists(spark, self.path(name)) else spark.createDataFrame([], _stored_schema(name))
         wanted = reduce(lambda a, b: a | b, [
             (F.col("source_id") == r["source_id"]) & (F.col("release_scope") == r["release_scope"]) & (F.col("batch_id") == r["data_batch_id"]) for r in refs])
-        return spark.read.schema(_stored_schema(name)).parquet(self.path(name)).filter(wanted).withColumn("batch_id", F.lit(batch_id))
+        return reader.parquet(self.path(name)).filter(wanted).withColumn("batch_id", F.lit(batch_id))
 
     def crash(self, spark: SparkSession, batch_id: str) -> DataFrame:
         return V.canonical_crash(self.slices(spark, "sat_crash", batch_id))
@@ -69,8 +72,8 @@ class Vault:
         return V.canonical_unit(self.slices(spark, "sat_unit", batch_id), self.slices(spark, "link_unit", batch_id))
 
     def candidates(self, spark: SparkSession, batch_id: str) -> DataFrame | None:
-        path = self.path("candidates")
-        return self.slices(spark, "candidates", batch_id) if _exists(spark, path) else None
+        """Candidate records of observation groups; None while no load had a source with observations."""
+        return self.slices(spark, "candidates", batch_id) if _exists(spark, self.path("candidates")) else None
 
 
 def _stored_schema(name: str):
@@ -160,5 +163,7 @@ def load_batch(raw: DataFrame, manifest: Manifest, vault: Vault, batch_id: str)
         write_slices(V.crash_satellite(crash), vault.path("sat_crash"))
         write_slices(V.unit_satellite(unit), vault.path("sat_unit"))
         write_slices(V.links(unit), vault.path("link_unit"))
+        if projected.candidates is not None:
+            write_slices(projected.candidates, vault.path("candidates"))
     plan.coalesce(1).write.mode("append").parquet(vault.path("ledger"))
     return vault.ledger(spark).filter(F.col("batch_id") == batch_id)

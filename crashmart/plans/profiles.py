@@ -41,7 +41,7 @@ def category_counts(df: DataFrame, column: str, categories: DataFrame, missing:
 def count_quality(df: DataFrame, parts: list[str], total: str, first: str) -> DataFrame:
     """Q5: rows with missing or invalid tokens, rows whose parts do not add up, and sums over fully known rows."""
     fields = [*parts, total]
-    missing = reduce(lambda a, b: a | b, [trimmed_or_null(f).isNull() for f in fields])
+    missing = reduce(lambda a, b: a | b, [trimmed_or_null(f"`{f}`").isNull() for f in fields])
     invalid = reduce(lambda a, b: a | b, [F.coalesce(~F.trim(F.col(f"`{f}`")).rlike(DIGITS), F.lit(False)) for f in fields])
     # Digit tokens are whole numbers of any length: what 38 digits cannot hold fails the job rather than leave the sums.
     value = lambda f: F.when(known, F.trim(F.col(f"`{f}`"))).cast("decimal(38,0)")

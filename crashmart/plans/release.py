@@ -14,6 +14,7 @@ from ..contracts import Manifest
 from ..errors import ContractError
 from ..model import BATCH_SCHEMA, contract_frame
 from ..operators.relations import no_rows
+from ..sources.commits import claim_next, last_number
 from .quality import LIMITED_RULE, METRICS, RULES, SUMMARY, roll_up
 
 
@@ -148,14 +149,23 @@ def latest_status(log: DataFrame) -> DataFrame:
     return log.groupBy("batch_id").agg(picked).select("batch_id", "last.*")
 
 
-def publish(results: DataFrame, log_path: str, batch_id: str, manifest: Manifest, crash: DataFrame, unit: DataFrame) -> None:
+def commits(log_path: str) -> str:
+    """Folder of the numbered commits of a log."""
+    return f"{log_path.rstrip('/')}-commits"
+
+
+def publish(results: DataFrame, log_path: str, batch_id: str, manifest: Manifest, crash: DataFrame, unit: DataFrame, seen: int | None = None) -> None:
     """Check the gate, then append the succeeded row. The pointer is the latest such row, so history stays readable.
 
     crash and unit are the batch's layers: expectations are made again from them and the contract, so a stored row cannot vouch for itself.
 
+    seen is the last commit number before the batch began (None: read now). Whoever claims the next one publishes; a batch that began from an
+    older release than the current one is refused and has to be built again.
+
     All findings of a refused batch are written beside the log, in a folder of their own; the message names it and shows the first.
     """
     spark = results.sparkSession
+    seen = last_number(spark, commits(log_path)) if seen is None else seen
     mine = results.filter(F.col("batch_id") == batch_id)
     findings = gate_findings(mine, required_objects(spark, manifest)).unionByName(expectation_findings(mine, recomputed(spark, manifest, crash, unit)))
     first = findings.orderBy("rule_id", "object_key", "reason").limit(5).collect()   # examples for the message only
@@ -165,6 +175,8 @@ def publish(results: DataFrame, log_path: str, batch_id: str, manifest: Manifest
         raise ContractError("PUBLICATION_QA", "the batch may not be published", count=spark.read.parquet(kept).count(), table=kept, findings=[tuple(r) for r in first])
     if not no_rows(summary_differences(mine)):
         raise ContractError("PUBLICATION_QA_SUMMARY", "summaries differ from their objects")
+    if not claim_next(spark, commits(log_path), seen):
+        raise ContractError("PUBLICATION_CONFLICT", "another batch was published since this one began", batch_id=batch_id, seen=seen)
     batch_row(spark, batch_id, manifest, "succeeded").write.mode("append").parquet(log_path)
 
 

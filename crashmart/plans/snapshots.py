@@ -6,14 +6,23 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.numbers import normal_number
 from ..operators.compare import multiset_difference
+from ..operators.digests import BUCKETS, pruned_difference
 from ..operators.relations import key_sizes
 from ..session import materialize
 
 
+def _as_text(df: DataFrame, columns: list[str]) -> DataFrame:
+    return df.select(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(c) for c in columns])
+
+
 def row_differences(before: DataFrame, after: DataFrame, columns: list[str]) -> DataFrame:
     """Rows with a surplus on one side. NULL and empty text count as the same value."""
-    plain = lambda df: df.select(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(c) for c in columns])
-    return multiset_difference(plain(before), plain(after), columns)
+    return multiset_difference(_as_text(before, columns), _as_text(after, columns), columns)
+
+
+def changed_rows(before: DataFrame, after: DataFrame, columns: list[str], buckets: int = BUCKETS) -> DataFrame:
+    """The rows of row_differences for snapshots that are mostly equal: only buckets with unequal digests are compared row by row."""
+    return pruned_difference(_as_text(before, columns), _as_text(after, columns), columns, buckets=buckets)
 
 
 def still_absent(references: DataFrame, current: DataFrame, on: list[str]) -> DataFrame:

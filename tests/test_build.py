@@ -206,7 +206,7 @@ def test_stored_rows_cannot_vouch_for_themselves(spark, built):
     """Expectation and count edited alike pass the row's own comparison; the recomputed expectation refuses them."""
     m, store = built
     rows = store.results(spark).filter("batch_id = 'b1'")
-    crash, unit = store.crash(spark).filter("batch_id = 'b1'"), store.unit(spark).filter("batch_id = 'b1'")
+    crash, unit = store.crash(spark, "b1"), store.unit(spark, "b1")
     wanted = L.recomputed(spark, m, crash, unit)
     assert L.expectation_findings(rows, wanted).count() == 0
     for rule, key, metric in (("QA07_LOCATION", "source_year:delta:2021", "crash_count"), ("QA03_PROJECTED", "resource:ferry_unit", "projected_count"),
@@ -250,12 +250,12 @@ def test_observations_that_differ_in_the_fortieth_place(spark):
 
 def test_build_verifies_layers_and_keeps_candidates(spark, built):
     m, store = built
-    crash, unit, fact = (f.filter("batch_id = 'b1'") for f in (store.crash(spark), store.unit(spark), store.fact(spark)))
+    crash, unit, fact = store.crash(spark, "b1"), store.unit(spark, "b1"), store.fact(spark).filter("batch_id = 'b1'")
     B.verify_layers(small.raw(spark), m, crash, unit, fact, "b1")
     with pytest.raises(ContractError) as e:
         B.verify_layers(small.raw(spark), m, crash, unit, fact.withColumn("fatality_count", F.lit(9)), "b1")
     assert e.value.code == "LAYERS" and set(e.value.details) == {"fact_differences"}
-    stored = spark.read.parquet(store.path("candidates")).filter("batch_id = 'b1'")
+    stored = store.vault.candidates(spark, "b1")
     expected = P.project_source(small.raw(spark), m.source("ridge"), "b1", m.year_from, m.year_to).candidates
     assert stored.count() == expected.count() > 0 and {r["source_id"] for r in stored.collect()} == {"ridge"}
 
