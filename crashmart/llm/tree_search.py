@@ -5,13 +5,15 @@ queries. The tree is fitted on a bounded sample (`SAMPLE` rows, those of lowest
 visits leaves in the order of a priority queue over the distances to the centres of the branches it has not taken. How many leaves
 are visited is calibrated: the fewest that hold the wanted share of the exact neighbours of `TRIALS` queries. Scores are exact.
 
-The first few leaves of a query give it the score that a row has to reach; its other leaves send only rows that reach it, so what is
-shuffled grows with the results and not with the leaves visited.
+Leaves are searched in rounds, each of some `STEP` times the rows of those before. A round sends only rows that come before the last of the
+k + 1 best so far, some `STEP` times k of them: rows sent grow with the number of rounds, the logarithm of the rows searched, and not with
+the pages visited. Where leaves are large, the first of them are themselves searched in growing random shares.
 """
 
 from __future__ import annotations
 
 import heapq
+import itertools
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -27,8 +29,9 @@ from .vectors import best, lowest_of_each, meet, usable
 
 SAMPLE, BRANCHES, LEAF = 20_000, 8, 8
 TRIALS, RECALL = 200, 0.97
-FIRST = 8      # leaves at least that are searched before a bound on the score is known
-ROWS, QUERIES = 4096, 1024      # of a block
+FIRST, STEP = 8, 4              # leaves at least of the first round; growth from round to round
+ROWS, QUERIES = 4096, 4096      # of a block
+SLICE = 1024                    # queries scored at once against a leaf
 WALKS = 256                     # queries of a task that walks the tree
 
 
@@ -129,23 +132,26 @@ def _ranks(query: np.ndarray, *order: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def best_of_page(left: pd.DataFrame, right: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The k best rows of each query (id, v, leaves, least) among the rows (id, v, leaf) of its leaves that reach its `least`."""
+    """The k best rows of each query (id, v, leaves, least, least_id) among the rows (id, v, leaf) of its leaves.
+
+    Rows that come after (least, least_id), the score and id of the last row that the query can still use, are left out.
+    """
     leaf_order, wanted = np.argsort(right["leaf"].to_numpy(), kind="stable"), np.concatenate(left["leaves"].tolist())
     x, ids, leaf = np.stack(right["v"])[leaf_order], right["id"].to_numpy()[leaf_order], right["leaf"].to_numpy()[leaf_order]
     who, by_leaf = np.repeat(np.arange(len(left)), [len(v) for v in left["leaves"]]), np.argsort(wanted, kind="stable")
-    who, wanted, q, floor = who[by_leaf], wanted[by_leaf], np.stack(left["v"]), _near_ties(left["least"].to_numpy())
+    who, wanted, q, bound = who[by_leaf], wanted[by_leaf], np.stack(left["v"]), left["least"].to_numpy()
+    floor = _near_ties(bound)
     rows, cols, about = [], [], []
     for own in np.unique(leaf):
         (a, b), (c, d) = np.searchsorted(leaf, [own, own + 1]), np.searchsorted(wanted, [own, own + 1])
-        if c == d:
-            continue
-        scores, least = q[who[c:d]] @ x[a:b].T, floor[who[c:d]]
-        if b - a > k:
-            least = np.maximum(least, _near_ties(np.partition(scores, b - a - k, axis=1)[:, b - a - k]))
-        i, j = np.nonzero(scores >= least[:, None])
-        rows.append(who[c:d][i])
-        cols.append(a + j)
-        about.append(scores[i, j])
+        for some in (who[n: min(n + SLICE, d)] for n in range(c, d, SLICE)):
+            scores, least = q[some] @ x[a:b].T, floor[some]
+            if b - a > k:
+                least = np.maximum(least, _near_ties(np.partition(scores, b - a - k, axis=1)[:, b - a - k]))
+            i, j = np.nonzero(scores >= least[:, None])
+            rows.append(some[i])
+            cols.append(a + j)
+            about.append(scores[i, j])
     rows, cols, about = (np.concatenate([np.empty(0, t), *v]) for t, v in ((np.int64, rows), (np.int64, cols), (float, about)))
     at, place = _ranks(rows, -about)
     last = np.full(len(left), -np.inf)
@@ -153,6 +159,8 @@ def best_of_page(left: pd.DataFrame, right: pd.DataFrame, k: int) -> pd.DataFram
     fine = about >= _near_ties(last)[rows]
     rows, cols = rows[fine], cols[fine]
     score = products(q[rows], x[cols])
+    fine = (score > bound[rows]) | (score == bound[rows]) & (ids[cols] <= left["least_id"].to_numpy()[rows])
+    rows, cols, score = rows[fine], cols[fine], score[fine]
     at, place = _ranks(rows, ids[cols], -score)
     at = at[place < k]
     return pd.DataFrame({"query": left["id"].to_numpy()[rows[at]], "id": ids[cols[at]], "score": score[at]})
@@ -166,16 +174,29 @@ def _page(k: int):
     return run
 
 
-def _paged(first: int, last: int | None, per_page: int):
+def rounds(first: int, visits: int, rows: float, k: int) -> list[tuple[int, int, int, int, int]]:
+    """(since, until, low, high, shares): leaves since to until of a query's order, of their rows the shares low to high out of `shares`.
+
+    Every row of the first `visits` leaves is in one round. `rows` is the size of the leaf that holds a row, in the mean over rows. A random
+    share of the first leaves, 4 k to 4 k `STEP` rows or so, comes first; the rest of them and then the further leaves follow in steps.
+    """
+    depth = max(0, int(math.log(max(1.0, first * rows / (4 * k)), STEP)))
+    steps = max(1, round(math.log(visits / first, STEP)))
+    ends = sorted({round(first * (visits / first) ** (i / steps)) for i in range(steps + 1)})
+    shares = [0, *(STEP**i for i in range(depth + 1))]
+    return [(0, first, low, high, shares[-1]) for low, high in itertools.pairwise(shares)] + [(since, until, 0, 1, 1) for since, until in itertools.pairwise(ends)]
+
+
+def _paged(first: int, last: int, per_page: int):
     """Queries with some of their leaves, in one row for each page of leaves."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for id_, v, least, leaves in zip(batch["id"], batch["v"], batch["least"], batch["leaves"], strict=True):
+            for id_, v, leaves in zip(batch["id"], batch["v"], batch["leaves"], strict=True):
                 some = np.sort(leaves[first:last])
                 turns = np.flatnonzero(np.diff(some // per_page)) + 1
-                rows += [(id_, v, least, int(part[0]) // per_page, part) for part in np.split(some, turns) if len(part)]
-            yield pd.DataFrame(rows, columns=["id", "v", "least", "page", "leaves"]).astype({"id": "int64", "least": "float64", "page": "int32"})
+                rows += [(id_, v, int(part[0]) // per_page, part) for part in np.split(some, turns) if len(part)]
+            yield pd.DataFrame(rows, columns=["id", "v", "page", "leaves"]).astype({"id": "int64", "page": "int32"})
     return run
 
 
@@ -208,14 +229,14 @@ def _of_one_length(rows: DataFrame, every: int, k: int, recall: float) -> DataFr
                 leaf = tree.place(lift(np.stack(batch["v"])))
                 yield batch.assign(leaf=leaf, page=leaf // per_page)
 
-    # Leaves beside each other in the tree share a page of some ROWS rows, and a query is sent once to each page.
+    # Leaves beside each other in the tree share a page of some ROWS rows, and a query is sent once in a round to each page.
     per_page = max(1, tree.leaves * ROWS // total)
     index = materialize(kept.select("id", "v").mapInPandas(place, "id long, v array<double>, leaf int, page int"), "index")
     asked = keyed.where(F.col("id") % every == 0)
     # One search for each distinct vector asked for, named by its lowest id.
     classes = materialize(asked.groupBy("a", "b").agg(F.min("id").alias("id"), F.max("v").alias("v")), "asked")
     visits = _calibrated(index, classes, tree, k, recall)
-    first = min(visits, max(FIRST, -(-4 * (k + 1) * tree.leaves // total)))      # leaves that hold some four times the rows wanted
+    first = min(visits, max(FIRST, -(-4 * (k + 1) * tree.leaves // total)))      # leaves that hold four times the rows wanted, or more
 
     def order(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -229,17 +250,21 @@ def _of_one_length(rows: DataFrame, every: int, k: int, recall: float) -> DataFr
     dealt = classes.select("id", "v").repartition(-(-classes.count() // WALKS), "id")
     ordered = materialize(dealt.mapInPandas(order, "id long, v array<double>, leaves array<int>, scored long"), "visits")
 
-    def searched(some: DataFrame, since: int, until: int | None) -> DataFrame:
-        paged = materialize(some.mapInPandas(_paged(since, until, per_page), "id long, v array<double>, least double, page int, leaves array<int>"), "paged")
-        return materialize(meet(paged, index, "page", _page(k + 1), "query long, id long, score double", QUERIES, ROWS).distinct(), "found")
-
-    opening = searched(ordered.withColumn("least", F.lit(float("-inf"))), 0, first)
-    reached = materialize(best(opening, k + 1).where(F.col("rank") == k + 1).select(F.col("query").alias("id"), F.col("score").alias("least")), "reached")
-    later = ordered.join(reached, "id", "left").withColumn("least", F.coalesce("least", F.lit(float("-inf"))))
-    found = opening.union(searched(later, first, None)) if visits > first else opening
-    top = materialize(best(found, k + 1).select("query", "id", "score"), "best")
+    top = None
+    for since, until, low, high, shares in rounds(first, visits, (sizes**2.0).sum() / sizes.sum(), k + 1):
+        paged = ordered.mapInPandas(_paged(since, until, per_page), "id long, v array<double>, page int, leaves array<int>")
+        if top is None:
+            paged = paged.withColumn("least", F.lit(float("-inf"))).withColumn("least_id", F.lit(2**63 - 1))
+        else:
+            last = top.where(F.col("rank") == k + 1).select(F.col("query").alias("id"), F.col("score").alias("last"), F.col("id").alias("last_id"))
+            paged = (paged.join(last, "id", "left").withColumn("least", F.coalesce("last", F.lit(float("-inf"))))
+                     .withColumn("least_id", F.coalesce("last_id", F.lit(2**63 - 1))).drop("last", "last_id"))
+        share = F.pmod(F.xxhash64(F.lit("share"), "id"), F.lit(shares))
+        found = meet(materialize(paged, "paged"), index.where((share >= low) & (share < high)), "page", _page(k + 1), "query long, id long, score double", QUERIES, ROWS)
+        found = found if top is None else found.union(top.select("query", "id", "score"))
+        top = materialize(best(found.distinct(), k + 1), "best")
     named = asked.join(classes.select("a", "b", F.col("id").alias("query")), ["a", "b"]).select(F.col("id").alias("query_id"), "query").distinct()
-    mine = named.join(top, "query").join(ordered.select(F.col("id").alias("query"), "scored"), "query").where("id <> query_id").select("query_id", "id", "score", "scored")
+    mine = named.join(top.drop("rank"), "query").join(ordered.select(F.col("id").alias("query"), "scored"), "query").where("id <> query_id").select("query_id", "id", "score", "scored")
     return best(mine, k, "query_id").select("query_id", "rank", F.col("id").alias("vec_id"), "score", "scored")
 
 

@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 from zlib import crc32
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -317,3 +318,49 @@ def test_tree_search_by_length(spark):
     x = [[1.0, 0.0], [0.5, 0.5], [0.0, 1.0], [2.0], [1.0], [-1.0], [3.0, 0.0, 0.0]]
     got = tree_search.nearest_by_tree(_vectors(spark, x, [0, 1, 2, 20, 21, 22, 23]), k=2).collect()
     assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == [(0, 1, 1, 0.5), (0, 2, 2, 0.0), (20, 1, 21, 2.0), (20, 2, 22, -2.0)]
+
+
+@pytest.mark.parametrize(("sample", "width"), [(1500, 200), (100, 16)])
+def test_tree_search_sends_few_rows(spark, monkeypatch, sample, width):
+    """A round sends a few times k rows for each query, however many pages or large leaves there are; none of the nearest is lost."""
+    sent, meet = [], tree_search.meet
+
+    def counted(*args):
+        found = meet(*args)
+        sent.append(found.count())
+        return found
+
+    for name, value in (("meet", counted), ("ROWS", 16), ("SAMPLE", sample)):
+        monkeypatch.setattr(tree_search, name, value)
+    x, k = np.random.default_rng(23).normal(size=(6000, width)), 5      # without clusters, so that many leaves are visited
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    got = defaultdict(dict)
+    for r in tree_search.nearest_by_tree(_vectors(spark, x, range(6000)), every=60, k=k, recall=1.0).collect():
+        got[r["query_id"]][r["rank"]] = r["vec_id"]
+    wide = x.astype(float)
+    for i in range(0, 6000, 60):
+        scores = wide @ wide[i]
+        scores[i] = -np.inf
+        assert [got[i][n] for n in range(1, k)] == np.argsort(-scores)[:k - 1].tolist()      # the calibration counts the query itself among its k
+    assert sent[0] <= 4 * tree_search.STEP * (k + 1) * 100, sent
+    assert max(sent[1:]) <= tree_search.STEP * (k + 1) * 100, sent
+
+
+def test_page_sends_no_ties_that_come_later():
+    """Rows level with the bound and of a higher id are of no use to the query."""
+    left = pd.DataFrame({"id": [100, 200], "v": [np.array([1.0, 0.0])] * 2, "leaves": [np.array([0, 1])] * 2, "least": [1.0, -np.inf], "least_id": [5, 2**63 - 1]})
+    right = pd.DataFrame({"id": [3, 4, 7, 8, 9], "v": [np.array([v, 1.0]) for v in (1.0, 0.5, 1.0, 2.0, 1.0)], "leaf": [0, 0, 0, 1, 1]})
+    got = tree_search.best_of_page(left, right, 4)
+    assert got[got["query"] == 100]["id"].tolist() == [8, 3]
+    assert got[got["query"] == 200]["id"].tolist() == [8, 3, 7, 9]
+
+
+@pytest.mark.parametrize(("first", "visits", "rows"), [(1, 1, 1.0), (8, 8, 5000.0), (13, 3534, 6.6), (8, 2500, 20_000.0), (3, 4, 0.5)])
+def test_rounds_hold_every_leaf_and_share_once(first, visits, rows):
+    seen = Counter()
+    for since, until, low, high, shares in tree_search.rounds(first, visits, rows, 21):
+        seen.update((leaf, share / shares) for leaf in range(since, until) for share in range(low, high))
+    assert set(seen.values()) == {1}
+    wide = {leaf: sum(1 for f, _ in seen if f == leaf) for leaf in range(visits)}
+    assert set(wide) == {f for f, _ in seen}
+    assert all(wide[leaf] == (wide[0] if leaf < first else 1) for leaf in wide)
