@@ -62,7 +62,7 @@ def delimited_multi_line(spark, sf):
 def file_inventory(spark, sf):
     """Size and SHA-256 of files: every document is written as a text file of its own first."""
     path = scratch_path(spark, "files")
-    t.table(spark, sf, "documents").select("doc_id", "text").filter("doc_id is not null and text is not null").write.partitionBy("doc_id").text(path)
+    sinks.write_text_files(t.table(spark, sf, "documents").filter("doc_id is not null and text is not null"), "doc_id", "text", path)
     found = inventory.inventory(spark, f"{path}/*/*.txt")
     return found.select(F.regexp_extract("path", r"doc_id=([0-9]+)", 1).cast("bigint").alias("doc_id"), "byte_size", "file_sha256")
 

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from urllib.parse import quote
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..errors import ContractError
 from ..operators.relations import no_rows
 from ..session import materialize
+from .inventory import as_uri, qualified
 
 SLICE = ["batch_id", "source_id", "release_scope"]
 
@@ -40,6 +45,44 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
 
 
+def _file_writer(path: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Writes sorted rows (name, line) of a task into a folder that gets its final name when it is whole, so a retried task leaves it once."""
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+        from pyspark import TaskContext
+        task = TaskContext.get()
+        store, root = fs.FileSystem.from_uri(as_uri(path))
+        made, kept = f"{root}/_temporary/{task.partitionId()}-{task.taskAttemptId()}", f"{root}/part-{task.partitionId():05d}"
+        store.create_dir(made, recursive=True)
+        count, open_name, stream = 0, None, None
+        for batch in batches:
+            for name, line in zip(batch["name"], batch["line"], strict=True):
+                if name != open_name:
+                    if stream:
+                        stream.close()
+                    stream, open_name, count = store.open_output_stream(f"{made}/{quote(name, safe='= ')}.txt"), name, count + 1
+                stream.write(line + b"\n")
+        if stream:
+            stream.close()
+        if store.get_file_info(kept).type == fs.FileType.NotFound:
+            store.move(made, kept)
+        else:
+            store.delete_dir(made)
+        yield pd.DataFrame({"files": [count]})
+    return write
+
+
+def write_text_files(df: DataFrame, key: str, text: str, path: str) -> int:
+    """One text file for each key, ``part-N/key=value.txt``, with a line for each of its rows in a task; the number of files.
+
+    Like a write partitioned by the key, but with one folder for each task. A folder for each key costs several calls of the file
+    system, and a rename on the driver, for each of them. Neither column may be NULL.
+    """
+    named = df.select(F.concat(F.lit(f"{key}="), F.col(key).cast("string")).alias("name"), F.col(text).cast("binary").alias("line"), key).sortWithinPartitions(key)
+    written = named.select("name", "line").mapInPandas(_file_writer(qualified(df.sparkSession, path)), "files bigint")
+    return written.agg(F.coalesce(F.sum("files"), F.lit(0))).first()[0]
+
+
 def write_differences(details: DataFrame, path: str, expected_count: int) -> None:
     """One JSON line per affected identity; the stored count must equal the reported one."""
     details.write.option("ignoreNullFields", "false").json(path)

@@ -126,6 +126,33 @@ def test_inventory_hashes(spark, tmp_path):
     assert sorted(r["hash_match"] for r in inventory.compare_with_pinned(found, pinned).collect()) == [False, True]
 
 
+def test_inventory_lists_in_tasks(spark, tmp_path):
+    for name in ("a b/one.csv", "a b/.hidden.csv", "a b/_part.csv", "c/two.csv", "c/three.txt", "c/deep.csv/four.x", "c/deep.csv/_log/five.x", "d/k=1/six.x", "d/k=2/_no.x"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(name)
+    names = lambda path: sorted(r["path"].removeprefix(f"file:{tmp_path}/") for r in inventory.inventory(spark, path).collect())
+    spark_names = lambda path: sorted(r["path"].removeprefix(f"file:{tmp_path}/") for r in spark.read.format("binaryFile").load(path).select("path").collect())
+    for path in ("*/*.csv", "*/*", "c", "c/two.csv", "c/t*", "[ab]*/on?.csv", "{c/two,c/three}.*", "d"):
+        assert names(f"{tmp_path}/{path}") == spark_names(f"{tmp_path}/{path}"), path
+    assert names(f"{tmp_path}/*/*.none") == []
+    with pytest.raises(ContractError, match="NO_FILES"):
+        inventory.inventory(spark, f"{tmp_path}/none/*.csv")
+
+
+def test_documents_are_files_in_few_folders(spark, tmp_path, monkeypatch):
+    from catalog import storage
+    texts = {i: f"text {i}\nline two é" for i in range(300)}
+    rows = [(i, text) for i, text in texts.items()] + [(None, "x"), (999, None), (7, "again")]
+    spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(storage, "scratch_path", lambda spark, name: str(tmp_path / "scratch" / name))
+    got = {r["doc_id"]: (r["byte_size"], r["file_sha256"]) for r in storage.file_inventory(spark, str(tmp_path)).collect()}
+    content = {i: f"{text}\n".encode() for i, text in texts.items()}
+    content[7] += b"again\n"
+    assert got == {i: (len(x), hashlib.sha256(x).hexdigest()) for i, x in content.items()}
+    # A folder for each document cost the file system several calls each, and the driver a rename.
+    assert len(list((tmp_path / "scratch").glob("files/*"))) < 20 and len(list((tmp_path / "scratch").rglob("doc_id=*"))) == 300
+
+
 def test_evidence_count_must_match(spark, tmp_path):
     df = spark.createDataFrame([(1,), (2,)], "x int")
     sinks.write_differences(df, str(tmp_path / "ok"), 2)
