@@ -8,12 +8,14 @@ from ..contracts import FileSpec
 from ..functions.locators import locator_position
 from ..model import FILE_IDENTITY, RAW_SCHEMA
 
+JSON_ROWS = 500_000
 PARTITIONS = ["source_id", "resource_id", "file_sha256"]
 
 
 def write_records(records: DataFrame, path: str, fmt: str = "json", mode: str = "append") -> None:
-    """fmt json keeps the interchange form, parquet is the working form."""
-    options = {"ignoreNullFields": "false"} if fmt == "json" else {}
+    """fmt json keeps the interchange form, parquet is the working form. JSON repeats every field name and hash, so it is compressed; a
+    compressed file is read by one task, which bounds its rows."""
+    options = {"ignoreNullFields": "false", "compression": "gzip", "maxRecordsPerFile": JSON_ROWS} if fmt == "json" else {}
     records.write.mode(mode).partitionBy(*PARTITIONS).format(fmt).options(**options).save(path)
 
 

@@ -103,6 +103,16 @@ def test_records_round_trip(spark, tmp_path):
     assert (row["row_count"], row["repeated_position_count"], row["count_match"]) == (3, 1, False)
 
 
+def test_records_are_compressed_and_dealt_to_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(records, "JSON_ROWS", 40)
+    path = write(tmp_path, "id,name,No. x\n" + "".join(f"{i},name of {i},{i * 7}\n" for i in range(100)))
+    rec = D.to_records(D.scan(spark, path, SPEC), SPEC).coalesce(1)
+    out = tmp_path / "records"
+    records.write_records(rec, str(out))
+    assert len(list(out.rglob("*.json.gz"))) == 3 and not list(out.rglob("*.json"))
+    assert sorted(r["row_locator"] for r in records.read_records(spark, str(out)).collect()) == sorted(f"csv:{i + 1}" for i in range(100))
+
+
 def test_typed_cells(spark):
     df = spark.createDataFrame([(date(2020, 1, 2), datetime(2020, 1, 2, 3, 4, 5), 1e7, 0.0001, Decimal("1.50"), None),
                                 (date(2020, 1, 2), datetime(2020, 1, 2, 3, 4, 5, 60), 5.0, -2.5e-7, Decimal("0.00"), "x")],
