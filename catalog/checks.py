@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from crashmart.model import CRASH_ID, contract_frame
 from crashmart.plans.build import quality_results
 from crashmart.plans.native import read_file
-from crashmart.session import scratch_path
+from crashmart.session import materialize, scratch_path
 from crashmart.plans import expectation as E, quality as Q, registry as G, release as L, vault as V, warehouse as W
 from crashmart.sources import sinks
 
@@ -54,6 +54,7 @@ def projection_field_differences(spark, sf):
     raw = t.raw(spark, sf)
     wanted = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [
         E.expected_crash(raw, s, t.YEAR_FROM, t.YEAR_TO).withColumn("source_id", F.lit(s.source_id)) for s in t.manifest().sources])
+    wanted = materialize(wanted, "expected")
     d = Q.projection_differences(wanted, bad, E.CRASH_FIELDS)
     own = rows.select("raw_record_id", F.col("source_id").alias("own_source"), "crash_key")
     return d.join(own, "raw_record_id").select(F.col("own_source").alias("source_id"), "crash_key", F.array_join("mismatched_fields", ",").alias("fields"))
@@ -103,7 +104,7 @@ def undefined_categories(spark, sf):
 
 def _reconciled(spark, sf, fact: DataFrame) -> DataFrame:
     m, crash = t.manifest(), t.crash(spark, sf)
-    lineage = Q.lineage_errors(crash, Q.raw_keys(t.raw(spark, sf), m))
+    lineage = materialize(Q.lineage_errors(crash, Q.raw_keys(t.raw(spark, sf), m)), "lineage")
     return Q.reconcile_rows(crash, fact, W.dim_source(spark, m, t.BATCH), W.dim_severity(spark, m, t.BATCH), lineage)
 
 
@@ -172,7 +173,7 @@ def location_derivation(spark, sf):
     hide = {name: F.when(~withheld, F.col(name)) for name in ("longitude", "location_crs", "location_record_id")}
     moved = F.when((z == 0) & mapped, F.col("latitude") + F.lit("0.0000001").cast("decimal(10,7)")).when(~withheld, F.col("latitude"))
     crash = crash.withColumns({**hide, "latitude": moved.cast("decimal(10,7)"), "map_eligible": mapped & ~withheld, "quality_notes": notes})
-    found = Q.detail_differences(Q.expected_rows(t.raw(spark, sf), t.frozen(spark, sf))[0], crash)
+    found = Q.detail_differences(materialize(Q.expected_rows(t.raw(spark, sf), t.frozen(spark, sf))[0], "expected"), crash)
     return found.select("source_id", F.explode("mismatched_fields").alias("field")).groupBy("source_id", "field").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -21,7 +21,7 @@ from crashmart.model import RAW_SCHEMA
 from crashmart.plans.project import project_crash, project_unit
 from crashmart.plans.reports import Batch
 from crashmart.plans.warehouse import dim_severity, dim_source, facts
-from crashmart.session import scratch_path
+from crashmart.session import SCRATCH, scratch_path
 
 BATCH = "batch-1"
 YEAR_FROM, YEAR_TO = 1995, 2001
@@ -40,7 +40,7 @@ def staged(spark: SparkSession, sf_dir: str, name: str, build, partition_by: lis
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _stages:
         df, path = build(), scratch_path(spark, name)
-        df.write.partitionBy(*partition_by).parquet(path)
+        df.write.options(**SCRATCH).partitionBy(*partition_by).parquet(path)
         _stages[key] = (path, df.schema)
     path, schema = _stages[key]
     return spark.read.schema(schema).parquet(path).select(*schema.fieldNames())

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import materialize
-from .compare import multiset_difference
+from .compare import multiset_difference, pair_rows
 
 BUCKETS = 4096
 _SEEDS = (0, 1, 2)     # bucket, first sum, second sum: three independent hashes
@@ -64,3 +64,33 @@ def pruned_difference(left: DataFrame, right: DataFrame, columns: list[str], del
         return kept.join(found, "__bucket", "left_semi").drop("__bucket")
 
     return multiset_difference(part(left), part(right), columns, delta)
+
+
+def _placed(df: DataFrame, group: list[str], keys: list[str], buckets: int) -> DataFrame:
+    """Adds __group and __bucket, never NULL: rows of one key always share both."""
+    return df.withColumns({"__group": row_hash(group, _SEEDS[0]), "__bucket": F.pmod(row_hash(keys, _SEEDS[0]), F.lit(buckets)).cast("int")})
+
+
+def pruned_pairs(left: DataFrame, right: DataFrame, group: list[str], keys: list[str], fields: list[str], buckets: int = BUCKETS) -> DataFrame:
+    """The rows of compare.pair_rows without those of buckets in which both sides hold equal rows.
+
+    Keys left out have equal counts and equal rows on both sides, so whoever looks for differences misses none. A bucket holds keys of one
+    `group` (few values, such as a source), so that a group full of differences opens no bucket of another. Both sides are read twice.
+    """
+    def side(df: DataFrame, sign: int) -> DataFrame:
+        return df.select(*[F.col(c) for c in dict.fromkeys([*group, *keys, *fields])], F.lit(sign).alias("__n"))
+
+    # Hashed after the union, which gives both sides the same types.
+    stacked = _placed(side(left, 1).unionByName(side(right, -1)), group, keys, buckets)
+    hashed = stacked.select("__group", "__bucket", "__n", *[row_hash([*keys, *fields], seed).alias(f"__h{seed}") for seed in _SEEDS[1:]])
+    # Halves of the hashes, so that plain bigint sums cannot overflow below 2^31 rows.
+    sums = [F.sum(F.col("__n") * half) for seed in _SEEDS[1:] for half in (F.shiftright(f"__h{seed}", 32), F.col(f"__h{seed}").bitwiseAND(F.lit(0xFFFFFFFF)))]
+    net = hashed.groupBy("__group", "__bucket").agg(F.sum("__n").alias("__n"), *[s.alias(f"__s{i}") for i, s in enumerate(sums)])
+    unequal = " or ".join(f"{c} <> 0" for c in ("__n", *[f"__s{i}" for i in range(len(sums))]))
+    # At most groups x buckets rows.
+    found = F.broadcast(materialize(net.filter(unequal).select("__group", "__bucket"), "open-buckets"))
+
+    def part(df: DataFrame) -> DataFrame:
+        return _placed(df, group, keys, buckets).join(found, ["__group", "__bucket"], "left_semi")
+
+    return pair_rows(part(left), part(right), keys, fields)

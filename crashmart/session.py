@@ -18,6 +18,8 @@ RUNTIME_CONF = {
     # One key may hold a third of the rows: split it even where that costs one more shuffle.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # Shuffle files go when their query ends; a plan that runs again makes them again.
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
 }
 
 
@@ -44,8 +46,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+# Ids are long hex texts: zstd halves them, which the default codec cannot.
+SCRATCH = {"compression": "zstd"}
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write once and read back: cuts lineage on storage that outlives any executor."""
+    """Write once and read back: cuts lineage on storage that outlives any executor, and lets the shuffles behind it go."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**SCRATCH).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -114,3 +114,39 @@ def test_of_racing_writers_one_wins(spark, tmp_path):
     assert sorted(won) == [False] * 7 + [True] and commits.last_number(spark, folder) == 1
     assert commits.claim_next(spark, folder, 1) and not commits.claim_next(spark, folder, 0)
     assert commits.last_number(spark, folder) == 2 and commits.last_number(spark, f"file://{tmp_path}/none") == 0
+
+
+def test_pruned_pairs_keep_every_difference(spark):
+    """Rows repeated, missing, changed, NULL in keys and fields; a side whose count has another type."""
+    left = [("a", str(i), i % 7, f"x{i % 5}") for i in range(400)] + [(None, "1", 1, "n"), ("b", None, None, "n"), ("c", "9", 9, None), ("c", "9", 9, None), ("d", "1", 1, "1")]
+    right = [r for r in left if r[1] != "33"] + [("c", "9", 9, None), ("a", "7", 0, "x2"), ("e", "1", 1, "1")]
+    right = [("a", "50", 50, None) if r[:2] == ("a", "50") else r for r in right]
+    right = [(None, "1", 2, "n") if r[0] is None else r for r in right]
+    one = spark.createDataFrame(left, "g string, k string, n int, t string")
+    two = spark.createDataFrame(right, "g string, k string, n bigint, t string")
+    fields = ["n", "t"]
+    odd = (F.col("left_count") != F.col("right_count")) | C.field_mismatch(fields)
+    rows = lambda df: sorted(map(str, df.collect()))
+    want = rows(C.pair_rows(one, two, ["g", "k"], fields).filter(odd))
+    assert len(want) == 6
+    for buckets in (1, 8, 4096):
+        pruned = D.pruned_pairs(one, two, ["g"], ["g", "k"], fields, buckets)
+        assert rows(pruned.filter(odd)) == want
+    assert pruned.count() < 30 and D.pruned_pairs(one, one, ["g"], ["g", "k"], fields).count() == 0
+
+
+def test_shuffles_go_when_a_table_is_written(spark, tmp_path):
+    """The shuffles of one written table were still on disk when the next one was made."""
+    import time
+    from pathlib import Path
+    from crashmart.session import materialize
+    store = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    folders = [Path(str(d)) for d in store.localDirs()]
+    files = lambda: {f for d in folders for f in d.rglob("shuffle_*.data")}
+    before = files()
+    df = materialize(spark.range(1000).groupBy((F.col("id") % 100).alias("k")).count().repartition(3, "count"), "counts")
+    for _ in range(50):      # they are removed in the background
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before and df.count() == 100
