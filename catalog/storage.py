@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from crashmart.contracts import FileSpec
 from crashmart.model import FACT_SCHEMA, FILE_IDENTITY, QA_SCHEMA, file_frame
 from crashmart.plans import load as N, registry as G
-from crashmart.session import scratch_path
+from crashmart.session import materialize, scratch_path
 from crashmart.sources import delimited, inventory, records, sinks
 from crashmart.sources.native_text import native_text
 
@@ -120,7 +120,8 @@ def difference_evidence(spark, sf):
     from crashmart.plans import quality as Q
     from .checks import _reconciled
     from .projection import damaged_facts
-    details = Q.reconcile_details(_reconciled(spark, sf, damaged_facts(spark, sf)))
+    # Counted and stored: written once.
+    details = materialize(Q.reconcile_details(_reconciled(spark, sf, damaged_facts(spark, sf))), "details")
     path = scratch_path(spark, "evidence")
     sinks.write_differences(details, path, details.count())
     return spark.read.schema(details.schema).json(path).groupBy("source_id").agg(F.count(F.lit(1)).alias("evidence_count"))
