@@ -60,21 +60,28 @@ def quality_results(raw: DataFrame, manifest: Manifest, crash: DataFrame, unit:
     """All concrete result objects of a batch. Frames hold this batch only; native and observed are what native.read_native gives."""
     spark = raw.sparkSession
     # The second derivation serves three rules: it is made once and written.
-    expected = tuple(f if f is None else materialize(f, "expected") for f in Q.expected_rows(raw, manifest))
+    expected = Q.written_rows(raw, manifest)
     sources, severities = W.dim_source(spark, manifest, batch_id), W.dim_severity(spark, manifest, batch_id)
     people = [K.link_counts(K.source_checks(raw, s, manifest.year_from, manifest.year_to), s.file("person_raw").resource_id)
               for s in manifest.sources if s.persons]
-    lineage = Q.lineage_errors(crash, Q.raw_keys(raw, manifest))
+    lineage = materialize(Q.lineage_errors(crash, Q.raw_keys(raw, manifest)), "lineage")
     reconciled = Q.reconcile_rows(crash, fact, sources, severities, lineage)
-    parts = [
-        Q.input_results(observed, manifest, batch_id, deletions),
-        Q.raw_results(G.replay_summary(G.replay_differences(native, raw)), manifest, batch_id),
-        Q.projection_results(raw, manifest, crash, unit, batch_id, expected),
-        Q.auxiliary_results(raw, manifest, batch_id, reduce(DataFrame.unionByName, people) if people else None),
-        Q.semantics_results(raw, manifest, crash, unit, batch_id, expected),
-        Q.reconcile_results(Q.reconcile_metrics(reconciled, sources, manifest.year_from, manifest.year_to), batch_id),
-        Q.location_results(Q.location_metrics(Q.expected_locations(expected[0], batch_id), fact, sources, manifest.year_from, manifest.year_to), batch_id)]
-    return reduce(DataFrame.unionByName, [p for p in parts if p is not None])
+    # The rules run one after the other, and the raw replay file by file: what one of them shuffles has gone when the next one begins.
+    def replay(resource_id: str) -> DataFrame:
+        mine = F.col("resource_id") == resource_id
+        return materialize(G.replay_summary(G.replay_differences(native.filter(mine), raw.filter(mine))), "replay")
+
+    replayed = reduce(DataFrame.unionByName, [replay(r) for r in dict.fromkeys(f.resource_id for f in manifest.files())])
+    rules = [
+        lambda: Q.input_results(observed, manifest, batch_id, deletions),
+        lambda: Q.raw_results(replayed, manifest, batch_id),
+        lambda: Q.projection_results(raw, manifest, crash, unit, batch_id, expected),
+        lambda: Q.auxiliary_results(raw, manifest, batch_id, reduce(DataFrame.unionByName, people) if people else None),
+        lambda: Q.semantics_results(raw, manifest, crash, unit, batch_id, expected),
+        lambda: Q.reconcile_results(Q.reconcile_metrics(reconciled, sources, manifest.year_from, manifest.year_to), batch_id),
+        lambda: Q.location_results(Q.location_metrics(Q.expected_locations(expected[0], batch_id), fact, sources, manifest.year_from, manifest.year_to), batch_id)]
+    parts = [part() for part in rules]
+    return reduce(DataFrame.unionByName, [materialize(p, "rule") for p in parts if p is not None])
 
 
 def verify_layers(raw: DataFrame, manifest: Manifest, crash: DataFrame, unit: DataFrame, fact: DataFrame, batch_id: str) -> None:
